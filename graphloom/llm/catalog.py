@@ -1,6 +1,6 @@
 """Registered queries of the subpackage and, where SQL can express them, the SQL that checks them."""
 
-from graphloom.llm import quality
+from graphloom.llm import decontam, quality
 
-QUERIES = {"op7_quality_rules": quality.op7_quality_rules}
-ORACLES = {"op7_quality_rules": quality.ORACLE}
+QUERIES = {"op2_wu_manber": decontam.op2_wu_manber, "op7_quality_rules": quality.op7_quality_rules}
+ORACLES = {"op2_wu_manber": decontam.ORACLE, "op7_quality_rules": quality.ORACLE}
