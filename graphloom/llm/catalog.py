@@ -1,6 +1,14 @@
 """Registered queries of the subpackage and, where SQL can express them, the SQL that checks them."""
 
-from graphloom.llm import decontam, quality
+from graphloom.llm import decontam, jaccard, quality
 
-QUERIES = {"op2_wu_manber": decontam.op2_wu_manber, "op7_quality_rules": quality.op7_quality_rules}
-ORACLES = {"op2_wu_manber": decontam.ORACLE, "op7_quality_rules": quality.ORACLE}
+QUERIES = {
+    "op2_wu_manber": decontam.op2_wu_manber,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op7_quality_rules": quality.op7_quality_rules,
+}
+ORACLES = {
+    "op2_wu_manber": decontam.ORACLE,
+    "op5_jaccard_join": jaccard.ORACLE,
+    "op7_quality_rules": quality.ORACLE,
+}
