@@ -1,8 +1,9 @@
 """Registered queries of the subpackage and, where SQL can express them, the SQL that checks them."""
 
-from graphloom.llm import decontam, jaccard, quality
+from graphloom.llm import decontam, jaccard, linededup, quality
 
 QUERIES = {
+    "op1_line_dedup": linededup.op1_line_dedup,
     "op2_wu_manber": decontam.op2_wu_manber,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op7_quality_rules": quality.op7_quality_rules,
