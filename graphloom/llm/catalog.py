@@ -1,12 +1,15 @@
 """Registered queries of the subpackage and, where SQL can express them, the SQL that checks them."""
 
-from graphloom.llm import decontam, jaccard, linededup, quality
+import corpus_pipeline
+from graphloom.llm import decontam, jaccard, linededup, packing, quality
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op2_wu_manber": decontam.op2_wu_manber,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op6_length_buckets": packing.op6_length_buckets,
     "op7_quality_rules": quality.op7_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_wu_manber": decontam.ORACLE,
