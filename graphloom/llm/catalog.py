@@ -1,18 +1,21 @@
 """Registered queries of the subpackage and, where SQL can express them, the SQL that checks them."""
 
 import corpus_pipeline
-from graphloom.llm import decontam, jaccard, linededup, packing, quality
+from graphloom.llm import decontam, jaccard, licenses, linededup, packing, paragraphs, quality
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op2_wu_manber": decontam.op2_wu_manber,
+    "op4_sentence_rules": licenses.op4_sentence_rules,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_length_buckets": packing.op6_length_buckets,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op10_paragraph_minhash": paragraphs.op10_paragraph_minhash,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_wu_manber": decontam.ORACLE,
+    "op4_sentence_rules": licenses.ORACLE,
     "op5_jaccard_join": jaccard.ORACLE,
     "op7_quality_rules": quality.ORACLE,
 }
