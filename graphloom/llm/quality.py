@@ -40,10 +40,10 @@ def _size(array: Column) -> Column:
 
 
 def _windows(words: Column, size: int) -> Column:
-    hashed = F.transform(
-        F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)])
-    )
-    return F.when(F.size(words) >= size, hashed).otherwise(F.array().cast("array<bigint>"))
+    def hashed(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(size)]))
+
+    return F.when(F.size(words) >= size, _let(F.transform(words, lambda w: F.xxhash64(w)), hashed)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _covered(hashes: Column, size: int) -> Column:
@@ -74,16 +74,20 @@ def line_fails(line: Column, max_symbols: float = 0.1, short: int = 3, nav_words
     word characters are one of SYMBOLS. navigation: two separators such as " | ", or a menu word in a line of at
     most `nav_words` words. boilerplate: one of the phrases of BOILERPLATE.
     """
-    low = F.translate(line, UPPER, LOWER)
-    words = F.regexp_count(line, F.lit(WORD))
-    chars = F.length(F.regexp_replace(line, r"[\x20\x09-\x0D]+", ""))
+    space, word = r"[\x20\x09-\x0D]+", WORD
+    has = lambda n: F.rlike(line, F.lit(word + (space + word) * (n - 1)))  # noqa: E731  n words or more
+    chars = F.length(F.regexp_replace(line, space, ""))
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    punctuation = ((words < short) & ~F.rlike(line, F.lit(ENDING))) | (symbols > chars * F.lit(max_symbols))
-    navigation = (F.regexp_count(line, F.lit(SEPARATOR)) >= 2) | ((words <= nav_words) & F.rlike(low, F.lit(NAVIGATION)))
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | F.contains(low, F.lit(phrase))
-    return (words > 0) & (punctuation | navigation | boilerplate)
+    punctuation = (~has(short) & ~F.rlike(line, F.lit(ENDING))) | (F.rlike(line, F.lit(f"[{SYMBOLS}]")) & (symbols > chars * F.lit(max_symbols)))
+    separated = F.rlike(line, F.lit(f"(?s)({SEPARATOR}).*?({SEPARATOR})"))
+
+    def phrases(low: Column) -> Column:
+        found = ~has(nav_words + 1) & F.rlike(low, F.lit(NAVIGATION))
+        for phrase in BOILERPLATE:
+            found = found | F.contains(low, F.lit(phrase))
+        return found
+
+    return has(1) & (punctuation | separated | _let(F.translate(line, UPPER, LOWER), phrases))
 
 
 def line_quality(
@@ -110,27 +114,27 @@ def line_quality(
         "t",
         F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"),
         F.split("t", "\n").alias("lines"),
-        F.length(F.regexp_replace("t", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
     worded = F.filter("lines", lambda x: F.rlike(x, F.lit(WORD)))
-    good = F.filter("lines", lambda x: ~line_fails(x))
     measured = split.select(
         "row",
         _size(F.col("w")).alias("n_words"),
-        "word_chars",
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         "n_symbols",
         _let(worded, lambda x: _size(x) - _size(F.array_distinct(x))).alias("n_dup_lines"),
         _let(
             _windows(F.col("w"), window),
             lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(h, window)).otherwise(F.lit(0).cast("long")),
         ).alias("n_repeat_words"),
-        F.array_join(good, "\n").alias("clean_text"),
+        F.transform("lines", lambda x: F.struct(x.alias("line"), line_fails(x).alias("fails"))).alias("lines"),
     )
-    left = F.length(F.regexp_replace("clean_text", r"[\x20\x09-\x0D]+", "")).cast("long")
+    lost = F.array_join(F.filter("lines", lambda x: x["fails"])["line"], "")
     judged = measured.withColumn(
         "base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > round(100 * max_repeat) * F.col("n_words"))
-    ).withColumn("lost_chars", F.col("word_chars") - left)
+    )
+    judged = judged.withColumn("lost_chars", F.length(F.regexp_replace(lost, r"[\x20\x09-\x0D]+", "")).cast("long"))
+    judged = judged.withColumn("clean_text", F.array_join(F.filter("lines", lambda x: ~x["fails"])["line"], "\n")).drop("lines")
     return judged.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= round(100 * max_lost) * F.col("word_chars")))
 
 
