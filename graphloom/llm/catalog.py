@@ -1,11 +1,12 @@
 """Registered queries of the subpackage and, where SQL can express them, the SQL that checks them."""
 
 import corpus_pipeline
-from graphloom.llm import decontam, jaccard, licenses, linededup, packing, paragraphs, quality
+from graphloom.llm import decontam, jaccard, licenses, linededup, packing, paragraphs, quality, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op2_wu_manber": decontam.op2_wu_manber,
+    "op3_string_kernel_svm": toxicity.op3_string_kernel_svm,
     "op4_sentence_rules": licenses.op4_sentence_rules,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_length_buckets": packing.op6_length_buckets,
