@@ -1,7 +1,7 @@
 """Registered queries of the subpackage and, where SQL can express them, the SQL that checks them."""
 
 import corpus_pipeline
-from graphloom.llm import decontam, jaccard, licenses, linededup, packing, paragraphs, quality, toxicity
+from graphloom.llm import decontam, jaccard, licenses, linededup, packing, paragraphs, quality, substrings, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_length_buckets": packing.op6_length_buckets,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_bwt_merge": substrings.op8_bwt_merge,
     "op10_paragraph_minhash": paragraphs.op10_paragraph_minhash,
     "pipeline": corpus_pipeline.run,
 }
