@@ -1,7 +1,7 @@
 """Registered queries of the subpackage and, where SQL can express them, the SQL that checks them."""
 
 import corpus_pipeline
-from graphloom.llm import decontam, jaccard, licenses, linededup, packing, paragraphs, quality, substrings, toxicity
+from graphloom.llm import decontam, jaccard, licenses, linededup, packing, paragraphs, quality, substrings, tokenpack, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_length_buckets": packing.op6_length_buckets,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_bwt_merge": substrings.op8_bwt_merge,
+    "op9_best_fit_packing": tokenpack.op9_best_fit_packing,
     "op10_paragraph_minhash": paragraphs.op10_paragraph_minhash,
     "pipeline": corpus_pipeline.run,
 }
