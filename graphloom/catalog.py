@@ -1,4 +1,739 @@
 """All registered queries of the code graph engine, with the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import languages as L
+from graphloom.functions.names import clean_nodes, strip_comments
+from graphloom.functions.parsers import parse_braced, with_symbols
+from graphloom.operators import analysis, diff, graph, heuristic, metrics, queries, subgraph, tables, trees
+from graphloom.operators.parse import parse_files, register_udtf
+from graphloom.plans.fixpoint import reach
+from graphloom.plans.scratch import Scratch
+from graphloom.sinks.text import dot_lines, json_lines
+from graphloom.sources import derived
+from graphloom.sources.files import command_files, without_system
+from graphloom.sources.warehouse import prelude, warehouse_graph
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+P, A = prelude(), prelude("A")
+LIFTED = f"{P}, lifted AS (SELECT src, dst, 'AstChild' AS kind FROM edges WHERE kind = 'AstChild' UNION ALL SELECT src, dst, 'Call' FROM cg)"
+
+
+def over(body: str, ctes: str = P) -> str:
+    return f"WITH RECURSIVE {ctes} {body}"
+
+
+def raw(spark: SparkSession, sf_dir: str, flag: str = "R") -> tuple[DataFrame, DataFrame]:
+    return warehouse_graph(spark, sf_dir, flag)
+
+
+def lifted(spark: SparkSession, sf_dir: str, flag: str = "R") -> tuple[DataFrame, DataFrame]:
+    """The graph with lifted calls, written once as several steps read it."""
+    scratch = Scratch(spark)
+    nodes, edges = (scratch.save(t, n) for t, n in zip(raw(spark, sf_dir, flag), ("nodes", "edges")))
+    return nodes, scratch.save(graph.as_graph(nodes, edges)[1], "lifted")
+
+
+def entry_parts(nodes: DataFrame) -> DataFrame:
+    return nodes.where("kind = 'Function' AND node_id < 20").select(F.col("node_id").alias("node"))
+
+
+def bigint(*columns: str) -> list:
+    return [F.col(c).cast("long").alias(c) for c in columns]
+
+
+# Sources -------------------------------------------------------------------------------------------------------------
+
+PATHS = f"f AS (SELECT {derived.DOCUMENT_PATH} AS path, text FROM documents), x AS (SELECT path, text, regexp_extract(path, '[.]([^./]*)$', 1) AS ext FROM f)"
+_CPP = ", ".join(f"'{e}'" for e in L.EXTENSIONS["Cpp"])
+_LANGUAGE = "CASE WHEN ext = 'py' THEN 'Python' WHEN ext = 'go' THEN 'Go' WHEN ext = 'rb' THEN 'Ruby' {cpp}ELSE 'Unknown' END"
+
+
+@query("src_walk", f"WITH {PATHS} SELECT path FROM x WHERE lower(ext) IN ({_CPP})")
+def src_walk(spark, sf_dir):
+    return derived.document_files(spark, sf_dir).where(F.lower(L.extension(F.col("path"))).isin(L.EXTENSIONS["Cpp"])).select("path")
+
+
+@query("src_ext", f"WITH {PATHS} SELECT {_LANGUAGE.format(cpp="WHEN lower(ext) = 'cpp' THEN 'Cpp' ")} AS language, count(*) AS files FROM x GROUP BY 1")
+def src_ext(spark, sf_dir):
+    files = derived.document_files(spark, sf_dir).withColumn("extension", F.lower(L.extension(F.col("path"))))
+    return files.join(F.broadcast(L.extension_table(spark)), "extension", "left").groupBy(F.coalesce("language", F.lit("Unknown")).alias("language")).agg(F.count("*").alias("files"))
+
+
+@query("src_ext_server", f"WITH {PATHS} SELECT {_LANGUAGE.format(cpp='')} AS language, count(*) AS files FROM x GROUP BY 1")
+def src_ext_server(spark, sf_dir):
+    return derived.document_files(spark, sf_dir).groupBy(L.language_of(F.col("path"), strict=True).alias("language")).agg(F.count("*").alias("files"))
+
+
+@query("src_lang_auto", f"WITH {PATHS} SELECT {_LANGUAGE.format(cpp='')} AS language, count(*) AS files FROM x GROUP BY 1 ORDER BY files DESC, language LIMIT 1")
+def src_lang_auto(spark, sf_dir):
+    return L.dominant_language(derived.document_files(spark, sf_dir))
+
+
+_NAMES = ["python", "rust", "javascript", "cpp", "c++", "go", "ruby", "cobol"]
+
+
+@query(
+    "src_lang_parse",
+    "SELECT * FROM (VALUES ('python', 'Python', 'Python'), ('rust', 'Rust', 'Rust'), ('javascript', 'JavaScript', 'JavaScript'), ('cpp', 'Cpp', 'CppTreeSitter'), "
+    "('c++', 'Cpp', 'CppTreeSitter'), ('go', NULL, 'Go'), ('ruby', NULL, 'Ruby'), ('cobol', NULL, NULL)) AS t(name, cli, server)",
+)
+def src_lang_parse(spark, sf_dir):
+    names = spark.createDataFrame([(n,) for n in _NAMES], "name string")
+    return names.select("name", L.language_column(F.col("name"), "cli").alias("cli"), L.language_column(F.col("name")).alias("server"))
+
+
+@query("src_multi", f"WITH {PATHS} SELECT path FROM x WHERE ext IN ('go', 'rb')")
+def src_multi(spark, sf_dir):
+    wanted = L.chosen_languages(["go", "ruby", "cobol"])
+    return derived.document_files(spark, sf_dir).where(L.language_of(F.col("path"), strict=True).isin(wanted)).select("path")
+
+
+@query("src_read", f"WITH {PATHS} SELECT path, sha256(text) AS sha256 FROM x WHERE text IS NOT NULL")
+def src_read(spark, sf_dir):
+    from graphloom.sources.files import as_files
+
+    rows = derived.document_files(spark, sf_dir).select("path", F.lit("Unknown").alias("language"), F.encode("content", "UTF-8").alias("raw"))
+    return as_files(rows).select("path", "sha256")
+
+
+@query("src_strip", "SELECT page_id, replace(replace(replace(html, '//', ' '), '/*', ' '), '*/', ' ') AS stripped FROM pages")
+def src_strip(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", strip_comments(F.col("html")).alias("stripped"))
+
+
+@query("src_dispatch", f"WITH {PATHS} SELECT CASE WHEN ext IN ('py', 'go', 'rb') THEN 'grammar' ELSE 'heuristic' END AS parser, count(*) AS files FROM x GROUP BY 1")
+def src_dispatch(spark, sf_dir):
+    from graphloom.functions.parsers import registered
+
+    language = L.language_of(F.col("path"), strict=True)
+    parser = F.when(language.isin(list(registered())), "grammar").otherwise("heuristic")
+    return derived.document_files(spark, sf_dir).groupBy(parser.alias("parser")).agg(F.count("*").alias("files"))
+
+
+@query(
+    "src_cdb",
+    "SELECT concat(CASE WHEN p_size > 25 THEN '' ELSE '/base/' END, CASE WHEN p_size > 25 THEN '/abs/' ELSE 'src/' END, p_partkey, '.cpp') AS file, "
+    "concat('clang++,-c,-O', p_size % 3, ',', p_type) AS arguments FROM (SELECT *, 1 AS one FROM part) WHERE p_type NOT LIKE '% %' "
+    "UNION ALL SELECT concat(CASE WHEN p_size > 25 THEN '/abs/' ELSE '/base/src/' END, p_partkey, '.cpp'), concat('clang++,-c,-O', p_size % 3, ',', replace(p_type, ' ', ',')) FROM part WHERE p_type LIKE '% %'",
+)
+def src_cdb(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    flag = F.concat(F.lit("-O"), (F.col("p_size") % 3).cast("string"))
+    rows = part.select(
+        F.concat(F.when(F.col("p_size") > 25, "/abs/").otherwise("src/"), F.col("p_partkey").cast("string"), F.lit(".cpp")).alias("file"),
+        F.concat(F.lit("clang++  -c "), flag, F.lit(" "), "p_type").alias("command"),
+        F.when(F.col("p_partkey") % 2 == 0, F.concat(F.array(F.lit("clang++"), F.lit("-c"), flag), F.split("p_type", " "))).alias("arguments"),
+    )
+    return command_files(rows, "/base").select("file", F.array_join("arguments", ",").alias("arguments"))
+
+
+@query("src_cpp_dir", f"WITH {PATHS} SELECT path FROM x WHERE lower(ext) IN ('c', 'cpp', 'cc', 'cxx', 'h', 'hpp') AND len(string_split(path, '/')) <= 2")
+def src_cpp_dir(spark, sf_dir):
+    files = derived.document_files(spark, sf_dir)
+    return files.where(F.lower(L.extension(F.col("path"))).isin(L.CPP_DIRECTORY) & (F.size(F.split("path", "/")) <= 2)).select("path")
+
+
+@query("src_sysheader", over("SELECT path, count(*) AS facts FROM fact WHERE path NOT LIKE 'Brand#1%' GROUP BY path", f"{P}, {derived.FACTS_SQL}"))
+def src_sysheader(spark, sf_dir):
+    return without_system(derived.derived_facts(spark, sf_dir), ["Brand#1"]).groupBy("path").agg(F.count("*").alias("facts"))
+
+
+# Parsers on generated sources ------------------------------------------------------------------------------------------
+
+_PARSED = """, named AS (SELECT p_partkey, replace(p_brand, '#', '_') AS path FROM part),
+facts AS (SELECT DISTINCT path, 'Class' AS kind, path AS name, CAST(1 AS BIGINT) AS n FROM named
+  UNION ALL SELECT path, 'Function', concat('part_', p_partkey), 1 FROM named
+  UNION ALL SELECT path, 'CallSite', concat('part_', dst), count(*) FROM cs JOIN named ON named.p_partkey = cs.src GROUP BY 1, 3)"""
+
+
+def _by_name(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("path", "kind", "name").agg(F.count("*").alias("n"))
+
+
+def _parser_query(name: str, language: str) -> None:
+    @query(name, over(f"{_PARSED} SELECT * FROM facts"))
+    def parse(spark, sf_dir):
+        return _by_name(parse_files(derived.generated_files(spark, sf_dir, language))[0])
+
+
+for _name, _of in (("parse_python", "Python"), ("parse_cpp_ts", "CppTreeSitter"), ("parse_go", "Go"), ("parse_rust", "Rust"), ("parse_rustc", "Rust")):
+    _parser_query(_name, _of)
+
+
+@query("parse_ruby", over(f"{_PARSED} SELECT * FROM facts"))
+def parse_ruby(spark, sf_dir):
+    """Through the table function, as SQL users call it."""
+    register_udtf(spark)
+    files = derived.generated_files(spark, sf_dir, "Ruby")
+    return _by_name(spark.sql("SELECT f.path, p.* FROM {files} AS f, LATERAL parse_source(f.language, f.content) AS p", files=files))
+
+
+@query(
+    "parse_clang",
+    over(f"{_PARSED} SELECT path, kind, name, CASE kind WHEN 'Function' THEN concat('c:@F@', name, '#') WHEN 'Class' THEN concat('c:@S@', name) END AS usr, n FROM facts"),
+)
+def parse_clang(spark, sf_dir):
+    from graphloom.functions.parsers import register_parser, registered
+
+    before = registered()["CppTreeSitter"]
+    register_parser("CppTreeSitter", lambda s: list(with_symbols(parse_braced(s, "cpp"))))
+    try:
+        facts = parse_files(derived.generated_files(spark, sf_dir, "CppTreeSitter"))[0]
+    finally:
+        register_parser("CppTreeSitter", before)
+    return facts.groupBy("path", "kind", "name", "usr").agg(F.count("*").alias("n"))
+
+
+_HEURISTIC = """, calls AS (SELECT path, name, n FROM facts WHERE kind = 'CallSite' UNION ALL SELECT path, name, 1 FROM facts WHERE kind = 'Function')
+SELECT path, kind, name, n FROM facts WHERE kind <> 'CallSite' UNION ALL SELECT path, 'CallSite', name, sum(n)::BIGINT FROM calls GROUP BY path, name"""
+
+
+@query("parse_heuristic", over(f"{_PARSED} {_HEURISTIC}"))
+def parse_heuristic(spark, sf_dir):
+    return _by_name(heuristic.heuristic_facts(derived.generated_files(spark, sf_dir, "Python")))
+
+
+@query("parse_walk", over(f"{_PARSED} SELECT path, kind, CASE kind WHEN 'CallSite' THEN 'Function' WHEN 'Function' THEN 'Class' END AS parent, sum(n)::BIGINT AS n FROM facts GROUP BY path, kind"))
+def parse_walk(spark, sf_dir):
+    """Nesting: the kind of each fact's parent."""
+    facts = parse_files(derived.generated_files(spark, sf_dir, "Python"))[0]
+    parents = facts.select("path", F.col("fact_id").alias("parent_id"), F.col("kind").alias("parent"))
+    return facts.join(parents, ["path", "parent_id"], "left").groupBy("path", "kind", "parent").agg(F.count("*").alias("n"))
+
+
+@query("src_dir", over(f"{_PARSED} SELECT path, sum(n)::BIGINT AS facts FROM facts GROUP BY path"))
+def src_dir(spark, sf_dir):
+    return parse_files(derived.generated_files(spark, sf_dir, "Go"))[0].groupBy("path").agg(F.count("*").alias("facts"))
+
+
+# Heuristic scan on pages -------------------------------------------------------------------------------------------------
+
+_TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|[(){}.,:<>]"
+_IDENT, _JUNK = "[A-Za-z_][A-Za-z0-9_]*", "[^A-Za-z_(){}.,:<>]*"
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"))
+
+
+@query("heur_markup", "SELECT count(*) AS kept FROM pages WHERE NOT (starts_with(html, '<html') OR starts_with(html, '<?xml') OR starts_with(html, '<!DOCTYPE'))")
+def heur_markup(spark, sf_dir):
+    return heuristic.without_markup(pages(spark, sf_dir)).agg(F.count("*").alias("kept"))
+
+
+@query(
+    "heur_tokenize",
+    f"SELECT CAST(page_id AS VARCHAR) AS path, token, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_TOKEN}')) AS token FROM pages) GROUP BY 1, 2",
+)
+def heur_tokenize(spark, sf_dir):
+    return heuristic.tokens(pages(spark, sf_dir)).groupBy("path", "token").agg(F.count("*").alias("n"))
+
+
+@query(
+    "heur_scope",
+    rf"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '[{{}}]')) AS b, generate_subscripts(regexp_extract_all(html, '[{{}}]'), 1) AS i FROM pages),
+s AS (SELECT page_id, i, b, sum(CASE b WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY i) AS s FROM t),
+m AS (SELECT page_id, s - least(min(s) OVER (PARTITION BY page_id ORDER BY i), 0) AS scope FROM s)
+SELECT CAST(page_id AS VARCHAR) AS path, CAST(max(scope) AS BIGINT) AS deepest, count(*) AS braces FROM m GROUP BY page_id""",
+)
+def heur_scope(spark, sf_dir):
+    deep = heuristic.scopes(heuristic.tokens(pages(spark, sf_dir))).where(F.col("token").isin("{", "}"))
+    return deep.groupBy("path").agg(F.max("scope").alias("deepest"), F.count("*").alias("braces"))
+
+
+@query("heur_structs", over(f"{_PARSED} SELECT path, kind, name FROM facts WHERE kind <> 'CallSite'"))
+def heur_structs(spark, sf_dir):
+    return heuristic.structures(heuristic.tokens(derived.generated_files(spark, sf_dir, "Python"))).select("path", "kind", "name")
+
+
+@query("heur_namespaces", over(f"{_PARSED} SELECT path, 'Class' AS kind, 'demo' AS name FROM facts WHERE kind = 'Class'"))
+def heur_namespaces(spark, sf_dir):
+    return heuristic.structures(heuristic.tokens(derived.generated_files(spark, sf_dir, "CppTreeSitter")), ["namespace"]).select("path", "kind", "name")
+
+
+_NOISE = ", ".join(f"'{w}'" for w in heuristic.NOISE)
+
+
+@query(
+    "heur_calls",
+    rf"""SELECT CAST(page_id AS VARCHAR) AS path, name, count(*) AS n
+FROM (SELECT page_id, unnest(regexp_extract_all(html, '({_IDENT}){_JUNK}\(', 1)) AS name FROM pages) WHERE name NOT IN ({_NOISE}) GROUP BY 1, 2""",
+)
+def heur_calls(spark, sf_dir):
+    found = heuristic.calls(heuristic.tokens(pages(spark, sf_dir)))
+    return found.groupBy("path", F.substring_index("name", ".", -1).alias("name")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "heur_qual",
+    rf"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '({_IDENT}(?:{_JUNK}\.{_JUNK}{_IDENT})*){_JUNK}\(', 1)) AS chain FROM pages)
+SELECT CAST(page_id AS VARCHAR) AS path, array_to_string(regexp_extract_all(chain, '{_IDENT}'), '.') AS name, count(*) AS n FROM c GROUP BY 1, 2""",
+)
+def heur_qual(spark, sf_dir):
+    found = heuristic.calls(heuristic.tokens(pages(spark, sf_dir)))
+    return found.groupBy("path", "name").agg(F.count("*").alias("n"))
+
+
+@query("heur_dedup", over(f"{_PARSED}, h AS ({_HEURISTIC.replace(', calls AS', 'WITH calls AS')}) SELECT path, kind, sum(n)::BIGINT AS n FROM h GROUP BY path, kind"))
+def heur_dedup(spark, sf_dir):
+    files = derived.generated_files(spark, sf_dir, "Python")
+    return heuristic.heuristic_facts(files).dropDuplicates(["path", "name", "start_line", "kind"]).groupBy("path", "kind").agg(F.count("*").alias("n"))
+
+
+# Graph construction ------------------------------------------------------------------------------------------------------
+
+FACTS = f"{P}, {derived.FACTS_SQL}"
+_FIRST = "SELECT name AS usr, kind, name, start_line, end_line FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY {order}) AS r FROM {table}) WHERE r = 1"
+
+
+@query("cpg_ingest", over(_FIRST.format(table="fact", order="path, fact_id"), FACTS))
+def cpg_ingest(spark, sf_dir):
+    return graph.symbol_nodes(derived.derived_facts(spark, sf_dir)).select("usr", "kind", "name", "start_line", "end_line")
+
+
+@query("cpg_ingest_edges", over("SELECT a.name AS source, b.name AS target, count(*) AS n FROM fact b JOIN fact a ON a.path = b.path AND a.fact_id = b.parent_id GROUP BY 1, 2", FACTS))
+def cpg_ingest_edges(spark, sf_dir):
+    nodes, edges = graph.ingest(derived.derived_facts(spark, sf_dir))
+    return _named(nodes, edges)
+
+
+def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    counted = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    name = lambda end, out: nodes.select(F.col("node_id").alias(end), F.col("usr").alias(out))
+    return counted.join(name("src", "source"), "src").join(name("dst", "target"), "dst").select("source", "target", "n")
+
+
+@query(
+    "cpg_resolve",
+    over("SELECT c.name AS source, c.name AS target, c.k * d.m AS weight FROM (SELECT name, count(*) AS k FROM fact WHERE kind = 'CallSite' GROUP BY name) c JOIN (SELECT name, count(*) AS m FROM fact WHERE kind <> 'CallSite' GROUP BY name) d USING (name)", FACTS),
+)
+def cpg_resolve(spark, sf_dir):
+    facts = derived.derived_facts(spark, sf_dir)
+    edges = graph.resolve_calls(facts, weighted=True)
+    names = graph.symbol_nodes(facts).select("node_id", "usr")
+    both = edges.join(names.select(F.col("node_id").alias("src"), F.col("usr").alias("source")), "src").join(names.select(F.col("node_id").alias("dst"), F.col("usr").alias("target")), "dst")
+    return both.select("source", "target", "weight")
+
+
+_TWO = FACTS + ", " + ", ".join(part for part in (A.replace("n AS (", "n2 AS (").replace("cs AS (", "cs2 AS (").replace("CROSS JOIN n)", "CROSS JOIN n2 AS n)").split("nodes AS (")[0].rstrip().rstrip(","),)) + ", " + derived.FACTS_SQL.replace("fact AS (", "fact2 AS (").replace("cs.", "cs2.").replace("FROM cs ", "FROM cs2 ")
+
+
+@query("cpg_merge", over("SELECT usr, kind, name, start_line, end_line FROM (SELECT *, name AS usr, row_number() OVER (PARTITION BY name ORDER BY side, path, fact_id) AS r FROM (SELECT 0 AS side, * FROM fact UNION ALL SELECT 1, * FROM fact2)) WHERE r = 1", _TWO))
+def cpg_merge(spark, sf_dir):
+    first, second = (graph.ingest(derived.derived_facts(spark, sf_dir, flag)) for flag in "RA")
+    return graph.merge(first, second)[0].select("usr", "kind", "name", "start_line", "end_line")
+
+
+@query("cpg_merge_edges", over("SELECT a.name AS source, b.name AS target, count(*) AS n FROM (SELECT 0 AS side, * FROM fact UNION ALL SELECT 1, * FROM fact2) b JOIN (SELECT 0 AS side, * FROM fact UNION ALL SELECT 1, * FROM fact2) a ON a.side = b.side AND a.path = b.path AND a.fact_id = b.parent_id GROUP BY 1, 2", _TWO))
+def cpg_merge_edges(spark, sf_dir):
+    first, second = (graph.ingest(derived.derived_facts(spark, sf_dir, flag)) for flag in "RA")
+    return _named(*graph.merge(first, second))
+
+
+@query("cpg_clean", over("SELECT node_id, name, CASE WHEN kind <> 'CallSite' THEN regexp_replace(usr, '^.*@([^#]*).*$', '\\1') END AS usr FROM nodes"))
+def cpg_clean(spark, sf_dir):
+    return clean_nodes(raw(spark, sf_dir)[0]).select("node_id", "name", "usr")
+
+
+@query("cpg_counts", over("SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count"))
+def cpg_counts(spark, sf_dir):
+    return graph.counts(*raw(spark, sf_dir))
+
+
+@query("cpg_factfilter", over("SELECT path, fact_id, name, CASE WHEN parent_id > 0 THEN parent_id END AS parent_id FROM fact WHERE kind <> 'Class'", FACTS))
+def cpg_factfilter(spark, sf_dir):
+    return graph.filter_facts(derived.derived_facts(spark, sf_dir), ["Function", "CallSite"]).select("path", "fact_id", "name", "parent_id")
+
+
+@query("cpg_lift", over("SELECT src, dst FROM cg"))
+def cpg_lift(spark, sf_dir):
+    return graph.lift(*raw(spark, sf_dir))
+
+
+# Queries -------------------------------------------------------------------------------------------------------------------
+
+
+@query("q_by_kind", over("SELECT node_id, name, start_line FROM nodes WHERE kind = 'Class'"))
+def q_by_kind(spark, sf_dir):
+    return queries.by_kind(raw(spark, sf_dir)[0], "Class").select("node_id", "name", "start_line")
+
+
+@query("q_calls_to", over("SELECT node_id, start_line FROM nodes WHERE kind = 'CallSite' AND name = 'part_7'"))
+def q_calls_to(spark, sf_dir):
+    return queries.calls_to(raw(spark, sf_dir)[0], "part_7").select("node_id", "start_line")
+
+
+@query("q_callers", over("SELECT src AS caller_id, concat('part_', src) AS caller, dst AS callee_id, concat('part_', dst) AS callee FROM cs"))
+def q_callers(spark, sf_dir):
+    return queries.callers(*raw(spark, sf_dir))
+
+
+@query("q_callees", over("SELECT dst AS callee_id, concat('part_', dst) AS callee, node_id AS site_id, line FROM cs WHERE src = 3"))
+def q_callees(spark, sf_dir):
+    return queries.callees(*raw(spark, sf_dir), "part_3")
+
+
+@query("q_unused", over("SELECT node_id, name FROM nodes WHERE kind = 'Function' AND node_id NOT IN (SELECT dst FROM cs)"))
+def q_unused(spark, sf_dir):
+    return queries.unused(*raw(spark, sf_dir)).select("node_id", "name")
+
+
+@query("q_enclosing", over("SELECT node_id, node_id AS function_id FROM nodes WHERE kind = 'Function' UNION ALL SELECT node_id, src FROM cs"))
+def q_enclosing(spark, sf_dir):
+    return graph.enclosing(*raw(spark, sf_dir))
+
+
+@query("q_subtree_calls", over("SELECT cs.node_id AS node FROM cs JOIN part ON p_partkey = src WHERE p_brand = 'Brand#11'"))
+def q_subtree_calls(spark, sf_dir):
+    nodes, edges = raw(spark, sf_dir)
+    return queries.subtree_calls(nodes, edges, nodes.where("name = 'Brand#11'").select(F.col("node_id").alias("node")))
+
+
+REACH = "reach(a, b) AS (SELECT src, dst FROM cg UNION SELECT a, dst FROM reach JOIN cg ON reach.b = cg.src)"
+LIVE = "live(x) AS (SELECT CAST(p_partkey AS BIGINT) FROM part WHERE p_partkey < 20 UNION SELECT dst FROM cg JOIN live ON cg.src = live.x)"
+
+
+@query(
+    "q_node_detail",
+    over(
+        f"""{'' if P.endswith(',') else ','} {REACH}, live(x) AS (SELECT CAST(1 AS BIGINT) UNION SELECT dst FROM cg JOIN live ON cg.src = live.x)
+SELECT 'part_5' AS name, 'Function' AS kind, start_line AS line, usr AS file,
+  coalesce((SELECT string_agg(s, ',' ORDER BY s COLLATE "C") FROM (SELECT DISTINCT concat('part_', src) AS s FROM cg WHERE dst = 5)), '') AS callers,
+  coalesce((SELECT string_agg(s, ',' ORDER BY s COLLATE "C") FROM (SELECT DISTINCT concat('part_', dst) AS s FROM cg WHERE src = 5)), '') AS callees,
+  EXISTS (SELECT 1 FROM reach WHERE a = 5 AND b = 5) AS is_cycle, NOT EXISTS (SELECT 1 FROM live WHERE x = 5) AS is_dead FROM nodes WHERE node_id = 5"""
+    ),
+)
+def q_node_detail(spark, sf_dir):
+    row = queries.node_detail(*lifted(spark, sf_dir), "part_5", ["part_1"])
+    return row.withColumn("callers", F.array_join("callers", ",")).withColumn("callees", F.array_join("callees", ","))
+
+
+# Analyses --------------------------------------------------------------------------------------------------------------------
+
+CYCLES = f"""{REACH}, member AS (SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"""
+
+
+@query("a_cycles", over(f", {CYCLES} SELECT component, string_agg(concat('part_', node), ',' ORDER BY concat('part_', node) COLLATE \"C\") AS functions, count(*) AS length FROM member GROUP BY component"))
+def a_cycles(spark, sf_dir):
+    return analysis.call_cycles(*lifted(spark, sf_dir)).withColumn("functions", F.array_join("functions", ","))
+
+
+_SIZES = "sizes AS (SELECT p_partkey AS node_id, 1 + count(cs.node_id) AS n FROM part LEFT JOIN cs ON cs.src = p_partkey GROUP BY p_partkey)"
+
+
+@query("a_complexity", over(f", {_SIZES} SELECT nodes.node_id, name AS function_name, least(n, 100000) AS ast_node_count, start_line, n >= 100000 AS truncated FROM nodes JOIN sizes ON sizes.node_id = nodes.node_id WHERE kind = 'Function'"))
+def a_complexity(spark, sf_dir):
+    return analysis.complexity(*raw(spark, sf_dir))
+
+
+@query("a_dead", over(f", {LIVE} SELECT node_id, name FROM nodes WHERE kind = 'Function' AND node_id NOT IN (SELECT x FROM live)"))
+def a_dead(spark, sf_dir):
+    nodes, edges = lifted(spark, sf_dir)
+    return analysis.dead_code(nodes, edges, seeds=entry_parts(nodes)).select("node_id", "name")
+
+
+@query("a_entries", over("SELECT node_id AS node FROM nodes WHERE kind = 'Function' AND name IN ('part_1', 'part_2', 'part_3')"))
+def a_entries(spark, sf_dir):
+    from graphloom.functions.names import entry_list
+
+    return analysis.entry_nodes(raw(spark, sf_dir)[0], entry_list(" part_1,part_2 , part_3,absent"))
+
+
+@query("a_roots", over("SELECT node_id, name, kind FROM nodes WHERE kind IN ('Function', 'Class') AND node_id NOT IN (SELECT dst FROM cs)"))
+def a_roots(spark, sf_dir):
+    return analysis.roots(*raw(spark, sf_dir)).select("node_id", "name", "kind")
+
+
+@query("a_components", over(", both_ways AS (SELECT src, dst FROM cg UNION SELECT dst, src FROM cg), c(a, b) AS (SELECT src, src FROM both_ways UNION SELECT a, dst FROM c JOIN both_ways ON c.b = both_ways.src) SELECT a AS node, min(b) AS component FROM c GROUP BY a"))
+def a_components(spark, sf_dir):
+    return analysis.chains(lifted(spark, sf_dir)[1])
+
+
+@query("a_reach", over(f", {LIVE} SELECT x AS node FROM live"))
+def a_reach(spark, sf_dir):
+    nodes, edges = lifted(spark, sf_dir)
+    return reach(entry_parts(nodes), edges.where("kind = 'Call'")).select("node")
+
+
+# Subgraphs and trees -----------------------------------------------------------------------------------------------------------
+
+_FOCAL = """, u AS (SELECT src, dst FROM cg UNION SELECT dst, src FROM cg), h0 AS (SELECT CAST(7 AS BIGINT) AS node, 0 AS hop),
+h1 AS (SELECT * FROM h0 UNION SELECT dst, 1 FROM h0 JOIN u ON src = node), h2 AS (SELECT * FROM h1 UNION SELECT dst, 2 FROM h1 JOIN u ON src = node),
+near AS (SELECT node, CAST(min(hop) AS BIGINT) AS hop FROM h2 GROUP BY node ORDER BY hop, node LIMIT 12),
+focal AS (SELECT node AS node_id, hop, row_number() OVER (ORDER BY hop, node) - 1 AS "index" FROM near)"""
+
+
+@query("g_focal", over(f"{_FOCAL} SELECT * FROM focal"))
+def g_focal(spark, sf_dir):
+    return subgraph.focal_graph(*lifted(spark, sf_dir), "part_7", 12, 2)[0].select("node_id", "hop", "index")
+
+
+@query("g_focal_edges", over(f"{_FOCAL} SELECT src, dst FROM cg WHERE src IN (SELECT node_id FROM focal) AND dst IN (SELECT node_id FROM focal)"))
+def g_focal_edges(spark, sf_dir):
+    return subgraph.focal_graph(*lifted(spark, sf_dir), "part_7", 12, 2)[1].select("src", "dst")
+
+
+@query("g_by_kind", over("SELECT src, dst, kind FROM lifted WHERE src < 150 AND dst < 150", LIFTED))
+def g_by_kind(spark, sf_dir):
+    return subgraph.subgraph_by_kind(*lifted(spark, sf_dir), "Function", 150)[1]
+
+
+@query("g_annotate", over(f", {CYCLES}, {LIVE} SELECT node_id, node_id IN (SELECT node FROM member) AS is_cycle, node_id NOT IN (SELECT x FROM live) AS is_dead FROM nodes WHERE node_id < 150"))
+def g_annotate(spark, sf_dir):
+    nodes, edges = lifted(spark, sf_dir)
+    chosen = subgraph.subgraph_by_kind(nodes, edges, "Function", 150)[0]
+    cycle, dead = analysis.call_cycles(nodes, edges, members=True), analysis.dead_code(nodes, edges, seeds=entry_parts(nodes))
+    return subgraph.annotate(chosen, cycle, dead).select("node_id", "is_cycle", "is_dead")
+
+
+_TREE = """, t AS ({start} UNION ALL SELECT root_id, list_append(path, dst), depth + 1, dst, list_contains(path, dst) FROM t JOIN {links} ON src = node_id WHERE NOT leaf AND depth < {depth})
+SELECT root_id, array_to_string(path, '/') AS path, CAST(depth AS BIGINT) AS depth, node_id, leaf FROM t"""
+_START = "SELECT {id} AS root_id, [{id}] AS path, 0 AS depth, {id} AS node_id, false AS leaf"
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    return rows.select("root_id", F.array_join(F.transform("path", lambda p: p.cast("string")), "/").alias("path"), "depth", "node_id", "leaf")
+
+
+@query("t_call_tree", over(_TREE.format(start=_START.format(id="CAST(1 AS BIGINT)"), links="cg", depth=4)))
+def t_call_tree(spark, sf_dir):
+    return _flat(trees.call_tree(*lifted(spark, sf_dir), "part_1", depth=4))
+
+
+@query("t_call_tree_reverse", over(", back AS (SELECT dst AS src, src AS dst FROM cg)" + _TREE.format(start=_START.format(id="CAST(1 AS BIGINT)"), links="back", depth=3)))
+def t_call_tree_reverse(spark, sf_dir):
+    return _flat(trees.call_tree(*lifted(spark, sf_dir), "part_1", "callers", 3))
+
+
+@query("t_call_forest", over(_TREE.format(start=_START.format(id="node_id") + " FROM nodes WHERE kind IN ('Function', 'Class') AND node_id NOT IN (SELECT dst FROM cg)", links="cg", depth=3)))
+def t_call_forest(spark, sf_dir):
+    return _flat(trees.call_forest(*lifted(spark, sf_dir), depth=3))
+
+
+@query(
+    "t_fallback",
+    over(
+        """, e AS (SELECT DISTINCT src, dst FROM lifted WHERE dst IN (SELECT node_id FROM nodes WHERE kind IN ('Function', 'Class'))),
+r AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS k FROM e) WHERE k <= 5)
+SELECT root AS root_id, CAST(0 AS BIGINT) AS depth, root AS node_id, false AS leaf FROM (SELECT min(node_id) AS root FROM nodes WHERE name = 'Brand#11')
+UNION ALL SELECT src, 1, dst, true FROM r WHERE src = (SELECT min(node_id) FROM nodes WHERE name = 'Brand#11')""",
+        LIFTED,
+    ),
+)
+def t_fallback(spark, sf_dir):
+    return trees.call_tree(*lifted(spark, sf_dir), "Brand#11", ast_fallback=True).select("root_id", "depth", "node_id", "leaf")
+
+
+@query(
+    "t_flatten",
+    over(
+        _TREE.format(start=_START.format(id="CAST(1 AS BIGINT)"), links="cg", depth=4).replace("SELECT root_id, array_to_string", ", flat AS (SELECT root_id, path AS p, array_to_string")
+        + "), named AS (SELECT flat.*, concat(name, '@', usr, ':', start_line) AS id FROM flat JOIN nodes ON nodes.node_id = flat.node_id) "
+        + "SELECT DISTINCT a.id AS source, b.id AS target FROM named b JOIN named a ON a.p = b.p[1:len(b.p)-1] WHERE b.depth > 0 AND a.id <> b.id"
+    ),
+)
+def t_flatten(spark, sf_dir):
+    return trees.flatten(trees.call_tree(*lifted(spark, sf_dir), "part_1", depth=4))[1]
+
+
+# Metrics -----------------------------------------------------------------------------------------------------------------------
+
+_METRICS = f""", {CYCLES}, {LIVE}, {_SIZES},
+din AS (SELECT dst, count(*) AS n FROM cg GROUP BY dst), dout AS (SELECT src, count(*) AS n FROM cg GROUP BY src),
+fm AS (SELECT nodes.node_id, name, kind, start_line AS line, CAST(NULL AS VARCHAR) AS file, coalesce(sizes.n, 0) AS complexity,
+  greatest(end_line - start_line, 0) + 1 AS loc, nodes.node_id IN (SELECT node FROM member) AS is_cycle,
+  kind = 'Function' AND nodes.node_id NOT IN (SELECT x FROM live) AS is_dead, coalesce(din.n, 0) AS callers, coalesce(dout.n, 0) AS callees
+  FROM nodes LEFT JOIN sizes ON sizes.node_id = nodes.node_id LEFT JOIN din ON din.dst = nodes.node_id LEFT JOIN dout ON dout.src = nodes.node_id
+  WHERE kind IN ('Function', 'Class'))"""
+
+
+@query("m_function", over(f"{_METRICS} SELECT * FROM fm"))
+def m_function(spark, sf_dir):
+    nodes, edges = lifted(spark, sf_dir)
+    return metrics.function_metrics(nodes, edges, seeds=entry_parts(nodes))
+
+
+@query("m_class", over("SELECT node_id, name, start_line AS line, CAST(NULL AS VARCHAR) AS file, (SELECT count(*) FROM part WHERE p_brand = name) AS methods, CAST(0 AS BIGINT) AS complexity, end_line - start_line + 1 AS loc FROM nodes WHERE kind = 'Class'"))
+def m_class(spark, sf_dir):
+    return metrics.class_metrics(*raw(spark, sf_dir))
+
+
+_FILES = "fl AS (SELECT coalesce(usr, '') AS path, count(*) FILTER (kind = 'Function') AS functions, count(*) FILTER (kind = 'Class') AS classes, CAST(0 AS BIGINT) AS total_complexity, coalesce(sum(n), 0)::BIGINT AS calls FROM nodes LEFT JOIN (SELECT node_id AS id, count(*) AS n FROM cs GROUP BY 1) ON id = node_id GROUP BY 1)"
+
+
+@query("m_file", over(f", {_FILES} SELECT * FROM fl"))
+def m_file(spark, sf_dir):
+    return metrics.file_metrics(*raw(spark, sf_dir))
+
+
+@query(
+    "m_file_path",
+    over(f", {_SIZES} SELECT p_brand AS path, count(*) AS functions, CAST(0 AS BIGINT) AS classes, sum(n)::BIGINT AS total_complexity, CAST(sum(coalesce(c, 0)) AS BIGINT) AS calls FROM part JOIN sizes ON node_id = p_partkey LEFT JOIN (SELECT src, count(*) AS c FROM cg GROUP BY src) ON src = p_partkey GROUP BY 1"),
+)
+def m_file_path(spark, sf_dir):
+    """Grouped by a path column, here the brand that the usr names."""
+    nodes, edges = lifted(spark, sf_dir)
+    functions = nodes.where("kind = 'Function'").withColumn("path", F.regexp_extract("usr", "@S@(.*)@F@", 1))
+    sites = nodes.where("kind = 'CallSite'").withColumn("path", F.lit(None).cast("string"))
+    return metrics.file_metrics(functions.unionByName(sites), edges, "path").where("path <> ''")
+
+
+@query("m_report", over(f", {CYCLES}, {LIVE} SELECT (SELECT count(*) FROM part) AS total_functions, (SELECT count(DISTINCT p_brand) FROM part) AS total_classes, (SELECT count(*) FROM cg) AS total_calls, (SELECT count(DISTINCT component) FROM member) AS cycle_count, (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT x FROM live)) AS dead_count, (SELECT count(*) FROM part) AS complex_count"))
+def m_report(spark, sf_dir):
+    nodes, edges = lifted(spark, sf_dir)
+    return metrics.report(nodes, edges, seeds=entry_parts(nodes))
+
+
+@query("m_overview", over(f"{_METRICS} SELECT count(*) AS functions, sum(complexity)::BIGINT AS total_complexity, count(*) FILTER (is_cycle) AS in_cycles, count(*) FILTER (is_dead) AS dead FROM fm"))
+def m_overview(spark, sf_dir):
+    nodes, edges = lifted(spark, sf_dir)
+    return metrics.overview(metrics.function_metrics(nodes, edges, seeds=entry_parts(nodes)), metrics.file_metrics(nodes, edges))[0]
+
+
+@query("m_overview_top", over(f", {_FILES} SELECT path, functions, classes, total_complexity, calls FROM fl ORDER BY functions DESC, path COLLATE \"C\" LIMIT 10"))
+def m_overview_top(spark, sf_dir):
+    nodes, edges = raw(spark, sf_dir)
+    return metrics.overview(nodes.select(F.lit(0).alias("complexity"), F.lit(True).alias("is_cycle"), F.lit(True).alias("is_dead")), metrics.file_metrics(nodes, edges))[1]
+
+
+@query("m_profile", over("SELECT path, count(*) AS facts, (SELECT count(*) FROM fact) AS total FROM fact GROUP BY path ORDER BY facts DESC, path LIMIT 20", FACTS))
+def m_profile(spark, sf_dir):
+    return metrics.profile(derived.derived_facts(spark, sf_dir))
+
+
+@query("m_connections", over("SELECT nodes.node_id, coalesce(n, 0) AS degree FROM nodes LEFT JOIN (SELECT e, count(*) AS n FROM (SELECT src AS e FROM edges UNION ALL SELECT dst FROM edges) GROUP BY e) ON e = nodes.node_id"))
+def m_connections(spark, sf_dir):
+    return metrics.connections(*raw(spark, sf_dir))
+
+
+_BENCH = "SELECT l_returnflag AS crate, l_linestatus AS scenario, l_linenumber AS backend, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*) AS mean_ns FROM lineitem WHERE {half} GROUP BY 1, 2, 3"
+
+
+@query("m_bench", f"SELECT a.crate, a.scenario, CAST(a.backend AS VARCHAR) AS backend, a.mean_ns > b.mean_ns * 1.01 AS slower FROM ({_BENCH.format(half='l_orderkey % 2 = 0')}) a JOIN ({_BENCH.format(half='l_orderkey % 2 = 1')}) b USING (crate, scenario, backend) WHERE a.mean_ns > b.mean_ns * 1.01")
+def m_bench(spark, sf_dir):
+    runs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_returnflag").alias("crate"), F.col("l_linestatus").alias("scenario"), F.col("l_linenumber").cast("string").alias("backend"), F.col("l_quantity").alias("mean_ns"), (F.col("l_orderkey") % 2).alias("half")
+    )
+    latest, base = (metrics.bench_summary(runs.where(F.col("half") == h)) for h in (0, 1))
+    return metrics.regressions(latest, base, 1.01).select("crate", "scenario", "backend", F.lit(True).alias("slower"))
+
+
+# Differences and tables --------------------------------------------------------------------------------------------------------
+
+_OLD_NEW = P + ", " + A.replace("n AS (", "n2 AS (").replace("cs AS (", "cs2 AS (").replace("CROSS JOIN n)", "CROSS JOIN n2 AS n)").replace("nodes AS (", "nodes2 AS (").replace("edges AS (", "edges2 AS (").replace("cg AS (", "cg2 AS (").replace("FROM cs", "FROM cs2")
+
+
+@query(
+    "d_nodes",
+    over(
+        ", a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY node_id) AS r FROM nodes WHERE kind = 'CallSite') WHERE r = 1), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY node_id) AS r FROM nodes2 WHERE kind = 'CallSite') WHERE r = 1) "
+        "SELECT coalesce(a.name, b.name) AS name, coalesce(a.kind, b.kind) AS kind, coalesce(a.start_line, b.start_line) AS line, CAST(NULL AS VARCHAR) AS file, CASE WHEN a.name IS NULL THEN 'Added' WHEN b.name IS NULL THEN 'Removed' ELSE 'Unchanged' END AS status FROM a FULL JOIN b ON a.name = b.name",
+        _OLD_NEW,
+    ),
+)
+def d_nodes(spark, sf_dir):
+    old, new = (raw(spark, sf_dir, flag)[0].where("kind = 'CallSite'") for flag in "RA")
+    return diff.diff_nodes(old, new)
+
+
+_NAMED = "SELECT DISTINCT concat('part_', src) AS source, concat('part_', dst) AS target, 'Call' AS kind FROM {t}"
+
+
+@query("d_edges", over(f", a AS ({_NAMED.format(t='cg')}), b AS ({_NAMED.format(t='cg2')}) SELECT *, 'Removed' AS status FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'Added' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)", _OLD_NEW))
+def d_edges(spark, sf_dir):
+    return diff.diff_edges(lifted(spark, sf_dir, "R"), lifted(spark, sf_dir, "A")).where("kind = 'Call'")
+
+
+_DEGREES = "SELECT 'part_' || p_partkey AS name, count(src) AS d FROM part LEFT JOIN {t} ON src = p_partkey GROUP BY p_partkey"
+
+
+@query("d_report", over(f" SELECT a.name, 'modified' AS status FROM ({_DEGREES.format(t='cg')}) a JOIN ({_DEGREES.format(t='cg2')}) b USING (name) WHERE a.d <> b.d", _OLD_NEW))
+def d_report(spark, sf_dir):
+    return diff.changed_names(lifted(spark, sf_dir, "R"), lifted(spark, sf_dir, "A")).where("status = 'modified'")
+
+
+@query("d_overlay", over(f", m AS (SELECT a.name FROM ({_DEGREES.format(t='cg')}) a JOIN ({_DEGREES.format(t='cg2')}) b USING (name) WHERE a.d <> b.d) SELECT node_id, CASE WHEN name IN (SELECT name FROM m) THEN 'modified' ELSE 'same' END AS status, CASE WHEN name IN (SELECT name FROM m) THEN '#ff9800' ELSE '#9e9e9e' END AS colour FROM nodes2", _OLD_NEW))
+def d_overlay(spark, sf_dir):
+    nodes = diff.overlay(lifted(spark, sf_dir, "R"), lifted(spark, sf_dir, "A"))[0]
+    return nodes.select("node_id", "status", "colour")
+
+
+@query("s_edge_dedup", over("SELECT src, dst, min(kind) AS kind FROM (SELECT src, dst, kind FROM edges UNION ALL SELECT src, dst, 'Call' FROM edges) GROUP BY src, dst"))
+def s_edge_dedup(spark, sf_dir):
+    edges = raw(spark, sf_dir)[1]
+    return tables.dedup_edges(edges.union(edges.withColumn("kind", F.lit("Call"))))
+
+
+@query("s_fn_table", over(f"{_METRICS} SELECT node_id, name, loc FROM fm WHERE contains(lower(name), 'rt_1') ORDER BY loc DESC, name COLLATE \"C\", line LIMIT 50"))
+def s_fn_table(spark, sf_dir):
+    nodes, edges = lifted(spark, sf_dir)
+    rows = metrics.function_metrics(nodes, edges, seeds=entry_parts(nodes))
+    return tables.function_table(rows, "RT_1", "loc", descending=True, limit=50).select("node_id", "name", "loc")
+
+
+@query("s_class_table", over("SELECT name, end_line - start_line + 1 AS loc FROM nodes WHERE kind = 'Class' AND contains(lower(name), 'brand#2')"))
+def s_class_table(spark, sf_dir):
+    return tables.search(metrics.class_metrics(*raw(spark, sf_dir)), "BRAND#2").select("name", "loc")
+
+
+@query("s_tree_search", over(_TREE.format(start=_START.format(id="CAST(1 AS BIGINT)"), links="cg", depth=4).replace("SELECT root_id, array", ", flat AS (SELECT root_id, array") + ") SELECT DISTINCT name FROM flat JOIN nodes ON nodes.node_id = flat.node_id WHERE contains(name, '1')"))
+def s_tree_search(spark, sf_dir):
+    return tables.search(trees.call_tree(*lifted(spark, sf_dir), "part_1", depth=4), "1").select("name").distinct()
+
+
+# Sinks, cache ------------------------------------------------------------------------------------------------------------------
+
+
+@query("k_dot", over("SELECT concat('  n', node_id, ' [label=\"', name, '\\nline ', start_line, '\"];') AS line FROM nodes WHERE kind <> 'CallSite' UNION ALL SELECT concat('  n', src, ' -> n', dst, ';') FROM edges WHERE kind = 'Call'"))
+def k_dot(spark, sf_dir):
+    return dot_lines(*raw(spark, sf_dir)).where("part IN (1, 2)").select("line")
+
+
+@query("k_json", over("SELECT '{\"node_id\":' || node_id || ',\"kind\":\"' || kind || '\",\"name\":\"' || name || '\"}' AS value FROM nodes WHERE kind <> 'CallSite'"))
+def k_json(spark, sf_dir):
+    return json_lines(raw(spark, sf_dir)[0].where("kind <> 'CallSite'").select("node_id", "kind", "name"))
+
+
+@query("k_graph_cache", over("SELECT src, dst, kind FROM edges"))
+def k_graph_cache(spark, sf_dir):
+    from graphloom.sources.cache import load_graph, save_graph
+
+    path = f"{Scratch(spark).root}/graph"
+    save_graph(*raw(spark, sf_dir), path)
+    return load_graph(spark, path)[1]
+
+
+@query("k_inc_cache", "SELECT count(*) AS misses FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id % 2 = 1)")
+def k_inc_cache(spark, sf_dir):
+    """Files whose content the cache does not have, after half of them were parsed."""
+    from graphloom.schemas import FILES, conform
+    from graphloom.sources.cache import FactCache
+
+    files = derived.document_files(spark, sf_dir).withColumn("sha256", F.sha2("content", 256)).withColumn("language", F.lit("Unknown"))
+    files = conform(files, FILES)
+    even = F.regexp_extract("path", r"/(\d+)\.", 1).cast("long") % 2 == 0
+    cache = FactCache(spark, f"{Scratch(spark).root}/facts")
+    cache.facts(files.where(even), lambda new: parse_files(new)[0])
+    return cache.misses(files).agg(F.count("*").alias("misses"))
+
+
