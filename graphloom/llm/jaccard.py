@@ -310,7 +310,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Sets are distinct runs of `size` words; a shorter text is one run; a text without words, or null, has an empty set
     and links with nothing. Rows link when 100 * intersection >= percent * union; component_id is the smallest key
-    reachable. Rows with one key are one node; a null key gets no component and links nobody. Extra columns are not
+    reachable. Rows with one key are one node, even if their texts differ; a null key gets no component and links nobody. Extra columns are not
     read, so they may have any names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -332,7 +332,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     members = named.join(mixed, "tok", "left_semi").select("tok", "c", "key", "comp").join(light, "key")
     rest = scratch.save(_tree_pairs(members, percent), "rest")
     second = verify(rest.join(first, ["a", "b"], "left_anti"), base, size, percent)
-    links = scratch.save(first.union(second), "links")
+    ends = profile.where("n > 0").groupBy("key").agg(F.min("d1").alias("low"), F.max("d1").alias("high"))
+    split = profile.join(ends.where("low <> high").select("key"), "key", "left_semi").join(classes, ["d1", "d2", "n"])
+    links = scratch.save(first.union(second).union(split.select(F.col("rep").alias("a"), F.col("key").alias("b"))), "links")
     label = connected_components(links, "a", "b")
     rows = profile.select("key", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
     rows = rows.join(label.withColumnRenamed("node", "rep"), "rep", "left")

@@ -1,7 +1,8 @@
 """Toxicity by a subsequence string-kernel SVM with Nyström landmarks.
 
 The kernel counts common subsequences of LENGTH characters that may have gaps, each occurrence weighted by DECAY to the
-power of its span, so an insult with gaps or inserted characters still shares most of them. An instance is a window of
+power of its span, so an insult with gaps or inserted characters still shares most of them; letters that are spelt out
+one by one are joined first. An instance is a window of
 WINDOW starting positions in a sentence. Landmarks are words that the training labels mark most; the SVM is linear in
 the Nyström map of the kernel values at the landmarks. Sentences inherit the label of their document, and as most
 sentences of a toxic document are harmless, training alternates between choosing the highest windows and fitting.
@@ -41,10 +42,19 @@ _PLACES = [(i, j, k) for k in range(LENGTH - 1, SPAN) for i in range(1, k - 1) f
 
 
 def laid_out(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of documents data[at[i]:at[i+1]] with breaks after each, where each begins, and where sentences begin."""
-    size = np.diff(at)
-    start = at[:-1] - at[0] + _PAD * np.arange(len(size))
+    """Symbols of documents data[at[i]:at[i+1]] with breaks after each, where each begins, and where sentences begin.
+
+    A mark or blank between two letters that stand alone is left out, so that spelt-out words are words again.
+    """
     raw = data[at[0] : at[-1]]
+    letter = np.zeros(len(raw) + 2, bool)
+    letter[1:-1] = SYMBOL[raw] > 0
+    alone = np.zeros(len(raw) + 2, bool)
+    alone[1:-1] = letter[1:-1] & ~letter[:-2] & ~letter[2:]
+    stays = letter[1:-1] | ~(alone[:-2] & alone[2:])
+    raw, at = raw[stays], np.concatenate([[0], np.cumsum(stays)])[at - at[0]]
+    size = np.diff(at)
+    start = at[:-1] + _PAD * np.arange(len(size))
     place = np.arange(len(raw)) + np.repeat(_PAD * np.arange(len(size)), size)
     sym = np.zeros(len(raw) + _PAD * len(size) + SPAN, np.int32)
     sym[place] = SYMBOL[raw]
