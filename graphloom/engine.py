@@ -25,13 +25,13 @@ class Engine:
         self.nodes, self.edges, self.errors = scratch.save(nodes, "nodes"), scratch.save(edges, "edges"), errors
 
     @classmethod
-    def from_files(cls, files: DataFrame, cache: str | None = None) -> Engine:
-        """The graph of FILES, in all their languages; with a cache, only new contents are parsed."""
+    def from_files(cls, files: DataFrame, cache: str | None = None, collapse: bool = False) -> Engine:
+        """The graph of FILES, in all their languages; with a cache, only new contents are parsed. collapse: see symbol_nodes."""
         if cache is None:
             facts, errors = parse_files(files)
         else:
             facts, errors = FactCache(files.sparkSession, cache).facts(files, lambda new: parse_files(new)[0]), None
-        nodes, edges = graph.build_graph(Scratch(files.sparkSession).save(facts, "facts"))
+        nodes, edges = graph.build_graph(Scratch(files.sparkSession).save(facts, "facts"), collapse)
         return cls(clean_nodes(nodes), edges, errors)
 
     @classmethod

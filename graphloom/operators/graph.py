@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.names import fact_key
@@ -11,35 +11,42 @@ from graphloom.plans.fixpoint import nearest
 SYMBOLS = ["Function", "Class"]
 
 
-def symbol_nodes(facts: DataFrame) -> DataFrame:
+def _key(collapse: bool) -> Column:
+    """usr or name; unless all facts collapse, facts that define nothing have a key of their own."""
+    shared = fact_key(F.col("usr"), F.col("name"))
+    return shared if collapse else F.when(F.col("kind").isin(SYMBOLS), shared).otherwise(F.concat("path", F.lit("#"), F.col("fact_id").cast("string")))
+
+
+def symbol_nodes(facts: DataFrame, collapse: bool = True) -> DataFrame:
     """(key, node_id, kind, name, usr, start_line, end_line): facts with one key are one node, the first by (path, fact_id) wins.
 
-    node_id is a 64-bit hash of the key; usr is always set. Facts without a name or usr share the key ''.
+    node_id is a 64-bit hash of the key; usr is always set. Facts without a name or usr share the key ''. With collapse
+    off, only functions and classes share nodes, so a call site never hides the definition that it names.
     """
     first = F.min_by(F.struct("kind", "name", "start_line", "end_line"), F.struct("path", "fact_id")).alias("n")
-    grouped = facts.withColumn("key", fact_key(F.col("usr"), F.col("name"))).groupBy("key").agg(first)
+    grouped = facts.withColumn("key", _key(collapse)).groupBy("key").agg(first)
     return grouped.select("key", F.xxhash64("key").alias("node_id"), "n.kind", "n.name", F.col("key").alias("usr"), "n.start_line", "n.end_line")
 
 
-def _keyed(facts: DataFrame) -> DataFrame:
-    return facts.withColumn("node_id", F.xxhash64(fact_key(F.col("usr"), F.col("name"))))
+def _keyed(facts: DataFrame, collapse: bool) -> DataFrame:
+    return facts.withColumn("node_id", F.xxhash64(_key(collapse)))
 
 
-def ingest(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def ingest(facts: DataFrame, collapse: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, AstChild edges) of a fact table of any number of files; an edge for every fact with a parent."""
-    keyed = _keyed(facts).select("path", "fact_id", "parent_id", "node_id")
+    keyed = _keyed(facts, collapse).select("path", "fact_id", "parent_id", "node_id")
     parents = keyed.select("path", F.col("fact_id").alias("parent_id"), F.col("node_id").alias("src"))
     edges = keyed.where("parent_id IS NOT NULL").join(parents, ["path", "parent_id"]).select("src", F.col("node_id").alias("dst"), F.lit("AstChild").alias("kind"))
-    return symbol_nodes(facts).drop("key"), edges
+    return symbol_nodes(facts, collapse).drop("key"), edges
 
 
-def resolve_calls(facts: DataFrame, weighted: bool = False) -> DataFrame:
+def resolve_calls(facts: DataFrame, weighted: bool = False, collapse: bool = True) -> DataFrame:
     """Call edges (src, dst, kind) from every call site to every function or class of that name.
 
     k call sites and m definitions of a name make k * m edges. weighted counts both sides first and gives one row
     (src, dst, kind, weight) for each pair of nodes, so a frequent name costs no more than its distinct nodes.
     """
-    keyed = _keyed(facts).where("name IS NOT NULL").select("name", "kind", "node_id")
+    keyed = _keyed(facts, collapse).where("name IS NOT NULL").select("name", "kind", "node_id")
     sites, defs = keyed.where("kind = 'CallSite'"), keyed.where(F.col("kind").isin(SYMBOLS))
     if not weighted:
         both = sites.select("name", F.col("node_id").alias("src")).join(defs.select("name", F.col("node_id").alias("dst")), "name")
@@ -50,10 +57,10 @@ def resolve_calls(facts: DataFrame, weighted: bool = False) -> DataFrame:
     return pairs.select("src", "dst", F.lit("Call").alias("kind"), "weight")
 
 
-def build_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def build_graph(facts: DataFrame, collapse: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) with nesting and call edges. Building a union of facts is the same as merging their graphs."""
-    nodes, nested = ingest(facts)
-    return nodes, nested.unionByName(resolve_calls(facts))
+    nodes, nested = ingest(facts, collapse)
+    return nodes, nested.unionByName(resolve_calls(facts, collapse=collapse))
 
 
 def merge(first: tuple[DataFrame, DataFrame], second: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
