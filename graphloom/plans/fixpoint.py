@@ -42,13 +42,13 @@ def reach(seeds: DataFrame, edges: DataFrame, by: list[str] | None = None, depth
         found = reduce(DataFrame.union, walks).groupBy(*by, "node").agg(F.min("hop").alias("hop"))
         new = scratch.save(found.join(visited.select(*by, "node"), [*by, "node"], "left_anti"), "new")
         done += steps
-        if not new.limit(1).count():
+        if new.isEmpty():
             break
         visited = visited.union(new)
         frontier = new.where(F.col("hop") == done)
         if done % (8 * hops) == 0:
             visited = scratch.save(visited, "seen")
-        if not frontier.limit(1).count():
+        if frontier.isEmpty():
             break
     return visited
 
@@ -83,7 +83,7 @@ def _least_label(vertices: DataFrame, edges: DataFrame, scratch: Scratch) -> Dat
             sent = edges.join(now, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "label")
             now = now.union(sent).groupBy("node").agg(F.min("label").alias("label"))
         after = scratch.save(now, "labels")
-        changed = after.join(labels, ["node", "label"], "left_anti").limit(1).count()
+        changed = not after.join(labels, ["node", "label"], "left_anti").isEmpty()
         labels = after
         if not changed:
             return labels
