@@ -6,6 +6,7 @@ shuffled, memory is bounded by the block and the longest document, and a lost ta
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 from graphloom.plans.scratch import Scratch
 from graphloom.plans.ship import ship
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LENGTH, BLOCK_TOKENS = 2048, 1 << 21
 #: Characters that are tokenised at once; longer texts are cut where the tokenizer's own words end.
-_SLICE, _BATCH = 1 << 18, 1 << 20
+_SLICE = 1 << 18
 
 
 class Capacities:
@@ -84,23 +85,36 @@ def slices(text: str, size: int = _SLICE) -> list[str]:
     return [*out, text[a:]]
 
 
-def _tokenised(texts: list[str | None], tokenizer, kind: type) -> Iterator[np.ndarray]:
-    """Token ids of each text, a bounded amount of text at a time."""
-    group: list[list[str]] = []
-    held = 0
+# Fixed value: how byte-level tokenizers cut a text into words (the published pattern).
+WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
-    def flush() -> Iterator[np.ndarray]:
-        found = iter(tokenizer.encode_batch_fast([part for parts in group for part in parts], add_special_tokens=False))
-        for parts in group:
-            yield np.concatenate([np.zeros(0, kind), *(np.array(next(found).ids, kind) for _ in parts)])
 
-    for text in texts:
-        group.append(slices(text or ""))
-        held += len(text or "")
-        if held >= _BATCH:
-            yield from flush()
-            group, held = [], 0
-    yield from flush()
+class Encoder:
+    """Token ids of texts by the content of a .tiktoken, .json (tokenizers) or .model (sentencepiece) file."""
+
+    def __init__(self, name: str, content: bytes):
+        if name.endswith(".tiktoken"):
+            import tiktoken
+
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+            made = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+            self.ids, self.size = made.encode_ordinary, max(ranks.values()) + 1
+        elif name.endswith(".json"):
+            from tokenizers import Tokenizer
+
+            made = Tokenizer.from_str(content.decode())
+            made.encode_special_tokens = True
+            self.ids, self.size = lambda t: made.encode(t, add_special_tokens=False).ids, made.get_vocab_size()
+        else:
+            import sentencepiece
+
+            made = sentencepiece.SentencePieceProcessor(model_proto=content)
+            self.ids, self.size = lambda t: made.encode(t, num_threads=1), made.vocab_size()
+        self.kind = np.uint16 if self.size < 1 << 16 else np.uint32
+
+    def encode(self, text: str) -> np.ndarray:
+        parts = [np.array(self.ids(s), self.kind) for s in slices(text)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 _ROWS = "part bigint, block bigint, row bigint, n_tokens bigint, ids binary, cu_seqlens array<int>, doc_ids array<{key}>, pieces array<int>"
@@ -142,41 +156,40 @@ def pack_tokens(
 
     `tokenizer` is the path of a tokenizer file that the driver reads. Texts longer than `length` tokens are split
     into pieces of `length` and a rest, so the pieces of a document in order are its tokens. pad defaults to the first
-    id after the vocabulary's ordinary ones. Rows depend on how the input is partitioned, as each task packs blocks of
+    id after the vocabulary. Rows depend on how the input is partitioned, as each task packs blocks of
     block_tokens of its own documents. Null and empty texts have no tokens and so no segment; repeated rows and null
     keys are packed as they come; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
-    from tokenizers import Tokenizer
-
-    spec = Path(tokenizer).read_text(encoding="utf-8")
-    size = Tokenizer.from_str(spec).get_vocab_size()
-    kind = np.uint16 if size < 1 << 16 else np.uint32
-    held = spark.sparkContext.broadcast(spec)
-    filler = size - 1 if pad is None else pad
+    content = Path(tokenizer).read_bytes()
+    size = Encoder(tokenizer, content).size
+    held = spark.sparkContext.broadcast(content)
+    filler = size if pad is None else pad
+    if filler >= 1 << 16 > size:
+        raise ValueError("pad does not fit 2 bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        own = Tokenizer.from_str(held.value)
-        own.encode_special_tokens = True
+        own = Encoder(tokenizer, held.value)
         number, block, tokens = 0, [], 0
         context = TaskContext.get()
         part = context.partitionId() if context else 0
         kind_of_key = None
         for batch in batches:
             kind_of_key = batch.column(0).type
-            for name, ids in zip(batch.column(0).to_pylist(), _tokenised(batch.column(1).to_pylist(), own, kind)):
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = own.encode(text or "")
                 for piece, a in enumerate(range(0, len(ids), length)):
                     block.append((name, piece, ids[a : a + length]))
                 tokens += len(ids)
                 if tokens >= block_tokens:
-                    yield from _packed(block, length, (part, number), filler, kind, kind_of_key)
+                    yield from _packed(block, length, (part, number), filler, own.kind, kind_of_key)
                     number, block, tokens = number + 1, [], 0
         if block:
-            yield from _packed(block, length, (part, number), filler, kind, kind_of_key)
+            yield from _packed(block, length, (part, number), filler, own.kind, kind_of_key)
 
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
     return base.mapInArrow(run, _ROWS.format(key=base.schema["key"].dataType.simpleString()))
