@@ -3,8 +3,8 @@
 1. Every text becomes its set of shingle hashes, a digest of the set, and a token bitmap. Equal sets form one class.
 2. Two sets of similarity t share a token among the first n - ceil(t n) + 1 of each under any common order, so the
    representatives meet at those tokens only. Tokens that a sample shows to be frequent come last in the order.
-3. At each token the members are compared with the smallest one first; only members that are still in different
-   components go on. They form a signature tree: leaves are documents, inner nodes hold the OR of the bitmaps and the
+3. Each representative is compared with the smallest one that it meets anywhere; at each token, only members that are
+   then still in different components go on. Two are compared directly, more form a signature tree: leaves are documents, inner nodes hold the OR of the bitmaps and the
    range of sizes. A dual traversal drops node pairs whose largest possible overlap is too small.
 4. What is left is verified on the whole sets; links and classes give the components.
 """
@@ -324,13 +324,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     met = tokens.groupBy("tok").agg(F.count("*").alias("c"), F.min("key").alias("pivot")).where("c > 1")
     shared = scratch.save(tokens.join(met, "tok").select("tok", "key", "c", "pivot"), "shared")
 
-    stars = shared.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+    stars = shared.where("key <> pivot").groupBy(F.col("key").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
     first = scratch.save(verify(_attach(stars, light, percent), base, size, percent), "first")
     label = connected_components(first, "a", "b")
-    named = shared.where("c > 2").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
-    mixed = named.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("tok")
-    members = named.join(mixed, "tok", "left_semi").select("tok", "c", "key", "comp").join(light, "key")
-    rest = scratch.save(_tree_pairs(members, percent), "rest")
+    named = shared.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
+    ends = named.groupBy("tok", "c").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    ends = scratch.save(ends.select("tok", "c", "a", "b"), "mixed")
+    twos = ends.where("c = 2").select("a", "b").distinct()
+    members = named.join(ends.where("c > 2").select("tok"), "tok", "left_semi").select("tok", "c", "key", "comp").join(light, "key")
+    rest = scratch.save(_attach(twos, light, percent).union(_tree_pairs(members, percent)).distinct(), "rest")
     second = verify(rest.join(first, ["a", "b"], "left_anti"), base, size, percent)
     ends = profile.where("n > 0").groupBy("key").agg(F.min("d1").alias("low"), F.max("d1").alias("high"))
     split = profile.join(ends.where("low <> high").select("key"), "key", "left_semi").join(classes, ["d1", "d2", "n"])
