@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.bounded import counted
+from graphloom.llm.quality import let
 from graphloom.plans.components import connected_components
 from graphloom.plans.scratch import Scratch
 
 
-def linked(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, extra: DataFrame | None = None, near: str = "true") -> DataFrame:
+def linked(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, extra: Callable[[DataFrame], DataFrame] | None = None, near: str = "true") -> DataFrame:
     """(node, component) of the verified links between items h that share a bucket bk of keyed (bk, h).
 
     First every member is compared with the smallest of its bucket. The links found join most members; then only
     members of one bucket that are still in different components are compared, all of them with each other, so no
-    link between components is lost. near: SQL over x.* and y.* (columns of extra, by h) that a pair has to meet.
+    link between components is lost. near: SQL over x.* and y.* that a pair has to meet; extra(items) gives these columns for a
+    table of items (h).
     verify keeps the pairs (a, b) that are links.
     """
     met = scratch.save(keyed.groupBy("bk").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("c")).where("a <> b"), "met")
@@ -29,7 +31,9 @@ def linked(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
     named = members.join(label.withColumnRenamed("node", "h"), "h", "left").select("bk", "h", F.coalesce("component", "h").alias("comp")).distinct()
     mixed = named.groupBy("bk").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bk")
     rest = named.join(mixed, "bk", "left_semi")
-    rest = rest if extra is None else rest.join(extra, "h")
+    if extra is not None:
+        rest = scratch.save(rest, "rest")
+        rest = rest.join(extra(scratch.save(rest.select("h").distinct(), "items")), "h")
     x, y = rest.alias("x"), rest.alias("y")
     crossed = x.join(y, F.expr(f"x.bk = y.bk AND x.h < y.h AND x.comp <> y.comp AND {near}")).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
     crossed = scratch.save(crossed.distinct().join(stars, ["a", "b"], "left_anti"), "crossed")
@@ -54,10 +58,13 @@ def without_lines(docs: DataFrame, removed: DataFrame, key: str, text: str) -> D
     base = docs.select(F.struct("*").alias("row"), F.col(key).alias("own_key"), F.col(text).alias("t"))
     joined = base.join(counted(removed), F.col("own_key") == F.col("removed_key"), "left")
     parts = F.split("t", "\n")
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("removed", i))
+
+    def kept(p: Column) -> Column:
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("removed")), lambda i: F.get(p, i))
+
     return joined.select(
         "row",
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("removed").isNull(), F.col("t")).otherwise(F.array_join(kept, "\n")).alias("clean_text"),
+        F.when(F.col("removed").isNull(), F.col("t")).otherwise(F.array_join(let(parts, kept), "\n")).alias("clean_text"),
     )

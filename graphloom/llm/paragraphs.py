@@ -3,8 +3,8 @@
 A paragraph is a line of MIN_WORDS words or more (white-space words, A to Z lower-cased). Its set holds the hashes of
 its runs of SHINGLE words. With 16 bands of 4 rows, paragraphs of similarity 0.8 miss each other with a probability
 of (1 - 0.8**4)**16, 0.02 %; `tuned` computes the bands for another recall. Members of one bucket that are not joined to
-its smallest one are compared with each other only if their sketches, SKETCH bits of each of the first 64 minima, agree
-in NEAR places or more; of pairs of similarity 0.8 that keeps all but 0.1 %.
+its smallest one are compared with each other only if their sketches, SKETCH bits of each of 256 minima, agree in NEAR
+places or more; of pairs of similarity 0.8 that keeps all but 0.1 %.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from graphloom.plans.scratch import Scratch
 from graphloom.plans.ship import ship
 
 SHINGLE, PERCENT, MIN_WORDS, RECALL = 5, 80, 20, 0.999
-SKETCH, LONGS, NEAR = 4, 4, 42
+SKETCH, LONGS, NEAR = 4, 16, 188
 
 
 def tuned(percent: int, recall: float, rows: int = 4) -> int:
@@ -59,17 +59,16 @@ def digest(value: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 def band_keys(value: np.ndarray, cut: np.ndarray, bands: int, rows: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """MinHash band keys and sketches, a row for each set; no set is empty."""
-    seeds = T.mix(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
-    keys = np.empty((len(cut) - 1, bands), np.uint64)
-    sketch, places = np.zeros((len(cut) - 1, LONGS), np.uint64), 64 // SKETCH
-    for band in range(bands):
-        key = np.full(len(cut) - 1, band, np.uint64)
-        for row in range(rows):
-            low = np.minimum.reduceat(value * seeds[band * rows + row], cut[:-1])
-            key = T.mix(key * np.uint64(0xD1342543DE82EF95) + low)
-            if (k := band * rows + row) < LONGS * places:
-                sketch[:, k // places] |= (T.mix(low) >> np.uint64(64 - SKETCH)) << np.uint64(SKETCH * (k % places))
-        keys[:, band] = key
+    places = 64 // SKETCH
+    seeds = T.mix(np.arange(1, max(bands * rows, LONGS * places) + 1, dtype=np.uint64)) | np.uint64(1)
+    keys = np.repeat(np.arange(bands, dtype=np.uint64)[None], len(cut) - 1, axis=0)
+    sketch = np.zeros((len(cut) - 1, LONGS), np.uint64)
+    for k, seed in enumerate(seeds):
+        low = np.minimum.reduceat(value * seed, cut[:-1])
+        if k < bands * rows:
+            keys[:, k // rows] = T.mix(keys[:, k // rows] * np.uint64(0xD1342543DE82EF95) + low)
+        if k < LONGS * places:
+            sketch[:, k // places] |= (T.mix(low) >> np.uint64(64 - SKETCH)) << np.uint64(SKETCH * (k % places))
     return keys.view(np.int64), sketch.view(np.int64)
 
 
@@ -142,7 +141,10 @@ def paragraph_dedup(
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).where(F.col("key").isNotNull() & F.col("t").isNotNull())
     every = scratch.save(_profiles(base, size, least, tuned(percent, recall)), "paragraphs")
     distinct = scratch.save(every.groupBy("h").agg(F.min("key").alias("key")), "distinct")
-    once = every.join(distinct, ["h", "key"], "left_semi").drop("key", "pos").dropDuplicates(["h"])
+    once = every.join(distinct, ["h", "key"], "left_semi").select("h", "bk").dropDuplicates(["h"])
+
+    def sketches(some: DataFrame) -> DataFrame:
+        return every.select("h", *[f"s{k}" for k in range(LONGS)]).join(counted(some), "h", "left_semi").dropDuplicates(["h"])
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs, "pairs")
@@ -154,7 +156,7 @@ def paragraph_dedup(
         both = pairs.join(sets.select(F.col("h").alias("a"), F.col("value").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("value").alias("y")), "b")
         return _similar(both.select("a", "b", "x", "y"), percent)
 
-    label = linked(once.select("h", F.explode("bk").alias("bk")), verify, scratch, once.drop("bk"), f"{agreeing()} >= {NEAR}")
+    label = linked(once.select("h", F.explode("bk").alias("bk")), verify, scratch, sketches, f"{agreeing()} >= {NEAR}")
     groups = every.select("key", "pos", "h").join(label.withColumnRenamed("node", "h"), "h", "left")
     groups = groups.select("key", "pos", F.coalesce("component", "h").alias("g"), F.lit(0).alias("g2"))
     return without_lines(docs, repeated_positions(groups, scratch), key, text)

@@ -30,7 +30,7 @@ ENDING = r"""[.!?…:;,"'”»)\]][\x20\x09-\x0D]*\z"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -43,7 +43,7 @@ def _windows(words: Column, size: int) -> Column:
     def hashed(h: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(size)]))
 
-    return F.when(F.size(words) >= size, _let(F.transform(words, lambda w: F.xxhash64(w)), hashed)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(words) >= size, let(F.transform(words, lambda w: F.xxhash64(w)), hashed)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _covered(hashes: Column, size: int) -> Column:
@@ -64,7 +64,7 @@ def _covered(hashes: Column, size: int) -> Column:
         gaps = F.transform(p, lambda i, k: F.least(F.lit(size), F.coalesce(F.get(p, k + 1) - i, F.lit(size))).cast("long"))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, b: a + b)
 
-    return _let(_let(paired, repeated), span)
+    return let(let(paired, repeated), span)
 
 
 def line_fails(line: Column, max_symbols: float = 0.1, short: int = 3, nav_words: int = 8) -> Column:
@@ -87,7 +87,7 @@ def line_fails(line: Column, max_symbols: float = 0.1, short: int = 3, nav_words
             found = found | F.contains(low, F.lit(phrase))
         return found
 
-    return has(1) & (punctuation | separated | _let(F.translate(line, UPPER, LOWER), phrases))
+    return has(1) & (punctuation | separated | let(F.translate(line, UPPER, LOWER), phrases))
 
 
 def line_quality(
@@ -122,8 +122,8 @@ def line_quality(
         _size(F.col("w")).alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         "n_symbols",
-        _let(worded, lambda x: _size(x) - _size(F.array_distinct(x))).alias("n_dup_lines"),
-        _let(
+        let(worded, lambda x: _size(x) - _size(F.array_distinct(x))).alias("n_dup_lines"),
+        let(
             _windows(F.col("w"), window),
             lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(h, window)).otherwise(F.lit(0).cast("long")),
         ).alias("n_repeat_words"),
