@@ -135,7 +135,7 @@ def test_line_dedup(spark):
 def test_simhash_counts_bits(spark):
     rng = random.Random(3)
     rows = [(i, words(rng, n)) for i, n in enumerate((1, 2, 3, 127, 128, 300, 33000))]
-    lines = spark.createDataFrame(rows, "key long, t string").select("key", F.lit(0).alias("pos"), F.split("t", " ").alias("w"), F.lit(1).alias("h"), F.lit(1).alias("h2")).withColumn("n", F.size("w"))
+    lines = spark.createDataFrame(rows, "key long, line string").withColumn("pos", F.lit(0))
     got = {r.key: r.sim for r in linededup.with_simhash(lines).collect()}
     hashes = {r.w: r.h for r in spark.createDataFrame([(f"w{i}",) for i in range(300)], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
     for i, t in rows:
@@ -154,9 +154,9 @@ def test_paragraph_dedup(spark):
 
 
 def test_sketches_agree(spark):
-    x = [-1, 5, 1 << 62, -(1 << 63)]
-    y = [-1, 4, 1 << 61, 0]
-    row = spark.createDataFrame([(x, y)], "x array<long>, y array<long>").select(*[F.struct(*[F.col(c)[k].alias(f"s{k}") for k in range(4)]).alias(c) for c in "xy"])
+    x = [-1, 5, 1 << 62, -(1 << 63)] * 4
+    y = [-1, 4, 1 << 61, 0] * 4
+    row = spark.createDataFrame([(x, y)], "x array<long>, y array<long>").select(*[F.struct(*[F.col(c)[k].alias(f"s{k}") for k in range(paragraphs.LONGS)]).alias(c) for c in "xy"])
     nibbles = sum((a >> 4 * k & 15) == (b >> 4 * k & 15) for a, b in zip(x, y) for k in range(16))
     assert row.selectExpr(f"{paragraphs.agreeing()} AS n").first().n == nibbles
 
@@ -294,20 +294,29 @@ def test_packed_tokens_round_trip(spark, rows, tmp_path):
         for d, p, a, b in zip(r.doc_ids, r.pieces, r.cu_seqlens[:-1], r.cu_seqlens[1:]):
             parts[d, p] = ids[a:b].tolist()
             assert r.pos[a:b] == list(range(b - a))
-    tokenizer = Tokenizer.from_file(tokenpack.TOKENIZER)
+    tokenizer = Tokenizer.from_file(tokenpack.TOKENIZER.replace(".tiktoken", ".json"))
     for i, t in docs:
         ids = [x for k in sorted(k for k in parts if k[0] == i) for x in parts[k]]
         assert tokenizer.decode(ids, skip_special_tokens=False) == (t or "")
     assert tokenpack.pack_tokens(table(spark, [])).count() == 0
 
 
-def test_slices_keep_tokens():
-    from tokenizers import Tokenizer
+def encoder(name):
+    path = f"{tokenpack.TOKENIZER.rsplit('/', 1)[0]}/{name}"
+    with open(path, "rb") as f:
+        return tokenpack.Encoder(path, f.read())
+
 
-    tokenizer = Tokenizer.from_file(tokenpack.TOKENIZER)
+def test_tokenizers():
+    one, two = encoder("byte_bpe_50k.tiktoken"), encoder("byte_bpe_50k.json")
+    rng = random.Random(13)
+    for _ in range(60):
+        text = "".join(rng.choice(["it's", " we'll", "  ", "\n\n", "\t", " é漢", "²½", " 42", "<|endoftext|>", "_x-", "...", " word", "\u00a0", "\u2003 "]) for _ in range(40))
+        assert one.encode(text).tolist() == two.encode(text).tolist()
+    assert len(one.encode("")) == 0 and len(encoder("piece_bpe_32k.model").encode("a word")) > 0
     text = "a b  c " * 3000 + "dd ee" * 100 + "x" * 3000
     assert "".join(tokenpack.slices(text, 500)) == text
-    assert [i for s in tokenpack.slices(text, 500) for i in tokenizer.encode(s).ids] == tokenizer.encode(text).ids
+    assert [i for s in tokenpack.slices(text, 500) for i in one.ids(s)] == one.ids(text)
 
 
 def insulting(rng, style):
