@@ -132,6 +132,20 @@ def test_line_dedup(spark):
     assert linededup.line_dedup(table(spark, [])).count() == 0
 
 
+def test_similar_lines_are_linked_at_any_distance_up_to_the_limit(spark):
+    rng = random.Random(21)
+    rows = []
+    for n in (5, 9, 10, 14, 19, 20, 50, 100):
+        for k in range(1, n // 5 + 1):
+            base = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+            other = list(base)
+            for i in rng.sample(range(n), k):
+                other[i] = f"z{rng.randrange(10**6)}"
+            rows += [(2 * len(rows), " ".join(base)), (2 * len(rows) + 1, " ".join(other))]
+    got = {r["row"].doc_id: r.n_removed for r in linededup.line_dedup(table(spark, rows)).collect()}
+    assert [i for i, _ in rows[1::2] if got[i] != 1] == [] and all(got[i] == 0 for i, _ in rows[::2])
+
+
 def test_simhash_counts_bits(spark):
     rng = random.Random(3)
     rows = [(i, words(rng, n)) for i, n in enumerate((1, 2, 3, 127, 128, 300, 33000))]
