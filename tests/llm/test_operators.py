@@ -146,6 +146,15 @@ def test_similar_lines_are_linked_at_any_distance_up_to_the_limit(spark):
     assert [i for i, _ in rows[1::2] if got[i] != 1] == [] and all(got[i] == 0 for i, _ in rows[::2])
 
 
+def test_lines_are_linked_alike_beside_other_lines(spark):
+    rng = random.Random(22)
+    base = [f"v{k}" for k in range(50)]
+    pair = [(1, " ".join(base)), (2, " ".join(f"z{k}" if k % 6 == 3 else w for k, w in enumerate(base)))]
+    for more in (0, 300):
+        rows = pair + [(10 + i, words(rng, 30, 10**6)) for i in range(more)]
+        assert [r["row"].doc_id for r in linededup.line_dedup(table(spark, rows)).where("n_removed > 0").collect()] == [2]
+
+
 def test_simhash_counts_bits(spark):
     rng = random.Random(3)
     rows = [(i, words(rng, n)) for i, n in enumerate((1, 2, 3, 127, 128, 300, 33000))]
