@@ -155,6 +155,14 @@ def test_lines_are_linked_alike_beside_other_lines(spark):
         assert [r["row"].doc_id for r in linededup.line_dedup(table(spark, rows)).where("n_removed > 0").collect()] == [2]
 
 
+def test_lines_similar_in_letters_are_linked(spark):
+    long = [f"considerable{k}" for k in range(24)]
+    wrong = [w.replace("s", "x", 1) if k % 4 == 0 else w for k, w in enumerate(long)]
+    rows = [(1, "subscribe to our newsletter"), (2, "Subscribe to our newsletters"), (3, " ".join(long)), (4, " ".join(wrong)), (5, "subscribe to our channel")]
+    got = {r["row"].doc_id: r.n_removed for r in linededup.line_dedup(table(spark, rows)).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
+
+
 def test_simhash_counts_bits(spark):
     rng = random.Random(3)
     rows = [(i, words(rng, n)) for i, n in enumerate((1, 2, 3, 127, 128, 300, 33000))]
