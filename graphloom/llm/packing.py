@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,50 +12,68 @@ from graphloom.llm.quality import WORD
 from graphloom.plans.scratch import Scratch
 
 BUCKETS, TOKEN_BUDGET = 16, 65_536
-#: The histogram has so many bins at most; with longer texts, lengths share bins of equal width.
-BINS = 4096
 #: Rows that one task numbers; buckets are dealt over as many shards as that needs.
 SHARD_ROWS = 50_000
 
 
+def _layer(cost: np.ndarray, weight: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(least of cost[i] + weight(i, j) over i < j, the first such i) for every j; 0 for j = 0.
+
+    The weights meet the quadrangle inequality, so the best i never falls as j grows: each step halves the distance of
+    the known j and looks for those between two known ones only between their i. A step looks at 2 * len(cost) i at most.
+    """
+    n = len(cost) - 1
+    after, cut = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    step = 1 << (n.bit_length() - 1)
+    while step:
+        j = np.arange(step, n + 1, 2 * step)
+        low = cut[j - step]
+        high = np.minimum(np.where(j + step <= n, cut[np.minimum(j + step, n)], n), j - 1)
+        size = high - low + 1
+        start = np.cumsum(size) - size
+        i = np.arange(size.sum()) + np.repeat(low - start, size)
+        options = cost[i] + weight(i, np.repeat(j, size))
+        after[j] = np.minimum.reduceat(options, start)
+        places = np.flatnonzero(options == np.repeat(after[j], size))
+        cut[j] = i[places[np.searchsorted(places, start)]]
+        step //= 2
+    return after, cut
+
+
 def optimal_boundaries(length: np.ndarray, count: np.ndarray, total: np.ndarray, buckets: int) -> list[int]:
     """Upper ends of at most `buckets` buckets with the least padding.
 
-    Bins in order of length: the longest text, the number of texts, and the sum of their lengths. A bucket pads all of
-    its texts to its longest one. cost[j] is the least padding of the first j bins; ties go to fewer buckets.
+    Distinct lengths in order, the number of texts, and the sum of their lengths. A bucket pads all of its texts to its
+    longest one. cost[j] is the least padding of the first j lengths; ties go to fewer buckets.
     """
     n = len(length)
-    c, s = (np.concatenate([[0], np.cumsum(x)]).astype(np.float64) for x in (count, total))
-    cost = np.full(n + 1, np.inf)
-    cost[0] = 0
-    choice = []
-    for _ in range(min(buckets, n)):
-        after, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        after[0] = 0
-        for j in range(1, n + 1):
-            options = cost[:j] + (c[j] - c[:j]) * float(length[j - 1]) - (s[j] - s[:j])
-            cut[j] = int(np.argmin(options))
-            after[j] = options[cut[j]]
-        choice.append(cut)
-        if choice[1:] and after[n] >= cost[n]:
-            choice.pop()
+    if not n:
+        return []
+    c, s = (np.concatenate([[0], np.cumsum(np.asarray(x, np.int64))]) for x in (count, total))
+    ends = np.concatenate([[0], np.asarray(length, np.int64)])
+    weight = lambda i, j: (c[j] - c[i]) * ends[j] - (s[j] - s[i])
+    cost, choice = c * ends - s, [np.zeros(n + 1, np.int64)]
+    for _ in range(min(buckets, n) - 1):
+        after, cut = _layer(cost, weight)
+        if after[n] >= cost[n]:
             break
+        choice.append(cut)
         cost = after
-    ends, j = [], n
+    found, j = [], n
     for cut in reversed(choice):
         if j:
-            ends.append(int(length[j - 1]))
+            found.append(int(ends[j]))
             j = int(cut[j])
-    return sorted(set(ends))
+    return sorted(set(found))
 
 
-def histogram(lengths: DataFrame, bins: int = BINS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(longest, count, sum) of every bin over all rows; the driver gets `bins` + 1 rows at most."""
-    longest = lengths.agg(F.max("length")).first()[0]
-    width = max(1, -(-(longest or 0) // bins))
-    bin_of = F.ceil(F.col("length") / width)
-    rows = lengths.groupBy(bin_of.alias("bin")).agg(F.max("length").alias("m"), F.count("*").alias("c"), F.sum("length").alias("s")).orderBy("bin").collect()
-    return tuple(np.array([r[k] for r in rows], np.int64) for k in ("m", "c", "s"))
+def histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, count, sum) of every distinct length over all rows.
+
+    The driver gets a row for each; k distinct lengths take k * k / 2 words, so a terabyte of text has under a million.
+    """
+    rows = lengths.groupBy("length").agg(F.count("*").alias("c"), F.sum("length").alias("s")).orderBy("length").collect()
+    return tuple(np.array([r[k] for r in rows], np.int64) for k in ("length", "c", "s"))
 
 
 def word_count(text: Column) -> Column:
@@ -68,12 +88,10 @@ def pack_buckets(
     buckets: int = BUCKETS,
     budget: int = TOKEN_BUDGET,
     length: Column | None = None,
-    bins: int = BINS,
 ) -> DataFrame:
     """Per row: key, length, bucket (from 0), bucket_length, batch (from 0, all buckets), slot in the batch.
 
-    The boundaries minimise the padding of the whole table (up to bins of equal width where texts are longer than
-    `bins`). A batch has budget // bucket_length rows, at least one; only the last batch of a bucket has fewer. The
+    The boundaries minimise the padding of the whole table, over all distinct lengths. A batch has budget // bucket_length rows, at least one; only the last batch of a bucket has fewer. The
     order within a bucket follows a hash of the key and then the key, and is numbered in shards, so no bucket is
     gathered in one task. `length` defaults to words. Null and empty texts have length 0; repeated rows get a slot
     each; an empty table gives an empty result; other columns are not read and may have any names.
@@ -81,7 +99,7 @@ def pack_buckets(
     scratch = Scratch(docs.sparkSession)
     measured = docs.select(F.col(key).alias("key"), (word_count(F.col(text)) if length is None else length.cast("long")).alias("length"))
     measured = scratch.save(measured, "lengths")
-    ends = optimal_boundaries(*histogram(measured, bins), buckets) or [0]
+    ends = optimal_boundaries(*histogram(measured), buckets) or [0]
     places = F.array(*[F.lit(e).cast("long") for e in ends])
     number = F.size(F.filter(places, lambda e: e < F.col("length")))
     sized = measured.withColumn("bucket", number)

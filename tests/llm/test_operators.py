@@ -277,6 +277,34 @@ def test_optimal_buckets():
         assert len(ends) <= 3 and waste(ends) == best
 
 
+def padding(lengths, ends):
+    return sum(min(e for e in ends if e >= n) - n for n in lengths)
+
+
+def test_one_long_text_does_not_coarsen_the_buckets(spark):
+    rng = random.Random(31)
+    lengths = [rng.randint(1, 60) for _ in range(80)] + [5000, 5003, 200_000]
+    got = packing.pack_buckets(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, text long"), buckets=6, length=F.col("text")).collect()
+    distinct = sorted(set(lengths))
+    best = {0: 0}  # least padding of the lengths up to each one, in at most so many buckets
+    for _ in range(6):
+        best = {e: min(best[a] + sum(e - n for n in lengths if a < n <= e) for a in best if a < e or a == e == 0) for e in [0, *distinct] if any(a < e for a in best) or e == 0}
+    assert padding(lengths, {r.bucket_length for r in got}) == best[200_000]
+
+
+def test_many_distinct_lengths():
+    rng = np.random.default_rng(32)
+    length = np.sort(rng.choice(np.arange(1, 20_000_000), 500, replace=False))
+    count = rng.integers(1, 1000, 500)
+    c, s = (np.concatenate([[0], np.cumsum(x)]) for x in (count, length * count))
+    cost = [0, *(c[1:] * length - s[1:])]
+    for _ in range(15):
+        cost = [0, *(min(cost[i] + (c[j] - c[i]) * int(length[j - 1]) - (s[j] - s[i]) for i in range(j)) for j in range(1, 501))]
+    ends = packing.optimal_boundaries(length, count, length * count, 16)
+    end = np.array(ends)[np.searchsorted(ends, length)]
+    assert len(ends) <= 16 and int(((end - length) * count).sum()) == cost[-1]
+
+
 def test_batches_are_full(spark, rows, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ROWS", 5)
     got = packing.pack_buckets(table(spark, rows), buckets=3, budget=200).collect()
