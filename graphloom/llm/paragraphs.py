@@ -1,7 +1,7 @@
 """Substring deduplication: MinHash bands over paragraphs, exact Jaccard, connected components.
 
-A paragraph is a line of MIN_WORDS words or more (white-space words, A to Z lower-cased). Its set holds the hashes of
-its runs of SHINGLE words. With 16 bands of 4 rows, paragraphs of similarity 0.8 miss each other with a probability
+A paragraph is a line of MIN_WORDS words or more (white-space words, A to Z lower-cased), and also a block of several
+lines between blank ones, read as one text wherever it is wrapped. Its set holds the hashes of its runs of SHINGLE words. With 16 bands of 4 rows, paragraphs of similarity 0.8 miss each other with a probability
 of (1 - 0.8**4)**16, 0.02 %; `tuned` computes the bands for another recall. Members of one bucket that are not joined to
 its smallest one are compared with each other only if their sketches, SKETCH bits of each of 256 minima, agree in NEAR
 places or more; of pairs of similarity 0.8 that keeps all but 0.1 %.
@@ -10,6 +10,7 @@ places or more; of pairs of similarity 0.8 that keeps all but 0.1 %.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,11 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import text as T
 from graphloom.llm.bounded import counted
-from graphloom.llm.buckets import linked, repeated_positions, without_lines
+from graphloom.llm.buckets import linked, without_lines
 from graphloom.plans.scratch import Scratch
 from graphloom.plans.ship import ship
 
-SHINGLE, PERCENT, MIN_WORDS, RECALL = 5, 80, 20, 0.999
+SHINGLE, PERCENT, MIN_WORDS, RECALL = 5, 80, 5, 0.999
 SKETCH, LONGS, NEAR = 4, 16, 188
 
 
@@ -31,8 +32,15 @@ def tuned(percent: int, recall: float, rows: int = 4) -> int:
     return int(np.ceil(np.log(1 - recall) / np.log(1 - (percent / 100) ** rows)))
 
 
-def paragraphs(data: np.ndarray, at: np.ndarray, size: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(document, position, set, where each set begins) of the paragraphs of documents data[at[i]:at[i+1]]."""
+def some(value: np.ndarray, cut: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen ones of sets value[cut[i]:cut[i+1]]."""
+    n = np.diff(cut)[which]
+    begin = np.concatenate([[0], np.cumsum(n)])
+    return value[np.repeat(cut[which] - begin[:-1], n) + np.arange(n.sum())], begin
+
+
+def paragraphs(data: np.ndarray, at: np.ndarray, size: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, position, position after it, set, where each set begins) of the paragraphs of documents data[at[i]:at[i+1]]."""
     for i, j in T.chunks(at):
         own = at[i : j + 1]
         breaks = own[0] + np.flatnonzero(data[own[0] : own[-1]] == 10) + 1
@@ -44,12 +52,19 @@ def paragraphs(data: np.ndarray, at: np.ndarray, size: int, least: int) -> Itera
         first = np.searchsorted(starts, own[:-1])
         pos = np.arange(len(starts)) - first[doc]
         w = T.words(data, np.append(starts, own[-1]), T.NOT_SPACE)
-        value, of = T.shingles(w, size)
-        value, cut = T.distinct_sets(value, of, len(starts))
-        long = np.flatnonzero(np.diff(w.at) >= least)
-        n = np.diff(cut)[long]
-        take = np.repeat(cut[long] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-        yield i + doc[long], pos[long], value[take], np.concatenate([[0], np.cumsum(n)])
+        lines = np.arange(len(starts))
+        filled = np.flatnonzero(np.diff(w.at) > 0)
+        new = np.ones(len(filled), bool)
+        new[1:] = (np.diff(filled) > 1) | (np.diff(doc[filled]) > 0)
+        last = np.append(np.flatnonzero(new)[1:], len(filled)) - 1
+        blocks, after = filled[new], filled[last] + 1 if len(filled) else filled
+        for begin, end in ((lines, lines + 1), (blocks, after)):
+            sized = replace(w, at=np.append(w.at[begin], w.at[-1]))
+            long = np.flatnonzero((np.diff(sized.at) >= least) & ((begin is lines) | (end - begin > 1)))
+            if len(long):
+                value, of = T.shingles(sized, size)
+                value, cut = some(*T.distinct_sets(value, of, len(begin)), long)
+                yield i + doc[begin[long]], pos[begin[long]], pos[begin[long]] + (end - begin)[long], value, cut
 
 
 def digest(value: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -72,21 +87,30 @@ def band_keys(value: np.ndarray, cut: np.ndarray, bands: int, rows: int = 4) ->
     return keys.view(np.int64), sketch.view(np.int64)
 
 
-def _profiles(base: DataFrame, size: int, least: int, bands: int) -> DataFrame:
-    """(key, pos, h, bk, s0, s1, ...): digest, band keys and sketch of every paragraph."""
+def _profiles(base: DataFrame, size: int, least: int, bands: int, percent: int) -> DataFrame:
+    """(key, pos, after, h, bk, s0, s1, ...): digest, band keys and sketch of every paragraph.
+
+    A set so small that one element more or less takes its similarity below percent only needs its digest.
+    """
     longs = [f"s{k}" for k in range(LONGS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, pos, value, cut in paragraphs(*T.buffers(batch.column(1)), size, least):
-                if len(doc):
-                    keys, sketch = band_keys(value, cut, bands)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(doc)), pa.array(pos, pa.int32()), pa.array(digest(value, cut)), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)],
-                        names=["key", "pos", "h", "bk", *longs],
-                    )
-
-    return base.mapInArrow(run, f"key {base.schema['key'].dataType.simpleString()}, pos int, h bigint, bk array<bigint>, {', '.join(f'{c} bigint' for c in longs)}")
+            for doc, pos, after, value, cut in paragraphs(*T.buffers(batch.column(1)), size, least):
+                h, large = digest(value, cut), np.diff(cut) * (100 - percent) >= percent
+                for which in (np.flatnonzero(large), np.flatnonzero(~large)):
+                    if len(which) and large[which[0]]:
+                        keys, sketch = band_keys(*some(value, cut, which), bands)
+                        more = [pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)]
+                    else:
+                        more = [pa.nulls(len(which), pa.list_(pa.int64())), *(pa.nulls(len(which), pa.int64()) for _ in longs)]
+                    if len(which):
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(pa.array(doc[which])), pa.array(pos[which], pa.int32()), pa.array(after[which], pa.int32()), pa.array(h[which]), *more],
+                            names=["key", "pos", "after", "h", "bk", *longs],
+                        )
+
+    return base.mapInArrow(run, f"key {base.schema['key'].dataType.simpleString()}, pos int, after int, h bigint, bk array<bigint>, {', '.join(f'{c} bigint' for c in longs)}")
 
 
 def _sets(base: DataFrame, size: int, least: int) -> DataFrame:
@@ -94,7 +118,7 @@ def _sets(base: DataFrame, size: int, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, value, cut in paragraphs(*T.buffers(batch.column(1)), size, least):
+            for *_, value, cut in paragraphs(*T.buffers(batch.column(1)), size, least):
                 sets = [value[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(digest(value, cut)), pa.array(sets, pa.binary())], names=["h", "value"])
 
@@ -124,6 +148,22 @@ def _similar(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
+def _repeated(groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """(removed_key, removed): for each document the sorted positions of paragraphs (key, pos, after) of a group g that is seen before.
+
+    The first occurrence by key and position stays. A block with a line of its own group is left to this line, so that
+    the block's other lines stay.
+    """
+    lines = groups.where("after = pos + 1").select(F.col("key").alias("k"), F.col("g").alias("lg"), F.col("pos").alias("p"))
+    blocks = groups.where("after > pos + 1").join(lines, F.expr("key = k AND g = lg AND p >= pos AND p < after"), "left_anti")
+    groups = scratch.save(groups.where("after = pos + 1").union(blocks), "apart")
+    several = groups.groupBy("g").agg(F.min(F.struct("key", "pos", "after")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    own, same = F.sequence("pos", F.col("after") - 1), F.struct("key", "pos", "after") == F.col("first")
+    gone = groups.join(several, "g").where(~same).select("key", F.explode(own).alias("pos"))
+    removed = gone.groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("removed")).withColumnRenamed("key", "removed_key")
+    return scratch.save(removed, "removed")
+
+
 def paragraph_dedup(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, least: int = MIN_WORDS, recall: float = RECALL
 ) -> DataFrame:
@@ -131,17 +171,17 @@ def paragraph_dedup(
 
     Paragraphs with equal sets are one; others are linked if they share a band and their exact Jaccard similarity is
     percent or more. Of each component the occurrence with the smallest (key, position) stays, the others are removed
-    from their texts. Lines of fewer than `least` words are no paragraphs and always stay. Rows with one key count as
-    one document. Rows with a null key or text keep their text; empty tables give empty results; extra columns stay in
+    from their texts. Lines and blocks (of several lines between blank ones) of fewer than `least` words are no
+    paragraphs; such lines stay unless the block that they are in goes. Rows with one key count as one document. Rows with a null key or text keep their text; empty tables give empty results; extra columns stay in
     `row` under whatever name.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark)
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).where(F.col("key").isNotNull() & F.col("t").isNotNull())
-    every = scratch.save(_profiles(base, size, least, tuned(percent, recall)), "paragraphs")
+    every = scratch.save(_profiles(base, size, least, tuned(percent, recall), percent), "paragraphs")
     distinct = scratch.save(every.groupBy("h").agg(F.min("key").alias("key")), "distinct")
-    once = every.join(distinct, ["h", "key"], "left_semi").select("h", "bk").dropDuplicates(["h"])
+    once = every.where("bk IS NOT NULL").join(distinct, ["h", "key"], "left_semi").select("h", "bk").dropDuplicates(["h"])
 
     def sketches(some: DataFrame) -> DataFrame:
         return every.select("h", *[f"s{k}" for k in range(LONGS)]).join(counted(some), "h", "left_semi").dropDuplicates(["h"])
@@ -157,9 +197,9 @@ def paragraph_dedup(
         return _similar(both.select("a", "b", "x", "y"), percent)
 
     label = linked(once.select("h", F.explode("bk").alias("bk")), verify, scratch, sketches, f"{agreeing()} >= {NEAR}")
-    groups = every.select("key", "pos", "h").join(label.withColumnRenamed("node", "h"), "h", "left")
-    groups = groups.select("key", "pos", F.coalesce("component", "h").alias("g"), F.lit(0).alias("g2"))
-    return without_lines(docs, repeated_positions(groups, scratch), key, text)
+    groups = every.select("key", "pos", "after", "h").join(label.withColumnRenamed("node", "h"), "h", "left")
+    groups = groups.select("key", "pos", "after", F.coalesce("component", "h").alias("g"))
+    return without_lines(docs, _repeated(scratch.save(groups, "groups"), scratch), key, text)
 
 
 def op10_paragraph_minhash(spark, sf_dir: str) -> DataFrame:

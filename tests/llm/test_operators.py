@@ -184,6 +184,18 @@ def test_paragraph_dedup(spark):
     assert paragraphs.paragraph_dedup(table(spark, [])).count() == 0
 
 
+def test_short_and_wrapped_paragraphs(spark):
+    rng = random.Random(41)
+    short, long, other = words(rng, 6, 10**6), words(rng, 60, 10**6), words(rng, 60, 10**6)
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, 60, n))
+    rows = [(1, f"{short}\n\n{wrap(long, 11)}\n\nend"), (2, f"{wrap(changed(rng, long, 1), 8)}\n\n{other}"), (3, f"x\n\n{short}\n\n{long}"), (4, f"{other}\n{other}\n\ny")]
+    rows.append((0, f"{words(rng, 9)}\nalone"))
+    got = {r["row"].doc_id: r.clean_text for r in paragraphs.paragraph_dedup(table(spark, rows)).collect()}
+    assert got == {0: rows[4][1], 1: rows[0][1], 2: f"\n{other}", 3: "x\n\n", 4: "\ny"}
+    twice = paragraphs.paragraph_dedup(table(spark, [(1, f"{other}\n{other}")])).first()
+    assert twice.clean_text == other
+
+
 def test_sketches_agree(spark):
     x = [-1, 5, 1 << 62, -(1 << 63)] * 4
     y = [-1, 4, 1 << 61, 0] * 4
