@@ -1,7 +1,9 @@
 """Licence recognition by sentence rules. Native.
 
 Texts are cut into sentences; each normalised sentence that is a known licence sentence becomes its identifier, and
-ordered rules are matched against the sequence of identifiers of a text.
+ordered rules are matched against the sequence of identifiers of a text. Sentences end at full stops, exclamation and
+question marks and blank lines. Semicolons, colons and single newlines may end a sentence or lie within one, as in
+wrapped notices, so a known sentence may go on over them; of several, the longest is taken.
 """
 
 from __future__ import annotations
@@ -65,6 +67,8 @@ RULES = [
 TRIGGER = "licen|permission|warrant|redistribut|copyright"
 END = r"([.!?;:])[\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Ends of sentences, and places where a sentence may end or go on.
+_HARD, _SOFT = "\x01", "\x02"
 
 
 def _pattern(ids: list[str]) -> str:
@@ -73,11 +77,15 @@ def _pattern(ids: list[str]) -> str:
 
 def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    low = F.translate(text, _UPPER, _LOWER)
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    parts = F.split(F.regexp_replace(low, END, "$1\n"), "\n")
-    named = F.transform(parts, lambda s: F.try_element_at(known, F.btrim(F.regexp_replace(s, "[^a-z0-9]+", F.lit(" ")))))
-    found = F.filter(named, lambda x: x.isNotNull())
+    low = F.translate(text, _UPPER + _HARD + _SOFT, _LOWER + "  ")
+    cut = F.regexp_replace(F.regexp_replace(low, r"[.!?][\x20\x09-\x0D]+", _HARD), r"[;:][\x20\x09-\x0D]+|\n", _SOFT)
+    plain = F.regexp_replace(cut, f"[^a-z0-9{_HARD}{_SOFT}]+", " ")
+    left = F.regexp_replace(F.concat(F.lit(_HARD), plain, F.lit(_HARD)), f" ?([{_HARD}{_SOFT}]) ?", "$1")
+    left = F.regexp_replace(left, f"{_SOFT}{{2,}}", _HARD)
+    for sentence in sorted(SENTENCES, key=lambda x: (-len(x), x)):
+        words = sentence.replace(" ", f"[ {_SOFT}]")
+        left = F.regexp_replace(left, f"(?<=[{_HARD}{_SOFT}]){words}(?=[{_HARD}{_SOFT}])", f"<{SENTENCES[sentence]}>")
+    found = F.regexp_extract_all(left, F.lit("<([^>]+)>"), F.lit(1))
     return F.when(F.rlike(text, F.lit(f"(?i)({TRIGGER})")), found).otherwise(F.array().cast("array<string>"))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -216,6 +217,31 @@ def test_licenses(spark):
     assert got[4].license is None and got[7].sequence == "<mit-title><mit-ref>"
 
 
+def test_every_licence_sentence_and_rule_is_reachable(spark):
+    wrap = lambda t: "\n".join(" * " + x for x in textwrap.wrap(t, 40))
+    sentences = list(licenses.SENTENCES)
+    by = {}
+    for x, i in licenses.SENTENCES.items():
+        by[i] = x if i not in by else by[i]
+    rules = [(name, ".\n".join(wrap(by[i]) for i in ids)) for name, ids in licenses.RULES]
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+    rows = [*enumerate(map(wrap, sentences)), *((100 + k, t) for k, (_, t) in enumerate(rules))]
+    rows += [(200, gpl), (201, "# SPDX-License-Identifier: MIT\nimport os"), (202, "SPDX-License-Identifier: Apache-2.0"), (203, "the\n\nmit licenses")]
+    got = {r.doc_id: r for r in licenses.license_scan(table(spark, rows)).collect()}
+    assert [x for k, x in enumerate(sentences) if got[k].sequence != f"<{licenses.SENTENCES[x]}>"] == []
+    assert [name for k, (name, _) in enumerate(rules) if got[100 + k].license != name] == []
+    assert got[200].sequence == "<gpl3-head><gpl-hope><gpl-see>" and got[200].licenses == "GPL-3.0-or-later"
+    assert (got[201].licenses, got[202].licenses, got[203].licenses) == ("MIT", "Apache-2.0", "")
+
+
 def brute_repeats(rows, n=200):
     raws = [(t or "").encode() for _, t in rows]
     seen = {}
