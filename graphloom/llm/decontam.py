@@ -150,7 +150,7 @@ _FOUND = "n_words bigint, n_hit bigint, spans array<struct<start:bigint,end:bigi
 
 
 def _scan(docs: DataFrame, tables: list[Table]) -> DataFrame:
-    """docs (key, t) with n_words, n_hit, spans and items."""
+    """docs (key, t, h, h2) with n_words, n_hit, spans and items."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(tables)
 
@@ -160,12 +160,12 @@ def _scan(docs: DataFrame, tables: list[Table]) -> DataFrame:
             for i, j in T.chunks(at):
                 n, hit, spans, names = search(held.value, data, at[i : j + 1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, _SPANS), pa.array(names, pa.list_(pa.string()))],
-                    names=["key", "n_words", "n_hit", "spans", "items"],
+                    [*(batch.column(name).slice(i, j - i) for name in ("key", "h", "h2")), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, _SPANS), pa.array(names, pa.list_(pa.string()))],
+                    names=["key", "h", "h2", "n_words", "n_hit", "spans", "items"],
                 )
 
     key = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {key}, {_FOUND}")
+    return docs.mapInArrow(run, f"key {key}, h bigint, h2 bigint, {_FOUND}")
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, size: int) -> Iterator[list[tuple[str, str]]]:
@@ -196,12 +196,13 @@ def contamination(
 
     A benchmark window is `window` consecutive words of an item, or all words of a shorter one; document words inside
     an occurrence are hit; contaminated: n_hit > 0 and share * n_hit >= n_words. The whole benchmark is searched in
-    every document, in blocks of block_bytes; with more than one block, the blocks' spans are united by key, so keys
-    must then be distinct. Null or empty texts have no words; items with a null id or text are ignored; repeated items
+    every document, in blocks of block_bytes; with more than one block, the blocks' spans are united by key and text, a
+    row for each input row. Null or empty texts have no words; items with a null id or text are ignored; repeated items
     count apart if their ids differ; an empty benchmark hits nothing. Only key and text are read, so other columns
     may have any names.
     """
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
+    base = base.withColumns({"h": F.xxhash64("t"), "h2": F.xxhash64("t", F.lit(1))})
     scans = [_scan(base, build_tables(block, window)) for block in _blocks(benchmark, item, item_text, block_bytes)]
     if not scans:
         scans = [_scan(base, [])]
@@ -220,11 +221,15 @@ def contamination(
 
 
 def _united(scans: list[DataFrame]) -> DataFrame:
-    """Results of several blocks as one: spans are merged within each document."""
+    """Results of several blocks as one: spans are merged within each document.
+
+    Rows of one key and text have one result, which is given as often as each block has it.
+    """
     every = scans[0]
     for scan in scans[1:]:
         every = every.unionByName(scan)
-    grouped = every.groupBy("key").agg(
+    grouped = every.groupBy("key", "h", "h2").agg(
+        F.count("*").alias("rows"),
         F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
     )
     merged = F.aggregate(
@@ -237,6 +242,7 @@ def _united(scans: list[DataFrame]) -> DataFrame:
     )
     spans = grouped.withColumn("spans", merged)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    spans = spans.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.col("rows") / len(scans)))))
     return spans.select("key", "n_words", hit.alias("n_hit"), "spans", "items")
 
 

@@ -105,6 +105,15 @@ def test_contamination(spark, rows, block):
     assert empty.where("n_hit > 0 OR contaminated").count() == 0
 
 
+def test_repeated_and_null_keys_at_any_benchmark_size(spark):
+    rng = random.Random(51)
+    items = [(i, words(rng, 20, 10**6)) for i in range(3)]
+    rows = [(1, items[0][1]), (1, items[0][1]), (1, f"x {items[1][1]}"), (None, items[2][1]), (None, "y"), (None, None), (2, None), (2, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(decontam.contamination(table(spark, rows), benchmark, block_bytes=b).collect(), key=str) for b in (1 << 20, 60))
+    assert one == many and len(many) == len(rows)
+
+
 def test_quality(spark, rows):
     extra = [(60, "Home | Menu | Login\n" + "This is a fine sentence with many words in it. " * 2), (61, "x # y\nx # y\n" + "one two three four five six seven eight nine ten."), (62, "a b c d e a b c d e f")]
     got = {r["row"].doc_id: r for r in quality.line_quality(table(spark, [x for x in rows if x[0] not in (None, 3)] + extra)).collect()}
