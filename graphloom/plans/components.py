@@ -48,3 +48,29 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+
+
+def merged(label: DataFrame | None, links: DataFrame, src: str, dst: str) -> DataFrame:
+    """(node, component) of the nodes of a former label (node, component) and of new links between nodes.
+
+    Only the links between former components are contracted; the former table is relabelled, not contracted again.
+    """
+    scratch = Scratch(links.sparkSession)
+    if label is None:
+        return scratch.save(connected_components(links, src, dst), "label")
+    ends = links.select(F.col(src).alias("s"), F.col(dst).alias("d"))
+    for end in ("s", "d"):
+        ends = named(ends, end, label, end)
+    moved = scratch.save(connected_components(ends, "s", "d"), "moved")
+    root = moved.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    old = label.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    new = moved.join(label.select("node"), "node", "left_anti").select("node", "component")
+    return scratch.save(old.union(new), "label")
+
+
+def named(rows: DataFrame, node: str, label: DataFrame | None, component: str) -> DataFrame:
+    """rows with the component of their column `node` in the column `component`; nodes without a label are their own."""
+    if label is None:
+        return rows.withColumn(component, F.col(node))
+    joined = rows.join(label.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col(node) == F.col("_n"), "left")
+    return joined.withColumn(component, F.coalesce("_c", node)).drop("_n", "_c")
