@@ -9,37 +9,54 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.bounded import counted
 from graphloom.llm.quality import let
-from graphloom.plans.components import connected_components
+from graphloom.plans.components import merged, named
 from graphloom.plans.scratch import Scratch
 
 
-def linked(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, extra: Callable[[DataFrame], DataFrame] | None = None, near: str = "true") -> DataFrame:
-    """(node, component) of the verified links between items h that share a bucket bk of keyed (bk, h).
+#: Rounds of stars before the members that are left meet all others, and members of one bucket that meet in one cell.
+ROUNDS, CELL = 3, 512
 
-    First every member is compared with the smallest of its bucket. The links found join most members; then only
-    members of one bucket that are still in different components are compared, all of them with each other, so no
-    link between components is lost. near: SQL over x.* and y.* that a pair has to meet; extra(items) gives these columns for a
-    table of items (h).
-    verify keeps the pairs (a, b) that are links.
+Verify = Callable[[DataFrame], DataFrame]
+
+
+def linked(keyed: DataFrame, prepare: Callable[[DataFrame], tuple[Verify, DataFrame]], scratch: Scratch, near: str = "true", rounds: int = ROUNDS) -> DataFrame | None:
+    """(node, component) of the verified links between items h that share a bucket bk of keyed (bk, h); None without any.
+
+    In each round every open member of a bucket is compared with the smallest one; those that are now in its component
+    are closed. Pairs grow with the members, not with their squares. What is still in different components of one
+    bucket then meets all others, in cells of CELL by CELL members, so no link between components is lost.
+    prepare(items) is called once with all items (h) that share a bucket. It gives verify, which keeps the pairs (a, b)
+    that are links, and a table (h, ...) of the columns that near, SQL over x.* and y.*, asks of a pair.
     """
-    met = scratch.save(keyed.groupBy("bk").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("c")).where("a <> b"), "met")
-    crowds = scratch.save(met.where("c > 2").select("bk", "a"), "crowds")
-    members = scratch.save(keyed.join(counted(crowds), "bk"), "members")
-    stars = met.select("a", "b").union(members.where("h <> a").select("a", F.col("h").alias("b"))).distinct()
-    first = scratch.save(verify(stars), "first")
-    label = connected_components(first, "a", "b")
-    named = members.join(label.withColumnRenamed("node", "h"), "h", "left").select("bk", "h", F.coalesce("component", "h").alias("comp")).distinct()
-    mixed = named.groupBy("bk").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bk")
-    rest = named.join(mixed, "bk", "left_semi")
-    if extra is not None:
-        rest = scratch.save(rest, "rest")
-        rest = rest.join(extra(scratch.save(rest.select("h").distinct(), "items")), "h")
-    x, y = rest.alias("x"), rest.alias("y")
-    crossed = x.join(y, F.expr(f"x.bk = y.bk AND x.h < y.h AND x.comp <> y.comp AND {near}")).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
-    crossed = scratch.save(crossed.distinct().join(stars, ["a", "b"], "left_anti"), "crossed")
-    if not crossed.limit(1).count():
-        return label
-    return connected_components(first.union(verify(crossed)), "a", "b")
+    met = scratch.save(keyed.groupBy("bk").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("bk"), "met")
+    members = scratch.save(keyed.join(counted(met), "bk").distinct(), "members")
+    verify, side = prepare(scratch.save(members.select("h").distinct(), "items"))
+    label, rest = None, members.withColumn("comp", F.col("h"))
+    for _ in range(rounds):
+        pivots = rest.groupBy("bk").agg(F.min(F.struct("h", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        pivots = scratch.save(pivots.where("low <> high").select("bk", F.col("p.h").alias("a"), F.col("p.comp").alias("pcomp")), "pivots")
+        stars = rest.join(counted(pivots), "bk").where("comp <> pcomp").select("a", F.col("h").alias("b")).distinct()
+        found = scratch.save(verify(stars), "links")
+        if found.isEmpty():
+            break
+        label = merged(label, found, "a", "b")
+        now = named(rest.select("bk", "h").join(counted(pivots.select("bk", "a")), "bk"), "h", label, "comp")
+        rest = scratch.save(named(now, "a", label, "pcomp").where("comp <> pcomp").select("bk", "h", "comp"), "rest")
+    every = named(members, "h", label, "comp")
+    mixed = every.groupBy("bk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).where("low <> high AND c > 2")
+    rest = scratch.save(every.join(mixed.select("bk", "c"), "bk"), "mixed")
+    dealt = rest.join(side, "h").withColumn("cells", F.ceil(F.col("c") / CELL).cast("int")).withColumn("own", F.expr("pmod(hash(h), cells)"))
+    every_cell = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    x, y = dealt.withColumn("other", every_cell).alias("x"), dealt.withColumn("other", every_cell).alias("y")
+    same_cell = "x.bk = y.bk AND x.own = y.other AND x.other = y.own"
+    crossed = x.join(y, F.expr(f"{same_cell} AND x.h < y.h AND x.comp <> y.comp AND {near}")).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
+    crossed = scratch.save(crossed.distinct(), "crossed")
+    if not crossed.isEmpty():
+        found = scratch.save(verify(crossed), "links")
+        if not found.isEmpty():
+            label = merged(label, found, "a", "b")
+    scratch.drop(met, members, rest, crossed)
+    return label
 
 
 def repeated_positions(groups: DataFrame, scratch: Scratch) -> DataFrame:

@@ -176,8 +176,8 @@ def test_lines_similar_in_letters_are_linked(spark):
 def test_simhash_counts_bits(spark):
     rng = random.Random(3)
     rows = [(i, words(rng, n)) for i, n in enumerate((1, 2, 3, 127, 128, 300, 33000))]
-    lines = spark.createDataFrame(rows, "key long, line string").withColumn("pos", F.lit(0))
-    got = {r.key: r.sim for r in linededup.with_simhash(lines).collect()}
+    lines = spark.createDataFrame(rows, "key long, line string").select("key", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("hs"))
+    got = {r.key: r.sim for r in lines.select("key", linededup.simhash(F.col("hs")).alias("sim")).collect()}
     hashes = {r.w: r.h for r in spark.createDataFrame([(f"w{i}",) for i in range(300)], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
     for i, t in rows:
         bits = np.array([[hashes[w] >> b & 1 for b in range(64)] for w in t.split()])
