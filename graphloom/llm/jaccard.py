@@ -3,15 +3,16 @@
 1. Every text becomes its set of shingle hashes, a digest of the set, and a token bitmap. Equal sets form one class.
 2. Two sets of similarity t share a token among the first n - ceil(t n) + 1 of each under any common order, so the
    representatives meet at those tokens only. Tokens that a sample shows to be frequent come last in the order.
-3. Each representative is compared with the smallest one that it meets anywhere; at each token, only members that are
-   then still in different components go on. Two are compared directly, more form a signature tree: leaves are documents, inner nodes hold the OR of the bitmaps and the
-   range of sizes. A dual traversal drops node pairs whose largest possible overlap is too small.
+3. In a few rounds, the members of each token are compared with its smallest one that is still in another component; at
+   each token, only members that are then still in different components go on. Two are compared directly, more form a
+   signature tree: leaves are documents, inner nodes hold the OR of the bitmaps and the range of sizes. A dual traversal
+   drops node pairs whose largest possible overlap is too small.
 4. What is left is verified on the whole sets; links and classes give the components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import text as T
-from graphloom.plans.components import connected_components
+from graphloom.plans.components import merged, named
 from graphloom.plans.scratch import Scratch
 from graphloom.plans.ship import ship
 
@@ -31,6 +32,8 @@ BLOCK = 4096
 #: Rows up to which a table of integers is broadcast; its size is counted first.
 BROADCAST_ROWS = 500_000
 FANOUT = 8
+#: Rounds of stars before the trees.
+ROUNDS = 4
 _SEED = np.uint64(0xA24BAED4963EE407)
 
 
@@ -103,8 +106,8 @@ def profiles(base: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def bitmap(value: np.ndarray) -> bytes:
-    """A bit for each token, in a power of two of bits, 256 and the number of tokens at least."""
-    width = max(256, 1 << (len(value) - 1).bit_length()) if len(value) else 256
+    """A bit for each token, in a power of two of bits, 256 and four times the number of tokens at least."""
+    width = max(256, 1 << (4 * len(value) - 1).bit_length()) if len(value) else 256
     flags = np.zeros(width, bool)
     flags[(value & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little").tobytes()
@@ -305,6 +308,29 @@ def _pairs(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in ends], kind), pa.array([b for _, b in ends], kind)], names=["a", "b"])
 
 
+def _starred(shared: DataFrame, links: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame | None:
+    """(node, component) of the links that ROUNDS of stars find among members (tok, key) of tokens; None without any.
+
+    In each round the open members of a token are compared with its smallest one, in the first round each with one
+    smallest partner only; those that are then in its component are closed. So near copies end up in one component at
+    the cost of a few comparisons for each member, and the trees need not list their pairs.
+    """
+    label, rest = None, shared.select("tok", "key")
+    for turn in range(ROUNDS):
+        now = named(rest, "key", label, "comp")
+        pivots = now.groupBy("tok").agg(F.min(F.struct("key", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        pivots = scratch.save(pivots.select("tok", F.col("p.key").alias("a"), F.col("p.comp").alias("pcomp")), "pivots")
+        stars = now.join(pivots, "tok").where("comp <> pcomp").select("a", F.col("key").alias("b"))
+        stars = stars.distinct() if turn else stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        found = scratch.save(links(stars), "found")
+        if found.isEmpty():
+            break
+        label = merged(label, found, "a", "b")
+        again = named(rest.join(pivots.select("tok", "a"), "tok"), "key", label, "comp")
+        rest = scratch.save(named(again, "a", label, "pcomp").where("comp <> pcomp").select("tok", "key"), "rest")
+    return label
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: key, n_shingles, component_id, n_copies (rows with the same set, itself included).
 
@@ -321,23 +347,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     reps = profile.join(classes.select(F.col("rep").alias("key"), "d1", "d2"), ["key", "d1", "d2"], "left_semi").select("key", "n", "prefix", "bits")
     light = reps.select("key", "n", "bits")
     tokens = reps.select("key", F.explode("prefix").alias("tok"))
-    met = tokens.groupBy("tok").agg(F.count("*").alias("c"), F.min("key").alias("pivot")).where("c > 1")
-    shared = scratch.save(tokens.join(met, "tok").select("tok", "key", "c", "pivot"), "shared")
-
-    stars = shared.where("key <> pivot").groupBy(F.col("key").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
-    first = scratch.save(verify(_attach(stars, light, percent), base, size, percent), "first")
-    label = connected_components(first, "a", "b")
-    named = shared.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
-    ends = named.groupBy("tok", "c").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    met = tokens.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
+    shared = scratch.save(tokens.join(met, "tok").select("tok", "key", "c"), "shared")
+
+    label = _starred(shared, lambda pairs: verify(_attach(pairs, light, percent), base, size, percent), scratch)
+    comp = named(shared, "key", label, "comp")
+    ends = comp.groupBy("tok", "c").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     ends = scratch.save(ends.select("tok", "c", "a", "b"), "mixed")
     twos = ends.where("c = 2").select("a", "b").distinct()
-    members = named.join(ends.where("c > 2").select("tok"), "tok", "left_semi").select("tok", "c", "key", "comp").join(light, "key")
+    members = comp.join(ends.where("c > 2").select("tok"), "tok", "left_semi").select("tok", "c", "key", "comp").join(light, "key")
     rest = scratch.save(_attach(twos, light, percent).union(_tree_pairs(members, percent)).distinct(), "rest")
-    second = verify(rest.join(first, ["a", "b"], "left_anti"), base, size, percent)
+    second = verify(rest, base, size, percent)
     ends = profile.where("n > 0").groupBy("key").agg(F.min("d1").alias("low"), F.max("d1").alias("high"))
     split = profile.join(ends.where("low <> high").select("key"), "key", "left_semi").join(classes, ["d1", "d2", "n"])
-    links = scratch.save(first.union(second).union(split.select(F.col("rep").alias("a"), F.col("key").alias("b"))), "links")
-    label = connected_components(links, "a", "b")
+    links = scratch.save(second.union(split.select(F.col("rep").alias("a"), F.col("key").alias("b"))), "links")
+    label = merged(label, links, "a", "b")
     rows = profile.select("key", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
     rows = rows.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     return rows.select(
