@@ -1,10 +1,16 @@
-"""Substring deduplication: MinHash bands over paragraphs, exact Jaccard, connected components.
+"""Substring deduplication: MinHash bands over paragraphs, exact Jaccard, connected components, and passages within them.
 
 A paragraph is a line of MIN_WORDS words or more (white-space words, A to Z lower-cased), and also a block of several
-lines between blank ones, read as one text wherever it is wrapped. Its set holds the hashes of its runs of SHINGLE words. With 16 bands of 4 rows, paragraphs of similarity 0.8 miss each other with a probability
-of (1 - 0.8**4)**16, 0.02 %; `tuned` computes the bands for another recall. Members of one bucket that are not joined to
-its smallest one are compared with each other only if their sketches, SKETCH bits of each of 256 minima, agree in NEAR
-places or more; of pairs of similarity 0.8 that keeps all but 0.1 %.
+lines between blank ones, read as one text wherever it is wrapped. Its set holds the hashes of its runs of SHINGLE words.
+With 9 bands of 4 rows, paragraphs of similarity 0.8 miss each other with a probability of (1 - 0.8**4)**9, 0.9 %, those
+of similarity 0.85 with 0.13 %; `tuned` computes the bands for another recall. Members of one bucket that stars have not
+joined are compared with each other only if their sketches, SKETCH bits of each of 256 minima, agree in NEAR places or
+more; of pairs of similarity 0.8 that keeps all but 0.1 %.
+
+A text that is repeated inside longer paragraphs is found by its passages: PASSAGE words from an anchor on, a word where
+the hash of it and the next one is the smallest within AROUND words. Anchors depend on the words around only, so equal
+texts have equal anchors whatever surrounds them. One changed word takes two passages below similarity 0.8, so only
+equal ones are linked.
 """
 
 from __future__ import annotations
@@ -16,14 +22,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from graphloom.llm import text as T
 from graphloom.llm.bounded import counted
-from graphloom.llm.buckets import linked, without_lines
+from graphloom.llm.buckets import linked
+from graphloom.llm.packing import word_count
+from graphloom.llm.substrings import at_home
+from graphloom.plans.components import named
 from graphloom.plans.scratch import Scratch
 from graphloom.plans.ship import ship
 
-SHINGLE, PERCENT, MIN_WORDS, RECALL = 5, 80, 5, 0.999
+SHINGLE, PERCENT, MIN_WORDS, RECALL = 5, 80, 20, 0.99
+PASSAGE, AROUND = 25, 5
 SKETCH, LONGS, NEAR = 4, 16, 188
 
 
@@ -40,7 +51,7 @@ def some(value: np.ndarray, cut: np.ndarray, which: np.ndarray) -> tuple[np.ndar
 
 
 def paragraphs(data: np.ndarray, at: np.ndarray, size: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(document, position, position after it, set, where each set begins) of the paragraphs of documents data[at[i]:at[i+1]]."""
+    """(document, first byte, byte after it, set, where each set begins) of the paragraphs of documents data[at[i]:at[i+1]]."""
     for i, j in T.chunks(at):
         own = at[i : j + 1]
         breaks = own[0] + np.flatnonzero(data[own[0] : own[-1]] == 10) + 1
@@ -49,9 +60,8 @@ def paragraphs(data: np.ndarray, at: np.ndarray, size: int, least: int) -> Itera
         if not len(starts):
             continue
         doc = np.searchsorted(own, starts, "right") - 1
-        first = np.searchsorted(starts, own[:-1])
-        pos = np.arange(len(starts)) - first[doc]
-        w = T.words(data, np.append(starts, own[-1]), T.NOT_SPACE)
+        edge = np.append(starts, own[-1])
+        w = T.words(data, edge, T.NOT_SPACE)
         lines = np.arange(len(starts))
         filled = np.flatnonzero(np.diff(w.at) > 0)
         new = np.ones(len(filled), bool)
@@ -64,7 +74,30 @@ def paragraphs(data: np.ndarray, at: np.ndarray, size: int, least: int) -> Itera
             if len(long):
                 value, of = T.shingles(sized, size)
                 value, cut = some(*T.distinct_sets(value, of, len(begin)), long)
-                yield i + doc[begin[long]], pos[begin[long]], pos[begin[long]] + (end - begin)[long], value, cut
+                home = doc[begin[long]]
+                yield i + home, edge[begin[long]] - own[home], edge[end[long]] - own[home], value, cut
+
+
+def passages(data: np.ndarray, at: np.ndarray, length: int = PASSAGE, around: int = AROUND) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, first byte, byte after it, digest) of the passages of documents data[at[i]:at[i+1]]."""
+    for i, j in T.chunks(at):
+        w = T.words(data, at[i : j + 1], T.NOT_SPACE)
+        doc, n = w.doc(), len(w.hash)
+        if n < length:
+            continue
+        two = T.mix(w.hash[:-1] * np.uint64(0xD1342543DE82EF95) + w.hash[1:])
+        least = np.ones(n - 1, bool)
+        for k in range(1, around + 1):
+            same = doc[k : n - 1] == doc[: n - 1 - k]
+            least[k:] &= ~same | (two[k:] < two[:-k])
+            least[:-k] &= ~same | (two[:-k] <= two[k:])
+        first = np.flatnonzero(least[: n - length + 1])
+        first = first[doc[first] == doc[first + length - 1]]
+        value = np.zeros(len(first), np.uint64)
+        for k in range(length):
+            value = value * np.uint64(0xD1342543DE82EF95) + w.hash[first + k]
+        begin = (at[i:j] - at[i])[doc[first]]
+        yield i + doc[first], w.start[first] - begin, w.end[first + length - 1] - begin, T.mix(value ^ np.uint64(length)).view(np.int64)
 
 
 def digest(value: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -72,57 +105,68 @@ def digest(value: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return (total[cut[1:]] - total[cut[:-1]]).view(np.int64)
 
 
-def band_keys(value: np.ndarray, cut: np.ndarray, bands: int, rows: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """MinHash band keys and sketches, a row for each set; no set is empty."""
+def _minima(value: np.ndarray, cut: np.ndarray, number: int) -> Iterator[np.ndarray]:
+    """For each of so many hash functions the least hash of each set; no set is empty."""
+    for seed in T.mix(np.arange(1, number + 1, dtype=np.uint64)) | np.uint64(1):
+        yield np.minimum.reduceat(value * seed, cut[:-1])
+
+
+def band_keys(value: np.ndarray, cut: np.ndarray, bands: int, rows: int = 4) -> np.ndarray:
+    """MinHash band keys, a column for each set."""
+    keys = np.repeat(np.arange(bands, dtype=np.uint64)[:, None], len(cut) - 1, axis=1)
+    for k, low in enumerate(_minima(value, cut, bands * rows)):
+        keys[k // rows] = T.mix(keys[k // rows] * np.uint64(0xD1342543DE82EF95) + low)
+    return keys.view(np.int64)
+
+
+def sketches(value: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """LONGS longs for each set, a column each: SKETCH bits of each of many minima."""
     places = 64 // SKETCH
-    seeds = T.mix(np.arange(1, max(bands * rows, LONGS * places) + 1, dtype=np.uint64)) | np.uint64(1)
-    keys = np.repeat(np.arange(bands, dtype=np.uint64)[None], len(cut) - 1, axis=0)
-    sketch = np.zeros((len(cut) - 1, LONGS), np.uint64)
-    for k, seed in enumerate(seeds):
-        low = np.minimum.reduceat(value * seed, cut[:-1])
-        if k < bands * rows:
-            keys[:, k // rows] = T.mix(keys[:, k // rows] * np.uint64(0xD1342543DE82EF95) + low)
-        if k < LONGS * places:
-            sketch[:, k // places] |= (T.mix(low) >> np.uint64(64 - SKETCH)) << np.uint64(SKETCH * (k % places))
-    return keys.view(np.int64), sketch.view(np.int64)
+    out = np.zeros((LONGS, len(cut) - 1), np.uint64)
+    for k, low in enumerate(_minima(value, cut, LONGS * places)):
+        out[k // places] |= (T.mix(low) >> np.uint64(64 - SKETCH)) << np.uint64(SKETCH * (k % places))
+    return out.view(np.int64)
 
 
 def _profiles(base: DataFrame, size: int, least: int, bands: int, percent: int) -> DataFrame:
-    """(key, pos, after, h, bk, s0, s1, ...): digest, band keys and sketch of every paragraph.
+    """(key, th, s, e, h, bk) of base (key, th, t): bytes [s, e), digest and band keys of every paragraph and passage.
 
-    A set so small that one element more or less takes its similarity below percent only needs its digest.
+    Passages have no band keys, nor have sets so small that one element more or less takes their similarity below percent.
     """
-    longs = [f"s{k}" for k in range(LONGS)]
+    names, lists = ["key", "th", "s", "e", "h", "bk"], pa.list_(pa.int64())
+
+    def rows(batch: pa.RecordBatch, doc, s, e, h, bk: pa.Array) -> pa.RecordBatch:
+        doc = pa.array(doc)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(h), bk], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, pos, after, value, cut in paragraphs(*T.buffers(batch.column(1)), size, least):
+            data, at = T.buffers(batch.column(2))
+            for doc, s, e, value, cut in paragraphs(data, at, size, least):
                 h, large = digest(value, cut), np.diff(cut) * (100 - percent) >= percent
                 for which in (np.flatnonzero(large), np.flatnonzero(~large)):
                     if len(which) and large[which[0]]:
-                        keys, sketch = band_keys(*some(value, cut, which), bands)
-                        more = [pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)]
-                    else:
-                        more = [pa.nulls(len(which), pa.list_(pa.int64())), *(pa.nulls(len(which), pa.int64()) for _ in longs)]
-                    if len(which):
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(pa.array(doc[which])), pa.array(pos[which], pa.int32()), pa.array(after[which], pa.int32()), pa.array(h[which]), *more],
-                            names=["key", "pos", "after", "h", "bk", *longs],
-                        )
+                        keys = band_keys(*some(value, cut, which), bands)
+                        yield rows(batch, doc[which], s[which], e[which], h[which], pa.FixedSizeListArray.from_arrays(pa.array(keys.T.ravel()), bands).cast(lists))
+                    elif len(which):
+                        yield rows(batch, doc[which], s[which], e[which], h[which], pa.nulls(len(which), lists))
+            for doc, s, e, h in passages(data, at):
+                yield rows(batch, doc, s, e, h, pa.nulls(len(h), lists))
 
-    return base.mapInArrow(run, f"key {base.schema['key'].dataType.simpleString()}, pos int, after int, h bigint, bk array<bigint>, {', '.join(f'{c} bigint' for c in longs)}")
+    return base.mapInArrow(run, f"key {base.schema['key'].dataType.simpleString()}, th bigint, s bigint, e bigint, h bigint, bk array<bigint>")
 
 
 def _sets(base: DataFrame, size: int, least: int) -> DataFrame:
-    """(h, value): digest and set of every paragraph."""
+    """(h, value, s0, s1, ...): digest, set and sketch of every paragraph."""
+    longs = [f"s{k}" for k in range(LONGS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for *_, value, cut in paragraphs(*T.buffers(batch.column(1)), size, least):
+            for *_, value, cut in paragraphs(*T.buffers(batch.column(0)), size, least):
                 sets = [value[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(digest(value, cut)), pa.array(sets, pa.binary())], names=["h", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest(value, cut)), pa.array(sets, pa.binary()), *map(pa.array, sketches(value, cut))], names=["h", "value", *longs])
 
-    return base.mapInArrow(run, "h bigint, value binary")
+    return base.mapInArrow(run, f"h bigint, value binary, {', '.join(f'{c} bigint' for c in longs)}")
 
 
 def agreeing() -> str:
@@ -148,60 +192,92 @@ def _similar(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
-def _repeated(groups: DataFrame, scratch: Scratch) -> DataFrame:
-    """(removed_key, removed): for each document the sorted positions of paragraphs (key, pos, after) of a group g that is seen before.
+def repeated_spans(base: DataFrame, size: int, percent: int, least: int, recall: float, scratch: Scratch) -> DataFrame:
+    """(key, th, spans): for documents (key, th, t) the bytes [s, e) of repeated paragraphs and passages, gone or not.
 
-    The first occurrence by key and position stays. A block with a line of its own group is left to this line, so that
-    the block's other lines stay.
+    The first occurrence of each group, by key and position, stays, and what overlaps it in its document.
     """
-    lines = groups.where("after = pos + 1").select(F.col("key").alias("k"), F.col("g").alias("lg"), F.col("pos").alias("p"))
-    blocks = groups.where("after > pos + 1").join(lines, F.expr("key = k AND g = lg AND p >= pos AND p < after"), "left_anti")
-    groups = scratch.save(groups.where("after = pos + 1").union(blocks), "apart")
-    several = groups.groupBy("g").agg(F.min(F.struct("key", "pos", "after")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    own, same = F.sequence("pos", F.col("after") - 1), F.struct("key", "pos", "after") == F.col("first")
-    gone = groups.join(several, "g").where(~same).select("key", F.explode(own).alias("pos"))
-    removed = gone.groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("removed")).withColumnRenamed("key", "removed_key")
-    return scratch.save(removed, "removed")
+    every = scratch.save(_profiles(base, size, least, tuned(percent, recall), percent), "paragraphs")
+    banded = every.where("bk IS NOT NULL")
+
+    def prepare(items: DataFrame):
+        homes = banded.join(counted(items), "h", "left_semi").groupBy("h").agg(F.min(F.struct("key", "th")).alias("at"))
+        homes = scratch.save(homes.select("at.key", "at.th").distinct(), "homes")
+        sets = _sets(base.join(counted(homes), ["key", "th"], "left_semi").select("t"), size, least)
+        sets = scratch.save(sets.join(counted(items), "h", "left_semi").dropDuplicates(["h"]), "sets")
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            both = pairs.join(sets.select(F.col("h").alias("a"), F.col("value").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("value").alias("y")), "b")
+            return _similar(both.select("a", "b", "x", "y"), percent)
+
+        return verify, sets.drop("value")
+
+    label = linked(banded.select("h", F.explode("bk").alias("bk")), prepare, scratch, f"{agreeing()} >= {NEAR}")
+    groups = named(every.select("key", "th", "s", "e", "h"), "h", None if label is None else counted(label), "g").drop("h")
+    many = scratch.save(groups.groupBy("g").count().where("count > 1").select("g"), "many")
+    near = scratch.save(groups.join(counted(many), "g"), "near")
+    first = near.groupBy("g").agg(F.min(F.struct("key", "th", "s", "e")).alias("first"))
+    stays = F.expr("key = first.key AND th = first.th AND s < first.e AND e > first.s")
+    spans = near.join(first, "g").select("key", "th", "s", "e", (~stays).alias("gone"))
+    return scratch.save(spans.groupBy("key", "th").agg(F.collect_set(F.struct("s", "e", "gone")).alias("spans")), "spans")
+
+
+def united(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Sorted ranges without overlaps that cover the same bytes."""
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(e, out[-1][1])
+        else:
+            out.append([s, e])
+    return out
+
+
+def _cut(hit: DataFrame) -> DataFrame:
+    """(row, n_words, n_repeated, n_removed, clean_text) of hit (row, t, spans)."""
+    schema = StructType([hit.schema["row"], *(StructField(c, LongType()) for c in ("n_words", "n_repeated", "n_removed")), StructField("clean_text", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = T.buffers(batch.column(1))
+            figures, kept = [], []
+            for d, found in enumerate(batch.column(2).to_pylist()):
+                raw = data[at[d] : at[d + 1]]
+                w = T.words(data, at[d : d + 2], T.NOT_SPACE)
+                inside = lambda ranges: sum(int(np.searchsorted(w.start, e) - np.searchsorted(w.start, s)) for s, e in ranges)  # noqa: E731,B023
+                gone = united([(x["s"], x["e"]) for x in found if x["gone"]])
+                edges = [0, *(x for pair in gone for x in pair), len(raw)]
+                figures.append((len(w.start), inside(united([(x["s"], x["e"]) for x in found])), inside(gone)))
+                kept.append(b"".join(raw[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2])).decode())
+            columns = list(zip(*figures)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(kept, pa.string())], names=schema.names)
+
+    return hit.mapInArrow(run, schema)
 
 
 def paragraph_dedup(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, least: int = MIN_WORDS, recall: float = RECALL
 ) -> DataFrame:
-    """One row per input row: `row` (the input row), n_lines, n_removed and clean_text.
+    """One row per input row: `row` (the input row), n_words, n_repeated, n_removed (words) and clean_text.
 
     Paragraphs with equal sets are one; others are linked if they share a band and their exact Jaccard similarity is
-    percent or more. Of each component the occurrence with the smallest (key, position) stays, the others are removed
-    from their texts. Lines and blocks (of several lines between blank ones) of fewer than `least` words are no
-    paragraphs; such lines stay unless the block that they are in goes. Rows with one key count as one document. Rows with a null key or text keep their text; empty tables give empty results; extra columns stay in
-    `row` under whatever name.
+    percent or more; passages are linked if equal. Of each component the occurrence with the smallest (key, position)
+    stays, the others are removed from their texts. n_repeated counts the words of all occurrences, those that stay
+    included. Lines and blocks (of several lines between blank ones) of fewer than `least` words are no paragraphs.
+    Rows of one key and text are one document, so they lose the same. Rows with a null key or text keep their text;
+    empty tables give empty results; extra columns stay in `row` under whatever name.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    scratch = Scratch(spark)
-    base = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).where(F.col("key").isNotNull() & F.col("t").isNotNull())
-    every = scratch.save(_profiles(base, size, least, tuned(percent, recall), percent), "paragraphs")
-    distinct = scratch.save(every.groupBy("h").agg(F.min("key").alias("key")), "distinct")
-    once = every.where("bk IS NOT NULL").join(distinct, ["h", "key"], "left_semi").select("h", "bk").dropDuplicates(["h"])
-
-    def sketches(some: DataFrame) -> DataFrame:
-        return every.select("h", *[f"s{k}" for k in range(LONGS)]).join(counted(some), "h", "left_semi").dropDuplicates(["h"])
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs, "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-        wanted = scratch.save(distinct.join(ends, "h"), "wanted")
-        homes = scratch.save(wanted.select("key").distinct(), "homes")
-        sets = _sets(base.join(counted(homes), "key", "left_semi").select("key", "t"), size, least)
-        sets = scratch.save(sets.join(counted(wanted.select("h")), "h", "left_semi").dropDuplicates(["h"]), "sets")
-        both = pairs.join(sets.select(F.col("h").alias("a"), F.col("value").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("value").alias("y")), "b")
-        return _similar(both.select("a", "b", "x", "y"), percent)
-
-    label = linked(once.select("h", F.explode("bk").alias("bk")), verify, scratch, sketches, f"{agreeing()} >= {NEAR}")
-    groups = every.select("key", "pos", "after", "h").join(label.withColumnRenamed("node", "h"), "h", "left")
-    groups = groups.select("key", "pos", "after", F.coalesce("component", "h").alias("g"))
-    return without_lines(docs, _repeated(scratch.save(groups, "groups"), scratch), key, text)
+    ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    base = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
+    spans = repeated_spans(base.select("key", "th", "t").where("key IS NOT NULL AND t IS NOT NULL"), size, percent, least, recall, scratch)
+    names = counted(spans.select(F.col("key").alias("k"), F.col("th").alias("h")))
+    whole = base.join(names, F.col("key").eqNullSafe(F.col("k")) & F.col("th").eqNullSafe(F.col("h")), "left_anti")
+    zero = F.lit(0).cast("long")
+    untouched = whole.select("row", word_count(F.col("t")).alias("n_words"), zero.alias("n_repeated"), zero.alias("n_removed"), F.col("t").alias("clean_text"))
+    return _cut(at_home(base, spans).select("row", "t", "spans")).union(untouched)
 
 
 def op10_paragraph_minhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return paragraph_dedup(docs).select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256"))
+    return paragraph_dedup(docs).select("row.doc_id", "n_words", "n_repeated", "n_removed", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256"))

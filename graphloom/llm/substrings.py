@@ -265,7 +265,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     hot_cores = scratch.save(classes.groupBy("f").count().where(F.col("count") > hot).select("f", F.lit(True).alias("hot")), "hot")
     wanted = classes.join(counted(hot_cores), "f", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     per_home = wanted.groupBy("key", "th").agg(F.collect_list(F.struct("f", "g", "first", "last", "at", "hot")).alias("wanted"))
-    texts = scratch.save(_texts(_at_home(docs, scratch.save(per_home, "homes")).select("t", "wanted"), length, window), "texts")
+    texts = scratch.save(_texts(at_home(docs, scratch.save(per_home, "homes")).select("t", "wanted"), length, window), "texts")
     distinct = texts.select("bucket", "x", "core", "y").distinct()
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.count() // (2 * BLOCK))
     ordered = distinct.repartition(n, "bucket").sortWithinPartitions("bucket")
@@ -285,7 +285,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     return hits.groupBy("key", "th").agg(F.collect_set(span).alias("spans"))
 
 
-def _at_home(docs: DataFrame, found: DataFrame) -> DataFrame:
+def at_home(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents that found has rows (key, th, ...) for, with these; texts of others are not moved if found is small."""
     names = found.select(F.col("key").alias("k"), F.col("th").alias("h"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
@@ -343,7 +343,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     empty = F.array().cast("array<struct<s:bigint,e:bigint>>")
     kept = F.encode("t", "UTF-8") if with_kept else F.lit(None).cast("binary")
     untouched = whole.select("key", F.octet_length("t").cast("long"), zero, zero, F.sha2("t", 256), empty, kept)
-    cut = _cut(_at_home(base, spans).select("key", "t", "spans"), with_kept)
+    cut = _cut(at_home(base, spans).select("key", "t", "spans"), with_kept)
     return cut.union(untouched).withColumnRenamed("row_key", key)
 
 

@@ -187,23 +187,50 @@ def test_simhash_counts_bits(spark):
 def test_paragraph_dedup(spark):
     rng = random.Random(9)
     p, q = words(rng, 60), words(rng, 60)
-    rows = [(1, f"{p}\nshort line"), (2, f"{changed(rng, p, 1)}\nshort line\n{q}"), (3, f"{q}\n{q}"), (4, None), (5, ""), (None, p), (6, changed(rng, p, 30))]
+    rows = [(1, f"{p}\nshort line"), (2, f"{changed(rng, p, 1)}\nshort line\n{q}"), (3, f"{q}\n{q}"), (4, None), (5, ""), (None, p), (6, changed(rng, p, 30)), (3, f"{q}\n{q}")]
     got = {r["row"].doc_id: r for r in paragraphs.paragraph_dedup(table(spark, rows)).collect()}
-    assert got[1].n_removed == 0 and got[2].clean_text == f"short line\n{q}" and got[3].clean_text == "" and got[6].n_removed == 0
-    assert got[4].clean_text is None and got[None].clean_text == p
+    assert got[1].n_removed == 0 and got[1].n_repeated >= 60 and got[2].clean_text == f"short line\n{q}" and got[3].clean_text == "" and got[6].n_removed == 0
+    assert got[4].clean_text is None and got[None].clean_text == p and got[2].n_removed == 60
     assert paragraphs.paragraph_dedup(table(spark, [])).count() == 0
 
 
-def test_short_and_wrapped_paragraphs(spark):
+def test_wrapped_paragraphs_and_passages(spark):
     rng = random.Random(41)
-    short, long, other = words(rng, 6, 10**6), words(rng, 60, 10**6), words(rng, 60, 10**6)
+    long, other, shared = words(rng, 60, 10**6), words(rng, 60, 10**6), words(rng, 70, 10**6)
     wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, 60, n))
-    rows = [(1, f"{short}\n\n{wrap(long, 11)}\n\nend"), (2, f"{wrap(changed(rng, long, 1), 8)}\n\n{other}"), (3, f"x\n\n{short}\n\n{long}"), (4, f"{other}\n{other}\n\ny")]
-    rows.append((0, f"{words(rng, 9)}\nalone"))
-    got = {r["row"].doc_id: r.clean_text for r in paragraphs.paragraph_dedup(table(spark, rows)).collect()}
-    assert got == {0: rows[4][1], 1: rows[0][1], 2: f"\n{other}", 3: "x\n\n", 4: "\ny"}
-    twice = paragraphs.paragraph_dedup(table(spark, [(1, f"{other}\n{other}")])).first()
-    assert twice.clean_text == other
+    rows = [(1, f"short\n\n{wrap(long, 11)}\n\nend"), (2, f"{wrap(changed(rng, long, 1), 8)}\n\n{other}"), (3, f"x\n\nshort\n\n{long}"), (4, f"{other}\n{other}\n\ny")]
+    rows += [(10 + i, f"{words(rng, 90, 10**6)} {shared} {words(rng, 80, 10**6)}") for i in range(6)] + [(20, words(rng, 5000, 10**6))]
+    got = {r["row"].doc_id: r for r in paragraphs.paragraph_dedup(table(spark, rows)).collect()}
+    assert {i: got[i].clean_text for i in range(1, 5)} == {1: rows[0][1], 2: f"\n{other}", 3: "x\n\nshort\n\n", 4: "\ny"}
+    assert got[10].n_removed == 0 and got[10].n_repeated > 25 and got[20].n_repeated == 0
+    for i in range(11, 16):
+        left = got[i].clean_text.split()
+        assert 25 <= got[i].n_removed <= 70 and left[:90] == rows[i - 6][1].split()[:90] and left[-80:] == rows[i - 6][1].split()[-80:]
+
+
+def test_passages_of_over_fifty_words_are_found():
+    rng = random.Random(42)
+    import pyarrow as pa
+
+    missed = 0
+    for _ in range(300):
+        shared = words(rng, 55, 10**6)
+        digests = []
+        for _ in range(2):
+            data, at = T.buffers(pa.array([f"{words(rng, 40, 10**6)} {shared} {words(rng, 40, 10**6)}"]))
+            digests.append({int(x) for *_, h in paragraphs.passages(data, at) for x in h})
+        missed += not digests[0] & digests[1]
+    assert missed <= 15
+
+
+def test_paragraph_links_against_brute_force(spark):
+    rng = random.Random(43)
+    base = [words(rng, rng.randint(20, 120), 10**6) for _ in range(12)]
+    rows = [(i, changed(rng, base[i % 12], rng.randint(0, 2))) for i in range(90)]
+    sets = [shingle_set(t) for _, t in rows]
+    label = components([(i, j) for i in range(90) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])], range(90))
+    got = {r["row"].doc_id: r for r in paragraphs.paragraph_dedup(table(spark, rows), recall=0.999).collect()}
+    assert {i for i in label if label[i] != i} == {i for i in got if got[i].clean_text == ""}
 
 
 def test_sketches_agree(spark):
