@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +20,14 @@ from graphloom.schemas import COMPILE_COMMANDS, FILES, conform
 def walk(spark: SparkSession, root: str, extensions: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
     """(path, full_path, raw) of the files below root, path relative to it; extensions in any case, none given means all.
 
-    The bytes are read only if a later step selects them. max_depth counts path segments.
+    The bytes are read only if a later step selects them. max_depth counts path segments. Spark's reader leaves out files
+    without bytes, so these are taken from the list of files that it keeps anyway.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    plain = F.regexp_replace("path", r"\Afile:/+", "file:/").alias("path")
+    listed = spark.createDataFrame([(unquote(f),) for f in found.inputFiles()], "path string").select(plain)
+    empty = listed.join(found.select(plain), "path", "left_anti").select("path", F.lit(b"").alias("content"))
+    files = found.select(plain, "content").union(empty)
     base = root.rstrip("/")
     relative = F.substring_index(F.col("path"), f"{base}/", -1) if "://" in base else F.regexp_replace("path", f"^.*?{_quoted(base)}/", "")
     rows = files.select(relative.alias("path"), F.col("path").alias("full_path"), F.col("content").alias("raw"))
