@@ -103,17 +103,16 @@ def _close(tokens: list[Token], i: int, pair: str = "()") -> int:
 
 def _definition(tokens: list[Token], i: int, language: str, inside: bool) -> tuple[str, str, int] | None:
     """(kind, name, index after the header) of a definition that begins at token i."""
-    word = tokens[i].text
-    rest = tokens[i + 1 :]
-    if language == "go" and word == "func" and rest:
+    word, more = tokens[i].text, len(tokens) - i - 1
+    if language == "go" and word == "func" and more:
         k = i + 1
         if tokens[k].text == "(":
             k = _close(tokens, k) + 1
         return ("Function", tokens[k].text, k + 1) if k < len(tokens) and _word(tokens[k]) else None
-    if language == "go" and word == "type" and len(rest) > 1 and rest[1].text in ("struct", "interface"):
-        return "Class", rest[0].text, i + 3
-    if language == "rust" and word == "fn" and rest and _word(rest[0]):
-        return "Function", rest[0].text, i + 2
+    if language == "go" and word == "type" and more > 1 and tokens[i + 2].text in ("struct", "interface"):
+        return "Class", tokens[i + 1].text, i + 3
+    if language == "rust" and word == "fn" and more and _word(tokens[i + 1]):
+        return "Function", tokens[i + 1].text, i + 2
     if word in CLASS_WORDS[language]:
         k = i + 1
         if k < len(tokens) and tokens[k].text == "<":
@@ -127,7 +126,7 @@ def _definition(tokens: list[Token], i: int, language: str, inside: bool) -> tup
                         k = j + 1
                         break
             return "Class", tokens[k].text, k + 1
-    if language == "cpp" and _word(tokens[i]) and word not in CONTROL and rest and rest[0].text == "(":
+    if language == "cpp" and _word(tokens[i]) and word not in CONTROL and more and tokens[i + 1].text == "(":
         k = _close(tokens, i + 1) + 1
         while k < len(tokens) and tokens[k].text in ("const", "noexcept", "override", "final", "&"):
             k += 1
@@ -141,9 +140,9 @@ def _definition(tokens: list[Token], i: int, language: str, inside: bool) -> tup
 
 
 def _opens(tokens: list[Token], i: int) -> bool:
-    for t in tokens[i:]:
-        if t.text in ("{", ";", "(", ")", "=", ",", ">"):
-            return t.text == "{"
+    for k in range(i, len(tokens)):
+        if tokens[k].text in ("{", ";", "(", ")", "=", ",", ">"):
+            return tokens[k].text == "{"
     return False
 
 
@@ -160,24 +159,25 @@ def parse_braced(source: str, language: str, sibling_chaining: bool = False) ->
     """Functions, classes and calls of a C-like language: cpp, go or rust."""
     tokens, out = _scan(source, _BRACED), Facts(chain=sibling_chaining)
     stack: list[tuple[int, int]] = []
-    depth, waiting, i = 0, None, 0
+    depth, waiting, i, functions = 0, None, 0, 0  # functions: those that are open
     while i < len(tokens):
         t = tokens[i]
         parent = stack[-1][0] if stack else None
-        inside = any(out.rows[k][1] == "Function" for k, _ in stack)
         if t.text == "{":
             depth += 1
             if waiting is not None:
                 stack.append((waiting, depth))
+                functions += out.rows[waiting][1] == "Function"
                 waiting = None
         elif t.text == "}":
             if stack and stack[-1][1] == depth:
                 row = out.rows[stack.pop()[0]]
+                functions -= row[1] == "Function"
                 row[6], row[7] = t.line, t.col + 1
             depth = max(0, depth - 1)
         elif t.text == ";" and waiting is not None:
             waiting = None
-        elif _word(t) and (found := _definition(tokens, i, language, inside)):
+        elif _word(t) and (found := _definition(tokens, i, language, functions > 0)):
             kind, name, i = found
             end = tokens[min(i, len(tokens)) - 1]
             waiting = out.add(kind, name, (t.line, t.col), (end.line, end.col + len(end.text)), parent)
