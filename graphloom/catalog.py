@@ -16,7 +16,7 @@ from graphloom.plans.fixpoint import reach
 from graphloom.plans.scratch import Scratch
 from graphloom.sinks.text import dot_lines, json_lines
 from graphloom.sources import derived
-from graphloom.sources.files import command_files, without_system
+from graphloom.sources.files import chosen_paths, command_files, without_system
 from graphloom.sources.warehouse import prelude, warehouse_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,7 +70,7 @@ _LANGUAGE = "CASE WHEN ext = 'py' THEN 'Python' WHEN ext = 'go' THEN 'Go' WHEN e
 
 @query("src_walk", f"WITH {PATHS} SELECT path FROM x WHERE lower(ext) IN ({_CPP})")
 def src_walk(spark, sf_dir):
-    return derived.document_files(spark, sf_dir).where(F.lower(L.extension(F.col("path"))).isin(L.EXTENSIONS["Cpp"])).select("path")
+    return chosen_paths(derived.document_files(spark, sf_dir), L.EXTENSIONS["Cpp"]).select("path")
 
 
 @query("src_ext", f"WITH {PATHS} SELECT {_LANGUAGE.format(cpp="WHEN lower(ext) = 'cpp' THEN 'Cpp' ")} AS language, count(*) AS files FROM x GROUP BY 1")
@@ -149,8 +149,7 @@ def src_cdb(spark, sf_dir):
 
 @query("src_cpp_dir", f"WITH {PATHS} SELECT path FROM x WHERE lower(ext) IN ('c', 'cpp', 'cc', 'cxx', 'h', 'hpp') AND len(string_split(path, '/')) <= 2")
 def src_cpp_dir(spark, sf_dir):
-    files = derived.document_files(spark, sf_dir)
-    return files.where(F.lower(L.extension(F.col("path"))).isin(L.CPP_DIRECTORY) & (F.size(F.split("path", "/")) <= 2)).select("path")
+    return chosen_paths(derived.document_files(spark, sf_dir), L.CPP_DIRECTORY, max_depth=2).select("path")
 
 
 @query("src_sysheader", over("SELECT path, count(*) AS facts FROM fact WHERE path NOT LIKE 'Brand#1%' GROUP BY path", f"{P}, {derived.FACTS_SQL}"))

@@ -23,6 +23,8 @@ def _parser() -> argparse.ArgumentParser:
     for p in sub.choices.values():
         p.add_argument("--language", action="append", default=None, help="may be repeated; the dominant one if left out")
         p.add_argument("--cache", help="folder of parsed facts")
+    for name in ("analyze", "query", "report"):
+        sub.choices[name].add_argument("--compile-commands", help="compilation database; only the files it names are read")
     q = sub.choices["query"]
     for flag in ("functions", "unused", "dot", "cycles", "dead-code", "complexity"):
         q.add_argument(f"--{flag}", action="store_true")
@@ -50,7 +52,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "diff":
         Path(args.output).write_text(build(args.old).html_diff(build(args.new)), encoding="utf-8")
         return 0
-    engine = build(args.path)
+    engine = Engine.from_commands(spark, args.compile_commands, args.path, args.cache) if args.compile_commands else build(args.path)
     if args.command == "analyze":
         _show("nodes, edges", engine.stats())
         if args.save:

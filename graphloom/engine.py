@@ -25,12 +25,13 @@ class Engine:
         self.nodes, self.edges, self.errors = scratch.save(nodes, "nodes"), scratch.save(edges, "edges"), errors
 
     @classmethod
-    def from_files(cls, files: DataFrame, cache: str | None = None, collapse: bool = False) -> Engine:
-        """The graph of FILES, in all their languages; with a cache, only new contents are parsed. collapse: see symbol_nodes."""
-        if cache is None:
-            facts, errors = parse_files(files)
-        else:
-            facts, errors = FactCache(files.sparkSession, cache).facts(files, lambda new: parse_files(new)[0]), None
+    def from_files(cls, files: DataFrame, cache: str | None = None, collapse: bool = False, errors: DataFrame | None = None) -> Engine:
+        """The graph of FILES, in all their languages; with a cache, only new contents are parsed. collapse: see symbol_nodes.
+
+        errors: (path, error) of files that could not be read; they are added to those that could not be parsed.
+        """
+        facts, failed = parse_files(files) if cache is None else FactCache(files.sparkSession, cache).parsed(files, parse_files)
+        errors = failed if errors is None else errors.union(failed)
         nodes, edges = graph.build_graph(Scratch(files.sparkSession).save(facts, "facts"), collapse)
         return cls(clean_nodes(nodes), edges, errors)
 
@@ -45,9 +46,18 @@ class Engine:
 
         from graphloom.functions.languages import language_of
 
-        archives = spark.read.format("binaryFile").load(path).select(F.col("content").alias("raw"))
-        rows = sources.unzip(archives).withColumn("language", language_of(F.col("path"), strict=True)).where("language <> 'Unknown'")
-        return cls.from_files(sources.as_files(rows))
+        archives = spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("raw"))
+        entries = sources.unzip(archives)
+        rows = entries.where("error IS NULL").withColumn("language", language_of(F.col("path"), strict=True)).where("language <> 'Unknown'")
+        return cls.from_files(sources.as_files(rows), errors=entries.where("error IS NOT NULL").select("path", "error"))
+
+    @classmethod
+    def from_commands(cls, spark: SparkSession, commands: str, directory: str, cache: str | None = None) -> Engine:
+        """The graph of the C and C++ sources below a directory that a compilation database names."""
+        from pyspark.sql import functions as F
+
+        found = sources.files_of_commands(sources.walk(spark, directory), sources.compile_commands(spark, commands, directory))
+        return cls.from_files(sources.as_files(found.withColumn("language", F.lit("Cpp"))), cache)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Engine:

@@ -10,8 +10,8 @@ from pyspark.sql.utils import AnalysisException
 
 from graphloom.schemas import EDGES, FACTS, NODES, conform
 
-PARSER_VERSION = "1"
-_STORED = FACTS.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", sha256 string, version string"
+PARSER_VERSION = "2"
+_STORED = FACTS.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", sha256 string, version string, error string"
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -43,10 +43,18 @@ class FactCache:
         """Files whose content has not been parsed yet."""
         return files.join(self.stored().select("path", "language", "sha256").distinct(), ["path", "language", "sha256"], "left_anti")
 
-    def facts(self, files: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """Facts of files (FILES), parsing only what is new; a file without facts is stored as one empty row."""
+    def parsed(self, files: DataFrame, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+        """(facts, errors) of files (FILES), parsing only what is new; a file without facts is stored as one row with its error, if any.
+
+        parse gives facts and errors (path, error).
+        """
         new = self.misses(files)
-        found = parse(new).join(new.select("path", "language", "sha256"), ["path", "language"], "right")
+        facts, errors = parse(new)
+        found = facts.join(new.select("path", "language", "sha256"), ["path", "language"], "right").join(errors.select("path", "error"), "path", "left")
         found.withColumn("version", F.lit(self.version)).select([c.split(" ")[0] for c in _STORED.split(", ")]).write.mode("append").parquet(self.path)
         hit = self.stored().join(files.select("path", "language", "sha256"), ["path", "language", "sha256"], "left_semi")
-        return conform(hit.where("fact_id IS NOT NULL"), FACTS)
+        return conform(hit.where("fact_id IS NOT NULL"), FACTS), hit.where("error IS NOT NULL").select("path", "error").distinct()
+
+    def facts(self, files: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The facts of parsed(), for a parse that gives facts only."""
+        return self.parsed(files, lambda new: (parse(new), self.spark.createDataFrame([], "path string, error string")))[0]

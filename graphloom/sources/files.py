@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -31,8 +32,13 @@ def walk(spark: SparkSession, root: str, extensions: list[str] | None = None, ma
     base = root.rstrip("/")
     relative = F.substring_index(F.col("path"), f"{base}/", -1) if "://" in base else F.regexp_replace("path", f"^.*?{_quoted(base)}/", "")
     rows = files.select(relative.alias("path"), F.col("path").alias("full_path"), F.col("content").alias("raw"))
+    return chosen_paths(rows, extensions, max_depth)
+
+
+def chosen_paths(rows: DataFrame, extensions: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
+    """Rows (path, ...) with one of the extensions, in any case, and at most max_depth path segments."""
     if extensions:
-        rows = rows.where(F.lower(extension(F.col("full_path"))).isin([e.lower() for e in extensions]))
+        rows = rows.where(F.lower(extension(F.col("path"))).isin([e.lower() for e in extensions]))
     return rows if max_depth is None else rows.where(F.size(F.split("path", "/")) <= max_depth)
 
 
@@ -95,20 +101,32 @@ def files_of_commands(files: DataFrame, commands: DataFrame) -> DataFrame:
     return files.join(commands.select(F.regexp_replace("file", r"\Afile:/+", "/").alias("f")).distinct(), local == F.col("f"), "left_semi")
 
 
-def unzip(archives: DataFrame, raw: str = "raw") -> DataFrame:
-    """(path, raw) of the entries of ZIP archives. Entries that would leave the archive's folder are refused."""
+def unzip(archives: DataFrame, raw: str = "raw", path: str = "path") -> DataFrame:
+    """(path, raw, error) of the entries of ZIP archives. Entries that would leave the archive's folder are refused.
+
+    An archive that cannot be read is one row with its own path and an error.
+    """
     ship(archives.sparkSession)
+    names = ["path", "raw", "error"]
+
+    def rows(name: str, data: bytes | None) -> Iterator[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
+                for info in z.infolist():
+                    parts = info.filename.replace("\\", "/").split("/")
+                    if not info.is_dir() and ".." not in parts and parts[0] and ":" not in parts[0]:
+                        yield info.filename, z.read(info), None
+        except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
+            yield name, None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for info in z.infolist():
-                        parts = info.filename.replace("\\", "/").split("/")
-                        if not info.is_dir() and ".." not in parts and parts[0] and ":" not in parts[0]:
-                            yield pa.RecordBatch.from_arrays([pa.array([info.filename]), pa.array([z.read(info)], pa.binary())], names=["path", "raw"])
-
-    return archives.select(raw).mapInArrow(run, "path string, raw binary")
+            for name, data in zip(*(c.to_pylist() for c in batch.columns)):
+                for row in rows(name, data):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.string(), pa.binary(), pa.string()))], names=names)
+
+    own = F.col(path) if path in archives.columns else F.lit(None).cast("string").alias(path)
+    return archives.select(own, raw).mapInArrow(run, "path string, raw binary, error string")
 
 
 def without_system(facts: DataFrame, prefixes: list[str] = ("/usr/include", "/usr/lib", "/usr/local/include")) -> DataFrame:

@@ -23,7 +23,7 @@ def keep_facts(stream: DataFrame, cache: str, checkpoint: str, once: bool = Fals
 
     def update(batch: DataFrame, _: int) -> None:
         files = as_files(batch.withColumn("language", language_of(F.col("path"), strict=True)).where("language <> 'Unknown'"))
-        FactCache(batch.sparkSession, cache).facts(files, lambda new: parse_files(new)[0])
+        FactCache(batch.sparkSession, cache).parsed(files, parse_files)
 
     writer = stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()

@@ -187,3 +187,19 @@ def test_command_line(spark, tmp_path, capsys):
     for command in (["report", str(tmp_path / "p")], ["diff", str(tmp_path / "p"), str(tmp_path / "p")]):
         assert cli.main([*command, "--output", str(tmp_path / "o.html")], spark) == 0
         assert (tmp_path / "o.html").read_text().startswith("<!doctype html>")
+
+
+def test_errors_of_archives_and_of_cached_files(spark, tmp_path):
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    engine = Engine.from_zip(spark, str(tmp_path / "bad.zip"))
+    assert [r.path.endswith("bad.zip") for r in engine.errors.collect()] == [True] and engine.nodes.count() == 0
+    write(tmp_path, {"src/bad.py": "def (", "src/good.py": "def f():\n    pass\n"})
+    for _ in range(2):
+        cached = Engine.from_path(spark, str(tmp_path / "src"), ["python"], cache=str(tmp_path / "facts"))
+        assert [r.path for r in cached.errors.collect()] == ["bad.py"]
+
+
+def test_compilation_database_chooses_the_files(spark, tmp_path):
+    write(tmp_path, {"p/a.cpp": "int f() { return g(); }", "p/b.cpp": "int h() { return 0; }", "c.json": '[{"file": "a.cpp", "command": "cc -c a.cpp"}]'})
+    engine = Engine.from_commands(spark, str(tmp_path / "c.json"), str(tmp_path / "p"))
+    assert {r.name for r in engine.nodes.where("kind = 'Function'").collect()} >= {"f"} and engine.nodes.where("name = 'h'").count() == 0
