@@ -4,8 +4,7 @@ A paragraph is a line of MIN_WORDS words or more (white-space words, A to Z lowe
 lines between blank ones, read as one text wherever it is wrapped. Its set holds the hashes of its runs of SHINGLE words.
 With 9 bands of 4 rows, paragraphs of similarity 0.8 miss each other with a probability of (1 - 0.8**4)**9, 0.9 %, those
 of similarity 0.85 with 0.13 %; `tuned` computes the bands for another recall. Members of one bucket that stars have not
-joined are compared with each other only if their sketches, SKETCH bits of each of 256 minima, agree in NEAR places or
-more; of pairs of similarity 0.8 that keeps all but 0.1 %.
+joined are compared with each other only if their bitmaps of 4,096 bits allow the similarity, which loses no pair.
 
 A text that is repeated inside longer paragraphs is found by its passages: PASSAGE words from an anchor on, a word where
 the hash of it and the next one is the smallest within AROUND words. Anchors depend on the words around only, so equal
@@ -35,7 +34,8 @@ from graphloom.plans.ship import ship
 
 SHINGLE, PERCENT, MIN_WORDS, RECALL = 5, 80, 20, 0.99
 PASSAGE, AROUND = 25, 5
-SKETCH, LONGS, NEAR = 4, 16, 188
+#: Longs of a set's bitmap.
+LONGS = 64
 
 
 def tuned(percent: int, recall: float, rows: int = 4) -> int:
@@ -119,12 +119,11 @@ def band_keys(value: np.ndarray, cut: np.ndarray, bands: int, rows: int = 4) ->
     return keys.view(np.int64)
 
 
-def sketches(value: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """LONGS longs for each set, a column each: SKETCH bits of each of many minima."""
-    places = 64 // SKETCH
+def bitmaps(value: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """LONGS longs for each set, a column each, with a bit for each element."""
     out = np.zeros((LONGS, len(cut) - 1), np.uint64)
-    for k, low in enumerate(_minima(value, cut, LONGS * places)):
-        out[k // places] |= (T.mix(low) >> np.uint64(64 - SKETCH)) << np.uint64(SKETCH * (k % places))
+    bit = (value & np.uint64(64 * LONGS - 1)).astype(np.int64)
+    np.bitwise_or.at(out, (bit >> 6, np.repeat(np.arange(len(cut) - 1), np.diff(cut))), np.uint64(1) << (bit & 63).astype(np.uint64))
     return out.view(np.int64)
 
 
@@ -157,23 +156,25 @@ def _profiles(base: DataFrame, size: int, least: int, bands: int, percent: int)
 
 
 def _sets(base: DataFrame, size: int, least: int) -> DataFrame:
-    """(h, value, s0, s1, ...): digest, set and sketch of every paragraph."""
-    longs = [f"s{k}" for k in range(LONGS)]
+    """(h, value, n, more, b0, b1, ...): digest, set, its size, what of it has no bit of its own, and bitmap of every paragraph."""
+    longs = [f"b{k}" for k in range(LONGS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for *_, value, cut in paragraphs(*T.buffers(batch.column(0)), size, least):
                 sets = [value[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(digest(value, cut)), pa.array(sets, pa.binary()), *map(pa.array, sketches(value, cut))], names=["h", "value", *longs])
+                bits, n = bitmaps(value, cut), np.diff(cut)
+                more = n - np.bitwise_count(bits.view(np.uint64)).sum(axis=0, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(digest(value, cut)), pa.array(sets, pa.binary()), pa.array(n, pa.int64()), pa.array(more), *map(pa.array, bits)], names=["h", "value", "n", "more", *longs])
 
-    return base.mapInArrow(run, f"h bigint, value binary, {', '.join(f'{c} bigint' for c in longs)}")
+    return base.mapInArrow(run, f"h bigint, value binary, n bigint, more bigint, {', '.join(f'{c} bigint' for c in longs)}")
 
 
-def agreeing() -> str:
-    """SQL for the number of places in which the sketches of x and y agree."""
-    low = sum(1 << (SKETCH * k) for k in range(64 // SKETCH))
-    differ = lambda c: "(" + " | ".join(f"shiftrightunsigned(x.{c} ^ y.{c}, {b})" for b in range(SKETCH)) + f") & {low}L"
-    return f"{LONGS * 64 // SKETCH} - (" + " + ".join(f"bit_count({differ(f's{k}')})" for k in range(LONGS)) + ")"
+def possible(percent: int) -> str:
+    """SQL for sets x and y whose sizes and bitmaps allow the similarity: each element without a bit of its own may be common too."""
+    common = " + ".join(f"bit_count(x.b{k} & y.b{k})" for k in range(LONGS))
+    sized = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    return f"({sized} AND {100 + percent} * ({common} + least(x.more, y.more)) >= {percent} * (x.n + y.n))"
 
 
 def _similar(pairs: DataFrame, percent: int) -> DataFrame:
@@ -212,7 +213,7 @@ def repeated_spans(base: DataFrame, size: int, percent: int, least: int, recall:
 
         return verify, sets.drop("value")
 
-    label = linked(banded.select("h", F.explode("bk").alias("bk")), prepare, scratch, f"{agreeing()} >= {NEAR}")
+    label = linked(banded.select("h", F.explode("bk").alias("bk")), prepare, scratch, possible(percent))
     groups = named(every.select("key", "th", "s", "e", "h"), "h", None if label is None else counted(label), "g").drop("h")
     many = scratch.save(groups.groupBy("g").count().where("count > 1").select("g"), "many")
     near = scratch.save(groups.join(counted(many), "g"), "near")

@@ -233,12 +233,18 @@ def test_paragraph_links_against_brute_force(spark):
     assert {i for i in label if label[i] != i} == {i for i in got if got[i].clean_text == ""}
 
 
-def test_sketches_agree(spark):
-    x = [-1, 5, 1 << 62, -(1 << 63)] * 4
-    y = [-1, 4, 1 << 61, 0] * 4
-    row = spark.createDataFrame([(x, y)], "x array<long>, y array<long>").select(*[F.struct(*[F.col(c)[k].alias(f"s{k}") for k in range(paragraphs.LONGS)]).alias(c) for c in "xy"])
-    nibbles = sum((a >> 4 * k & 15) == (b >> 4 * k & 15) for a, b in zip(x, y) for k in range(16))
-    assert row.selectExpr(f"{paragraphs.agreeing()} AS n").first().n == nibbles
+def test_bitmaps_never_exclude_similar_sets(spark):
+    rng = np.random.default_rng(44)
+    pool = rng.integers(0, 2**63, 12_000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool[: 2 * n], n)) for n in (4, 40, 400, 4000) for _ in range(6)]
+    sets += [np.unique(np.append(x[len(x) // 12 :], pool[:1])) for x in sets]
+    value, cut = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    bits = paragraphs.bitmaps(value, cut)
+    rows = [(k, len(x), len(x) - int(np.bitwise_count(bits[:, k].view(np.uint64)).sum()), *bits[:, k].tolist()) for k, x in enumerate(sets)]
+    table = spark.createDataFrame(rows, "k int, n long, more long, " + ", ".join(f"b{i} long" for i in range(paragraphs.LONGS)))
+    met = {(r.a, r.b) for r in table.alias("x").join(table.alias("y"), F.expr(f"x.k < y.k AND {paragraphs.possible(80)}")).selectExpr("x.k AS a", "y.k AS b").collect()}
+    similar = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 180 * len(np.intersect1d(sets[a], sets[b])) >= 80 * (len(sets[a]) + len(sets[b]))}
+    assert len(similar) >= 20 and similar <= met and len(met) < 200
 
 
 def test_licenses(spark):
