@@ -26,7 +26,8 @@ def _with_text(judged: DataFrame, columns: list[str]) -> DataFrame:
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows of the given doc_ids."""
     gone = Scratch(docs.sparkSession).save(gone.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(counted(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"))  # columns of docs may have any names
+    return rows.join(counted(gone), F.col("own_id") == F.col("gone_id"), "left_anti").select("row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
