@@ -5,6 +5,7 @@ import random
 import re
 import textwrap
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import decontam, jaccard, licenses, linededup, packing, paragraphs, quality, substrings, tokenpack, toxicity
 from graphloom.llm import text as T
+from graphloom.plans.scratch import Scratch
 
 EXTRA = "doc_id long, text string, row string, key string, t string, lang string"
 
@@ -508,3 +510,17 @@ def test_words_of_chunks():
     data, at = T.buffers(pa.array(column_texts))
     w = T.words(data, at, T.NOT_SPACE)
     assert np.diff(w.at).tolist() == [2, 0, 0, 0, 2] and w.data[w.start[0] : w.end[0]].tobytes() == b"ab"
+
+
+def test_frequent_words_count_all_documents(spark, monkeypatch):
+    texts = [(d, f"every unit w{d % 7} x{d}") for d in range(40)] + [(40, None), (41, "")]
+    words = spark.createDataFrame(texts, "doc_id long, t string").select(linededup.tokens(F.col("t")).alias("w"))
+    for share in (10, 50, 1000):
+        monkeypatch.setattr(linededup, "FREQUENT", share)
+        bits = np.unpackbits(np.array(linededup.frequent_words(words, Scratch(spark)), np.int64).view(np.uint8), bitorder="little")
+        count = Counter(w for _, t in texts for w in (t or "").split())
+        often = [w for w, c in count.items() if c * share >= sum(count.values())]
+        assert len(often) <= share
+        hashes = [r.h for r in spark.createDataFrame([(w,) for w in often], "w string").select(F.xxhash64("w").alias("h")).collect()]
+        assert set(np.flatnonzero(bits)) == {h & (linededup.SLOTS - 1) for h in hashes}
+    assert not any(linededup.frequent_words(words.limit(0), Scratch(spark)))
