@@ -1,7 +1,7 @@
 """Registered queries of the subpackage and, where SQL can express them, the SQL that checks them."""
 
 import corpus_pipeline
-from graphloom.llm import decontam, jaccard, licenses, linededup, packing, paragraphs, quality, substrings, tokenpack, toxicity
+from graphloom.llm import decontam, hardneg, jaccard, licenses, linededup, packing, paragraphs, ppm, quality, substrings, tokenpack, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -14,6 +14,8 @@ QUERIES = {
     "op8_bwt_merge": substrings.op8_bwt_merge,
     "op9_best_fit_packing": tokenpack.op9_best_fit_packing,
     "op10_paragraph_minhash": paragraphs.op10_paragraph_minhash,
+    "op11_score_sort": hardneg.op11_score_sort,
+    "op12_ppm_scores": ppm.op12_ppm_scores,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -21,4 +23,5 @@ ORACLES = {
     "op4_sentence_rules": licenses.ORACLE,
     "op5_jaccard_join": jaccard.ORACLE,
     "op7_quality_rules": quality.ORACLE,
+    "op11_score_sort": hardneg.ORACLE,
 }

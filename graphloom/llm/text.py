@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 CHUNK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -75,6 +76,27 @@ def chunks(at: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def places(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of the runs of the given sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[tuple[int, pa.Table]]:
+    """Number and rows of runs of about size bytes of text in a column; numbers differ between the tasks of a stage."""
+    context = TaskContext.get()
+    number, held, total = (context.partitionId() if context else 0) << 24, [], 0
+    for batch in batches:
+        at = buffers(batch.column(column))[1]
+        for i, j in chunks(at, size):
+            held.append(batch.slice(i, j - i))
+            total += int(at[j] - at[i])
+            if total >= size:
+                yield number, pa.Table.from_batches(held).combine_chunks()
+                number, held, total = number + 1, [], 0
+    if held:
+        yield number, pa.Table.from_batches(held).combine_chunks()
+
+
 @dataclass
 class Words:
     """Words of some documents: byte ranges in data, hashes, and where each document's words begin."""
