@@ -1,7 +1,7 @@
 """Registered queries of the subpackage and, where SQL can express them, the SQL that checks them."""
 
 import corpus_pipeline
-from graphloom.llm import decontam, hardneg, jaccard, licenses, linededup, packing, paragraphs, ppm, quality, substrings, tokenpack, toxicity
+from graphloom.llm import align, decontam, hardneg, jaccard, licenses, linededup, packing, paragraphs, ppm, quality, substrings, tokenpack, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op10_paragraph_minhash": paragraphs.op10_paragraph_minhash,
     "op11_score_sort": hardneg.op11_score_sort,
     "op12_ppm_scores": ppm.op12_ppm_scores,
+    "op13_token_alignment": align.op13_token_alignment,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
