@@ -27,8 +27,8 @@ from graphloom.plans.ship import ship
 
 #: Bytes of the longest context, at most 6: a run of bytes and a flag must fit a long.
 ORDER = 5
-#: Bytes of text of a chunk, and of those that are looked up at once.
-CHUNK, _PART = 16 << 20, 2 << 20
+#: Bytes of text of a chunk.
+CHUNK = 16 << 20
 _SPACE, _END = 32, 10
 _SYMBOLS = 256
 
@@ -42,9 +42,9 @@ def coded_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     keep = inside.copy()
     keep[1:] |= inside[:-1]
     low[~inside] = _SPACE
-    sizes = np.diff(np.concatenate([[0], np.cumsum(keep)])[at])
+    sizes = np.diff(np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[at])
     keep[at[1:][sizes == 0] - 1] = True
-    out, to = low[keep], np.concatenate([[0], np.cumsum(np.maximum(sizes, 1))])
+    out, to = low[keep], np.concatenate([[0], np.cumsum(np.maximum(sizes, 1))]).astype(np.int64)
     out[to[1:] - 1] = _END
     return out, to
 
@@ -116,30 +116,46 @@ def _gather(order: int, chunk: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of three kinds for each chunk: its coded texts, its distinct runs, its distinct words, with their counts in texts to learn from."""
         for number, table in T.runs(batches, 2, chunk):
-            learn = table["learn"].to_numpy()
-            coded, at = coded_bytes(table["t"])
-            first = np.zeros(len(learn) + 1, np.int64)
-            first[:] = at
-            texts = pa.Array.from_buffers(pa.large_binary(), len(learn), [None, pa.py_buffer(first), pa.py_buffer(coded)])
-            for i, j in T.chunks(at):
-                yield batch(j - i, chunk=pa.array(np.full(j - i, number)), key=table["key"].combine_chunks().slice(i, j - i), learn=pa.array(learn[i:j]), coded=texts.slice(i, j - i))
-            own = np.sort(byte_runs(coded, at, order) << np.uint64(1) | np.repeat(learn, np.diff(at)).astype(np.uint64))
-            new = np.flatnonzero(np.diff(own, prepend=np.uint64((1 << 64) - 1)))
-            counts, own = np.diff(new, append=len(own)) * (own[new] & np.uint64(1)).astype(np.int64), own[new] >> np.uint64(1)
-            begin = np.flatnonzero(np.diff(own, prepend=np.uint64((1 << 64) - 1)))
-            own, counts = own[begin].astype(np.int64), np.add.reduceat(counts, begin)
+            runs, parts, ends = [], [], [np.zeros(1, np.int64)]
+            here = lambda size: pa.array(np.full(size, number))  # noqa: E731, B023
+            for i, j in T.chunks(T.buffers(table["t"])[1]):
+                part = table.slice(i, j - i)
+                learn = part["learn"].to_numpy()
+                coded, at = coded_bytes(part["t"])
+                texts = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(at), pa.py_buffer(coded)])
+                yield batch(j - i, chunk=here(j - i), key=part["key"].combine_chunks(), learn=part["learn"].combine_chunks(), coded=texts)
+                own = np.sort(byte_runs(coded, at, order) << np.uint64(1) | np.repeat(learn, np.diff(at)).astype(np.uint64))
+                first, sizes = _distinct(own)
+                runs.append((own[first] >> np.uint64(1), sizes * (own[first] & np.uint64(1)).astype(np.int64)))
+                parts.append(coded)
+                ends.append(at[1:] + ends[-1][-1])
+            own, counts = map(np.concatenate, zip(*runs))
+            by = np.argsort(own, kind="stable")
+            own, counts = own[by].astype(np.int64), counts[by]
+            first, _ = _distinct(own)
+            own, counts = own[first], np.add.reduceat(counts, first)
             for a in range(0, len(own), 1 << 16):
                 part = slice(a, a + (1 << 16))
-                yield batch(len(own[part]), chunk=pa.array(np.full(len(own[part]), number)), run=pa.array(own[part]), n=pa.array(counts[part]))
-            words, sizes = words_of(coded, at)
-            found = words.dictionary_encode()
-            seen = np.bincount(found.indices.to_numpy(), weights=np.repeat(learn, sizes), minlength=len(found.dictionary))
-            names = pa.concat_arrays([found.dictionary, pa.array([bytes([_END])], pa.large_binary())])
-            yield batch(len(names), chunk=pa.array(np.full(len(names), number)), word=names, n=pa.array(np.append(seen, learn.sum()).astype(np.int64)))
+                yield batch(len(own[part]), chunk=here(len(own[part])), run=pa.array(own[part]), n=pa.array(counts[part]))
+            words, sizes = words_of(np.concatenate(parts), np.concatenate(ends))
+            words, learn = words.dictionary_encode(), table["learn"].to_numpy()
+            seen = np.bincount(words.indices.to_numpy(), weights=np.repeat(learn, sizes), minlength=len(words.dictionary))
+            names = pa.concat_arrays([words.dictionary, pa.array([bytes([_END])], pa.large_binary())])
+            rows = pa.table({"word": names, "n": np.append(seen, learn.sum()).astype(np.int64)})
+            for part in rows.to_batches(1 << 16):
+                yield batch(len(part), chunk=here(len(part)), word=part["word"], n=part["n"])
 
     return run
 
 
+def _distinct(rising: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value of a sorted array begins, and how often it comes."""
+    new = np.ones(len(rising), bool)
+    new[1:] = rising[1:] != rising[:-1]
+    first = np.flatnonzero(new)
+    return first, np.diff(first, append=len(rising))
+
+
 def code_lengths(runs: DataFrame, order: int, scratch: Scratch) -> DataFrame:
     """(run, value): the log10 probability of the last byte of each run after the others; runs: (run, c), c 0 for runs that were not learned.
 
@@ -181,18 +197,14 @@ def _score(order: int, tokens: int, distinct: int):
             return np.log10((c + 0.1) / (tokens + 0.1 * (distinct + 1)))
 
         end = counts[pc.index_in(pa.scalar(bytes([_END]), pa.large_binary()), value_set=words).as_py()] if len(words) else 0.0
-        column, parts = texts["coded"], []
-        data, at = T.buffers(column)
-        for i, j in T.chunks(at, _PART):
-            coded, own = data[at[i] : at[j]], at[i : j + 1] - at[i]
-            score = np.add.reduceat(lookup.find(byte_runs(coded, own, order)), own[:-1])
-            found, sizes = words_of(coded, own)
-            c = counts[pc.index_in(found, value_set=words).to_numpy()] if len(found) else np.zeros(0)
-            of = np.repeat(np.arange(j - i), sizes)
-            known = np.bincount(of, weights=c > 0, minlength=j - i) + (end > 0)
-            parts.append((sizes + 1, known.astype(np.int64), np.bincount(of, weights=base(c), minlength=j - i) + base(end), score))
-        n, known, base_score, score = map(np.concatenate, zip(*parts))
-        return pa.table({"key": texts["key"], "held_out": pc.invert(texts["learn"]), "n_tokens": n, "n_known": known, "base_score": base_score, "score": score})
+        data, at = T.buffers(texts["coded"])
+        score = np.concatenate([np.add.reduceat(lookup.find(byte_runs(data[at[i] : at[j]], at[i : j + 1] - at[i], order)), at[i:j] - at[i]) for i, j in T.chunks(at)])
+        found, sizes = words_of(data[at[0] : at[-1]], at - at[0])
+        c = counts[pc.index_in(found, value_set=words).to_numpy()] if len(found) else np.zeros(0)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        known = np.bincount(of, weights=c > 0, minlength=len(sizes)).astype(np.int64) + (end > 0)
+        base_score = np.bincount(of, weights=base(c), minlength=len(sizes)) + base(end)
+        return pa.table({"key": texts["key"], "held_out": pc.invert(texts["learn"]), "n_tokens": sizes + 1, "n_known": known, "base_score": base_score, "score": score})
 
     return run
 
