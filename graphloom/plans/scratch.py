@@ -6,6 +6,7 @@ Lineage is cut by writing Parquet below the folder that the cluster names in
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,12 +32,17 @@ class Scratch:
         self.spark = spark
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
         """Write df and read it back; its plan then starts at the written files."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def forget(self) -> None:
+        """Let Spark delete the shuffle files of plans that nobody refers to any more, which else wait for the driver's memory to fill."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete the files of tables that save() returned and nobody needs any more."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
