@@ -28,7 +28,7 @@ from graphloom.plans.ship import ship
 #: Bytes of the longest context, at most 6: a run of bytes and a flag must fit a long.
 ORDER = 5
 #: Bytes of text of a chunk.
-CHUNK = 16 << 20
+CHUNK = 32 << 20
 _SPACE, _END = 32, 10
 _SYMBOLS = 256
 
@@ -106,7 +106,7 @@ class Lookup:
         return out
 
 
-_GATHERED = "chunk bigint, key {key}, learn boolean, coded binary, run bigint, word binary, n bigint"
+_GATHERED = "chunk bigint, keys array<{key}>, learn array<boolean>, sizes array<int>, coded binary, run bigint, word binary, n bigint"
 
 
 def _gather(order: int, chunk: int, schema: pa.Schema):
@@ -114,7 +114,7 @@ def _gather(order: int, chunk: int, schema: pa.Schema):
         return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of three kinds for each chunk: its coded texts, its distinct runs, its distinct words, with their counts in texts to learn from."""
+        """Rows of three kinds for each chunk: its coded texts part by part, its distinct runs, its distinct words, with their counts in texts to learn from."""
         for number, table in T.runs(batches, 2, chunk):
             runs, parts, ends = [], [], [np.zeros(1, np.int64)]
             here = lambda size: pa.array(np.full(size, number))  # noqa: E731, B023
@@ -122,8 +122,9 @@ def _gather(order: int, chunk: int, schema: pa.Schema):
                 part = table.slice(i, j - i)
                 learn = part["learn"].to_numpy()
                 coded, at = coded_bytes(part["t"])
-                texts = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(at), pa.py_buffer(coded)])
-                yield batch(j - i, chunk=here(j - i), key=part["key"].combine_chunks(), learn=part["learn"].combine_chunks(), coded=texts)
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), values)  # noqa: E731, B023
+                keys, flags = (part[c].combine_chunks() for c in ("key", "learn"))
+                yield batch(1, chunk=here(1), keys=one(keys), learn=one(flags), sizes=one(pa.array(np.diff(at))), coded=pa.array([pa.compress(coded, "zstd", asbytes=True)], pa.large_binary()))
                 own = np.sort(byte_runs(coded, at, order) << np.uint64(1) | np.repeat(learn, np.diff(at)).astype(np.uint64))
                 first, sizes = _distinct(own)
                 runs.append((own[first] >> np.uint64(1), sizes * (own[first] & np.uint64(1)).astype(np.int64)))
@@ -137,17 +138,24 @@ def _gather(order: int, chunk: int, schema: pa.Schema):
             for a in range(0, len(own), 1 << 16):
                 part = slice(a, a + (1 << 16))
                 yield batch(len(own[part]), chunk=here(len(own[part])), run=pa.array(own[part]), n=pa.array(counts[part]))
-            words, sizes = words_of(np.concatenate(parts), np.concatenate(ends))
-            words, learn = words.dictionary_encode(), table["learn"].to_numpy()
-            seen = np.bincount(words.indices.to_numpy(), weights=np.repeat(learn, sizes), minlength=len(words.dictionary))
-            names = pa.concat_arrays([words.dictionary, pa.array([bytes([_END])], pa.large_binary())])
-            rows = pa.table({"word": names, "n": np.append(seen, learn.sum()).astype(np.int64)})
+            words, of, seen = _counted_words(np.concatenate(parts), np.concatenate(ends), table["learn"].to_numpy())
+            rows = pa.table({"word": words.dictionary, "n": seen})
             for part in rows.to_batches(1 << 16):
                 yield batch(len(part), chunk=here(len(part)), word=part["word"], n=part["n"])
 
     return run
 
 
+def _counted_words(coded: np.ndarray, at: np.ndarray, learn: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """The words and ends of coded texts, the text of each, and how often each distinct one comes in texts to learn from."""
+    words, sizes = words_of(coded, at)
+    of = np.concatenate([np.repeat(np.arange(len(sizes)), sizes), np.arange(len(sizes))])
+    ends = pa.array([bytes([_END])] * len(sizes), pa.large_binary())
+    words = pa.concat_arrays([words, ends]).dictionary_encode()
+    seen = np.bincount(words.indices.to_numpy(), weights=learn[of], minlength=len(words.dictionary))
+    return words, of, seen.astype(np.int64)
+
+
 def _distinct(rising: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each value of a sorted array begins, and how often it comes."""
     new = np.ones(len(rising), bool)
@@ -162,14 +170,16 @@ def code_lengths(runs: DataFrame, order: int, scratch: Scratch) -> DataFrame:
     Escapes as in variant D: of a context with T occurrences of D symbols that are not excluded, a symbol seen c times
     has (2c - 1) / 2T and the escape D / 2T. Below the empty context the symbols that are left are alike.
     """
-    levels = [runs]
+    levels = [scratch.save(runs, "runs")]
     for _ in range(order):
         levels.append(scratch.save(levels[-1].groupBy(F.shiftrightunsigned("run", 8).alias("run")).agg(F.sum("c").alias("c")), "runs"))
     levels.reverse()
     total, symbols = F.sum("c").over(Window.partitionBy()), F.count_if(F.col("c") > 0).over(Window.partitionBy())
     node = levels[0].select("run", "c", total.alias("T"), symbols.alias("D")).withColumn("tail", -F.log10(F.greatest(F.lit(1), _SYMBOLS - F.col("D"))))
+    saved = []
     for k in range(1, order + 1):
         node = scratch.save(node, "nodes")
+        saved.append(node)
         above = node.select(F.col("run").alias("up"), F.col("c").alias("pc"), F.col("T").alias("pT"), F.col("D").alias("pD"), F.col("tail").alias("ptail"))
         rows = levels[k].withColumn("up", F.shiftrightunsigned("run", 8)).join(above, "up")
         own = Window.partitionBy(F.col("run").bitwiseAND(F.lit((1 << 8 * k) - 1)))
@@ -179,7 +189,9 @@ def code_lengths(runs: DataFrame, order: int, scratch: Scratch) -> DataFrame:
         node = rows.select("run", "c", "T", "D", tail.otherwise(F.col("ptail")).alias("tail"))
     twice = F.nullif(2.0 * F.col("T"), F.lit(0.0))
     value = F.when(F.col("c") > 0, F.log10((2 * F.col("c") - 1) / twice)).when(F.col("D") > 0, F.log10(F.col("D") / twice) + F.col("tail")).otherwise(F.col("tail"))
-    return node.select("run", value.alias("value"))
+    codes = scratch.save(node.select("run", value.alias("value")), "codes", "zstd")
+    scratch.drop(*levels, *saved)
+    return codes
 
 
 _SCORED = "key {key}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -187,24 +199,25 @@ _SCORED = "key {key}, held_out boolean, n_tokens bigint, n_known bigint, base_sc
 
 def _score(order: int, tokens: int, distinct: int):
     def run(texts: pa.Table, given: pa.Table) -> pa.Table:
-        """The scores of one chunk's texts by the code lengths of its runs and the counts of its words."""
-        is_word = given["word"].is_valid().to_numpy()
-        value = given["value"].to_numpy()
-        lookup = Lookup(given["run"].filter(pa.array(~is_word)).to_numpy().astype(np.uint64), value[~is_word])
-        words, counts = given["word"].filter(pa.array(is_word)).combine_chunks().cast(pa.large_binary()), value[is_word]
-
-        def base(c: np.ndarray) -> np.ndarray:
-            return np.log10((c + 0.1) / (tokens + 0.1 * (distinct + 1)))
-
-        end = counts[pc.index_in(pa.scalar(bytes([_END]), pa.large_binary()), value_set=words).as_py()] if len(words) else 0.0
-        data, at = T.buffers(texts["coded"])
-        score = np.concatenate([np.add.reduceat(lookup.find(byte_runs(data[at[i] : at[j]], at[i : j + 1] - at[i], order)), at[i:j] - at[i]) for i, j in T.chunks(at)])
-        found, sizes = words_of(data[at[0] : at[-1]], at - at[0])
-        c = counts[pc.index_in(found, value_set=words).to_numpy()] if len(found) else np.zeros(0)
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        known = np.bincount(of, weights=c > 0, minlength=len(sizes)).astype(np.int64) + (end > 0)
-        base_score = np.bincount(of, weights=base(c), minlength=len(sizes)) + base(end)
-        return pa.table({"key": texts["key"], "held_out": pc.invert(texts["learn"]), "n_tokens": sizes + 1, "n_known": known, "base_score": base_score, "score": score})
+        """The scores of one chunk's texts by the code lengths of its runs and the counts of its words, its own where none is given."""
+        is_run = given["run"].is_valid()
+        runs, others = given.filter(is_run), given.filter(pc.invert(is_run))
+        lookup = Lookup(runs["run"].to_numpy().astype(np.uint64), runs["value"].to_numpy())
+        score, parts, ends = [], [], [np.zeros(1, np.int64)]
+        for sizes, coded in zip(texts["sizes"], texts["coded"]):
+            at = np.concatenate([[0], np.cumsum(sizes.values.to_numpy(), dtype=np.int64)])
+            coded = np.frombuffer(pa.decompress(coded.as_buffer(), int(at[-1]), "zstd"), np.uint8)
+            score.append(np.add.reduceat(lookup.find(byte_runs(coded, at, order)), at[:-1]))
+            parts.append(coded)
+            ends.append(at[1:] + ends[-1][-1])
+        learn = pc.list_flatten(texts["learn"]).to_numpy()
+        words, of, count = _counted_words(np.concatenate(parts), np.concatenate(ends), learn)
+        place = pc.index_in(words.dictionary, value_set=others["word"].combine_chunks().cast(pa.large_binary())).fill_null(-1).to_numpy()
+        count[place >= 0] = others["value"].to_numpy()[place[place >= 0]]
+        c, n = count[words.indices.to_numpy()], len(learn)
+        base_score = np.bincount(of, weights=np.log10((c + 0.1) / (tokens + 0.1 * (distinct + 1))), minlength=n)
+        known = np.bincount(of, weights=c > 0, minlength=n).astype(np.int64)
+        return pa.table({"key": pc.list_flatten(texts["keys"]), "held_out": pc.invert(pc.list_flatten(texts["learn"])), "n_tokens": np.bincount(of, minlength=n), "n_known": known, "base_score": base_score, "score": np.concatenate(score)})
 
     return run
 
@@ -272,14 +285,17 @@ def lm_scores(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "
     base = _base(docs, key, text, learn)
     kind = base.schema["key"].dataType.simpleString()
     empty = docs.sparkSession.createDataFrame([], _GATHERED.format(key=kind))
-    gathered = scratch.save(base.mapInArrow(_gather(order, chunk, empty.toArrow().schema), empty.schema), "gathered")
+    gathered = scratch.save(base.mapInArrow(_gather(order, chunk, empty.toArrow().schema), empty.schema), "gathered", "zstd")
     runs, words = (gathered.where(F.col(c).isNotNull()).select("chunk", c, "n") for c in ("run", "word"))
     counts = scratch.save(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    codes = scratch.save(code_lengths(scratch.save(runs.groupBy("run").agg(F.sum("n").alias("c")), "runs"), order, scratch), "codes")
-    given = runs.join(codes, "run").select("chunk", "run", F.lit(None).cast("binary").alias("word"), "value")
-    given = given.union(words.join(counts, "word").select("chunk", F.lit(None).cast("long"), "word", F.col("c").cast("double")))
-    texts = gathered.where("coded IS NOT NULL").select(F.col("chunk").alias("chunk"), "key", "learn", "coded")
+    others = words.join(counts, "word").where("c <> n").select("chunk", F.lit(None).cast("long").alias("run"), "word", F.col("c").cast("double").alias("value"))
+    others = scratch.save(others, "others", "zstd")
+    codes = code_lengths(runs.groupBy("run").agg(F.sum("n").alias("c")), order, scratch)
+    scratch.drop(counts)
+    scratch.forget()
+    given = runs.join(codes, "run").select("chunk", "run", F.lit(None).cast("binary").alias("word"), "value").union(others)
+    texts = gathered.where("coded IS NOT NULL").select(F.col("chunk").alias("chunk"), "keys", "learn", "sizes", "coded")
     scored = texts.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(_score(order, tokens, distinct), _SCORED.format(key=kind))
     return scored.select("key", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
