@@ -28,7 +28,7 @@ from graphloom.plans.ship import ship
 #: Bytes of the longest context, at most 6: a run of bytes and a flag must fit a long.
 ORDER = 5
 #: Bytes of text of a chunk.
-CHUNK = 32 << 20
+CHUNK = 16 << 20
 _SPACE, _END = 32, 10
 _SYMBOLS = 256
 
@@ -53,12 +53,13 @@ def words_of(coded: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The words of coded texts, and how many each has."""
     gap = (coded == _SPACE) | (coded == _END)
     ends = np.flatnonzero(gap)
+    counts = np.diff(np.searchsorted(ends, at[1:]), prepend=0)  # each text ends in a gap
     sizes = np.diff(ends, prepend=-1) - 1
-    of = np.searchsorted(at, ends, "right") - 1
-    some = sizes > 0
-    offsets = np.concatenate([[0], np.cumsum(sizes[some])]).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), int(some.sum()), [None, pa.py_buffer(offsets), pa.py_buffer(coded[~gap])])
-    return words, np.bincount(of[some], minlength=len(at) - 1)
+    del ends
+    counts -= sizes[np.cumsum(counts) - 1] == 0  # a text without words is an end alone
+    offsets = np.concatenate([[0], np.cumsum(sizes[sizes > 0])])
+    words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(coded[~gap])])
+    return words, counts
 
 
 def byte_runs(coded: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
@@ -135,25 +136,30 @@ def _gather(order: int, chunk: int, schema: pa.Schema):
             own, counts = own[by].astype(np.int64), counts[by]
             first, _ = _distinct(own)
             own, counts = own[first], np.add.reduceat(counts, first)
+            del runs, by
             for a in range(0, len(own), 1 << 16):
                 part = slice(a, a + (1 << 16))
                 yield batch(len(own[part]), chunk=here(len(own[part])), run=pa.array(own[part]), n=pa.array(counts[part]))
-            words, of, seen = _counted_words(np.concatenate(parts), np.concatenate(ends), table["learn"].to_numpy())
-            rows = pa.table({"word": words.dictionary, "n": seen})
+            words, _, seen = _counted_words(parts, ends, table["learn"].to_numpy())
+            rows = pa.table({"word": _names(words), "n": seen})
+            del words, parts
             for part in rows.to_batches(1 << 16):
                 yield batch(len(part), chunk=here(len(part)), word=part["word"], n=part["n"])
 
     return run
 
 
-def _counted_words(coded: np.ndarray, at: np.ndarray, learn: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
-    """The words and ends of coded texts, the text of each, and how often each distinct one comes in texts to learn from."""
-    words, sizes = words_of(coded, at)
-    of = np.concatenate([np.repeat(np.arange(len(sizes)), sizes), np.arange(len(sizes))])
-    ends = pa.array([bytes([_END])] * len(sizes), pa.large_binary())
-    words = pa.concat_arrays([words, ends]).dictionary_encode()
+def _counted_words(parts: list[np.ndarray], ends: list[np.ndarray], learn: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """The words of coded texts, the text of each, and how often each distinct one and, last, the end come in texts to learn from."""
+    words, sizes = words_of(np.concatenate(parts), np.concatenate(ends))
+    words, of = words.dictionary_encode(), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     seen = np.bincount(words.indices.to_numpy(), weights=learn[of], minlength=len(words.dictionary))
-    return words, of, seen.astype(np.int64)
+    return words, of, np.append(seen, learn.sum()).astype(np.int64)
+
+
+def _names(words: pa.DictionaryArray) -> pa.Array:
+    """The distinct words and the end."""
+    return pa.concat_arrays([words.dictionary, pa.array([bytes([_END])], pa.large_binary())])
 
 
 def _distinct(rising: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,13 +217,13 @@ def _score(order: int, tokens: int, distinct: int):
             parts.append(coded)
             ends.append(at[1:] + ends[-1][-1])
         learn = pc.list_flatten(texts["learn"]).to_numpy()
-        words, of, count = _counted_words(np.concatenate(parts), np.concatenate(ends), learn)
-        place = pc.index_in(words.dictionary, value_set=others["word"].combine_chunks().cast(pa.large_binary())).fill_null(-1).to_numpy()
+        words, of, count = _counted_words(parts, ends, learn)
+        place = pc.index_in(_names(words), value_set=others["word"].combine_chunks().cast(pa.large_binary())).fill_null(-1).to_numpy()
         count[place >= 0] = others["value"].to_numpy()[place[place >= 0]]
-        c, n = count[words.indices.to_numpy()], len(learn)
-        base_score = np.bincount(of, weights=np.log10((c + 0.1) / (tokens + 0.1 * (distinct + 1))), minlength=n)
-        known = np.bincount(of, weights=c > 0, minlength=n).astype(np.int64)
-        return pa.table({"key": pc.list_flatten(texts["keys"]), "held_out": pc.invert(pc.list_flatten(texts["learn"])), "n_tokens": np.bincount(of, minlength=n), "n_known": known, "base_score": base_score, "score": np.concatenate(score)})
+        value, index, n = np.log10((count + 0.1) / (tokens + 0.1 * (distinct + 1))), words.indices.to_numpy(), len(learn)
+        base_score = np.bincount(of, weights=value[index], minlength=n) + value[-1]
+        known = np.bincount(of, weights=(count > 0)[index], minlength=n).astype(np.int64) + (count[-1] > 0)
+        return pa.table({"key": pc.list_flatten(texts["keys"]), "held_out": pc.invert(pc.list_flatten(texts["learn"])), "n_tokens": np.bincount(of, minlength=n) + 1, "n_known": known, "base_score": base_score, "score": np.concatenate(score)})
 
     return run
 
