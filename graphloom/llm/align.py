@@ -32,7 +32,7 @@ from graphloom.plans.ship import ship
 FOLDER = "/opt/tokenizers"
 A, B = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
 #: Bytes of text of a chunk, and of those whose groups are written out at once; segments that are encoded at once.
-CHUNK, _PART, _SEGMENTS = 8 << 20, 1 << 20, 1 << 13
+CHUNK, _PART, _SEGMENTS = 8 << 20, 1 << 20, 1 << 15
 _MARK = "▁"
 
 
@@ -77,12 +77,8 @@ class Side:
 
     def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
-        every, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a in range(0, len(texts), _SEGMENTS):
-            ids = self.encode(texts[a : a + _SEGMENTS])
-            every.append(np.fromiter(chain.from_iterable(ids), np.int64))
-            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-        return np.concatenate(every), np.concatenate(sizes)
+        ids = self.encode(texts)
+        return np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
 @lru_cache(4)
@@ -139,8 +135,21 @@ class Merged:
     written: pa.Array
 
 
+@lru_cache(2)
+def _signs(n_a: int, n_b: int) -> pa.Array:
+    """How ids are written: those of a before others and at the end of their group, then those of b."""
+    return pa.array([f"{i}{c}".encode() for n, kinds in ((n_a, ",|"), (n_b, ",;")) for c in kinds for i in range(n)], pa.large_binary())
+
+
 def merge(a: Side, b: Side, found: pa.Array) -> tuple[Merged, np.ndarray]:
-    """Merge the token ends of both sides over all segments, which stand one after another; and which segments are spelt right."""
+    """Everything about distinct segments, some at a time; and which of them both sides spell right."""
+    parts, good = zip(*(_merge(a, b, pa.concat_arrays([found.slice(k, _SEGMENTS)])) for k in range(0, max(1, len(found)), _SEGMENTS)))
+    numbers = [np.concatenate([getattr(m, f) for m in parts]) for f in ("n_a", "n_b", "n_groups", "n_links", "pairs")]
+    return Merged(*numbers, pa.concat_arrays([m.written for m in parts])), np.concatenate(good)
+
+
+def _merge(a: Side, b: Side, found: pa.Array) -> tuple[Merged, np.ndarray]:
+    """Merge the token ends of both sides over segments that stand one after another."""
     text, at = _buffer(found)
     length = np.diff(at)
     strings = [s.decode(errors="replace") for s in found.to_pylist()]
@@ -167,8 +176,7 @@ def merge(a: Side, b: Side, found: pa.Array) -> tuple[Merged, np.ndarray]:
     ends_group = lambda g: np.diff(g, append=-1) != 0
     signs[np.arange(len(ids_a)) + (np.cumsum(in_b) - in_b)[group_a]] = ids_a + n_a * ends_group(group_a)
     signs[np.arange(len(ids_b)) + np.cumsum(in_a)[group_b]] = 2 * n_a + ids_b + n_b * ends_group(group_b)
-    names = [f"{i}{c}".encode() for n, kinds in ((n_a, ",|"), (n_b, ",;")) for c in kinds for i in range(n)]
-    letters, to = _buffer(pa.array(names, pa.large_binary()).take(pa.array(signs)))
+    letters, to = _buffer(_signs(n_a, n_b).take(pa.array(signs)))
     offsets = to[np.concatenate([[0], np.cumsum(sizes_a + sizes_b)])].astype(np.int64)
     written = pa.Array.from_buffers(pa.large_binary(), len(good), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters))])
     return Merged(sizes_a, sizes_b, count(segment[common]), count(segment), ids_a[at_a] << 32 | ids_b[at_b], written), good
