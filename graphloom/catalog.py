@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import languages as L
 from graphloom.functions.names import clean_nodes, strip_comments
-from graphloom.functions.parsers import parse_braced, with_symbols
 from graphloom.operators import analysis, diff, graph, heuristic, metrics, queries, subgraph, tables, trees
 from graphloom.operators.parse import parse_files, register_udtf
 from graphloom.plans.fixpoint import reach
@@ -175,7 +174,7 @@ def _parser_query(name: str, language: str) -> None:
         return _by_name(parse_files(derived.generated_files(spark, sf_dir, language))[0])
 
 
-for _name, _of in (("parse_python", "Python"), ("parse_cpp_ts", "CppTreeSitter"), ("parse_go", "Go"), ("parse_rust", "Rust"), ("parse_rustc", "Rust")):
+for _name, _of in (("parse_python", "Python"), ("parse_go", "Go"), ("parse_rust", "Rust"), ("parse_rustc", "Rust")):
     _parser_query(_name, _of)
 
 
@@ -187,20 +186,42 @@ def parse_ruby(spark, sf_dir):
     return _by_name(spark.sql("SELECT f.path, p.* FROM {files} AS f, LATERAL parse_source(f.language, f.content) AS p", files=files))
 
 
+# Every fact of the generated C++ files with its place: two lines of head, then each part with its declaration, its calls and its return.
+_CPP_FACTS = """, named AS (SELECT p_partkey, replace(p_brand, '#', '_') AS path FROM part),
+called AS (SELECT src, concat('part_', dst) AS name, row_number() OVER (PARTITION BY src ORDER BY concat('    part_', dst, '(1);')) AS r FROM cs),
+sized AS (SELECT path, p_partkey, concat('part_', p_partkey) AS f, coalesce(n, 0) AS n FROM named LEFT JOIN (SELECT src, count(*) AS n FROM cs GROUP BY src) ON src = p_partkey),
+placed AS (SELECT *, 3 + coalesce(sum(4 + n) OVER (PARTITION BY path ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM sized),
+facts AS (SELECT path, 'Class' AS kind, path AS name, 2 AS start_line, 0 AS start_col, 4 + sum(4 + n) AS end_line, 1 AS end_col, NULL AS parent FROM sized GROUP BY path
+  UNION ALL SELECT path, 'Function', f, line, {column}, line + n + 3, 3, path FROM placed
+  UNION ALL SELECT path, 'Parameter', 'a', line, 7 + length(f), line, 12 + length(f), f FROM placed
+  UNION ALL SELECT path, 'Parameter', 'v', line, 14 + length(f), line, 44 + length(f), f FROM placed
+  UNION ALL SELECT path, 'Variable', 'n', line + 1, 4, line + 1, 13, f FROM placed
+  UNION ALL SELECT path, 'Variable', 'p', line + 1, 4, line + 1, 22, f FROM placed
+  UNION ALL SELECT path, 'CallSite', called.name, line + 1 + r, 4, line + 1 + r, 7 + length(called.name), f FROM called JOIN placed ON src = p_partkey)
+SELECT path, kind, name, start_line::BIGINT AS start_line, start_col::BIGINT AS start_col, end_line::BIGINT AS end_line, end_col::BIGINT AS end_col, parent{usr} FROM facts"""
+
+
+def _cpp_facts(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
+    files = derived.generated_files(spark, sf_dir, "CppTreeSitter").withColumn("language", F.lit(language))
+    facts = parse_files(files)[0]
+    parents = facts.select("path", F.col("fact_id").alias("parent_id"), F.col("name").alias("parent"))
+    return facts.join(parents, ["path", "parent_id"], "left")
+
+
+_PLACES = ["path", "kind", "name", "start_line", "start_col", "end_line", "end_col", "parent"]
+
+
+@query("parse_cpp_ts", over(_CPP_FACTS.format(column=2, usr="")))
+def parse_cpp_ts(spark, sf_dir):
+    return _cpp_facts(spark, sf_dir, "CppTreeSitter").select(_PLACES)
+
+
 @query(
     "parse_clang",
-    over(f"{_PARSED} SELECT path, kind, name, CASE kind WHEN 'Function' THEN concat('c:@F@', name, '#') WHEN 'Class' THEN concat('c:@S@', name) END AS usr, n FROM facts"),
+    over(_CPP_FACTS.format(column="46 + length(f)", usr=", CASE kind WHEN 'Function' THEN concat('c:@F@', name, '#') WHEN 'Class' THEN concat('c:@S@', name) END AS usr")),
 )
 def parse_clang(spark, sf_dir):
-    from graphloom.functions.parsers import register_parser, registered
-
-    before = registered()["CppTreeSitter"]
-    register_parser("CppTreeSitter", lambda s: list(with_symbols(parse_braced(s, "cpp"))))
-    try:
-        facts = parse_files(derived.generated_files(spark, sf_dir, "CppTreeSitter"))[0]
-    finally:
-        register_parser("CppTreeSitter", before)
-    return facts.groupBy("path", "kind", "name", "usr").agg(F.count("*").alias("n"))
+    return _cpp_facts(spark, sf_dir, "Cpp").select(*_PLACES, "usr")
 
 
 _HEURISTIC = """, calls AS (SELECT path, name, n FROM facts WHERE kind = 'CallSite' UNION ALL SELECT path, name, 1 FROM facts WHERE kind = 'Function')

@@ -69,6 +69,12 @@ _SKIP = r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|`[^`]*`|'(?:\\.|[^'\\\n])'"
 _BRACED = re.compile(rf"(?P<skip>{_SKIP})|(?P<token>[A-Za-z_~][A-Za-z0-9_]*|::|->|[^\sA-Za-z0-9_])|(?P<number>[0-9][A-Za-z0-9_.]*)", re.S)
 
 
+# C++ reads literals as tokens too, which declarations end with, and leaves preprocessor lines out.
+_CPP = re.compile(
+    r"(?P<skip>//[^\n]*|/\*.*?\*/|(?m:^)[ \t]*\#(?:\\\r?\n|[^\n])*)|(?P<token>[A-Za-z_~][A-Za-z0-9_]*|::|->|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])+'|[0-9](?:[A-Za-z0-9_.]|'(?=[0-9]))*|[^\sA-Za-z0-9_])", re.S
+)
+
+
 def _scan(source: str, pattern: re.Pattern) -> list[Token]:
     found, line, start, at = [], 1, 0, 0
     for m in pattern.finditer(source):
@@ -83,6 +89,9 @@ def _scan(source: str, pattern: re.Pattern) -> list[Token]:
 
 # Words that are followed by a parenthesis or brace without being calls or definitions.
 CONTROL = {"if", "for", "while", "switch", "catch", "return", "sizeof", "else", "do", "match", "loop", "unsafe", "move", "in", "new", "delete", "throw", "go", "defer", "select", "case", "func", "fn", "let", "range"}
+# Those of them that are plain names in C++.
+_NAMES_IN_CPP = {"match", "loop", "unsafe", "move", "in", "go", "defer", "select", "func", "fn", "let", "range"}
+_CPP_CONTROL = CONTROL - _NAMES_IN_CPP
 # Words that begin a class-like definition.
 CLASS_WORDS = {"cpp": {"class", "struct", "union", "interface"}, "rust": {"struct", "enum", "union", "trait", "impl"}, "go": set()}
 
@@ -126,7 +135,7 @@ def _definition(tokens: list[Token], i: int, language: str, inside: bool) -> tup
                         k = j + 1
                         break
             return "Class", tokens[k].text, k + 1
-    if language == "cpp" and _word(tokens[i]) and word not in CONTROL and more and tokens[i + 1].text == "(":
+    if language == "cpp" and _word(tokens[i]) and word not in _CPP_CONTROL and more and tokens[i + 1].text == "(":
         k = _close(tokens, i + 1) + 1
         while k < len(tokens) and tokens[k].text in ("const", "noexcept", "override", "final", "&"):
             k += 1
@@ -155,17 +164,217 @@ def _chain(tokens: list[Token], i: int) -> str:
     return "".join(parts)
 
 
-def parse_braced(source: str, language: str, sibling_chaining: bool = False) -> list[Fact]:
-    """Functions, classes and calls of a C-like language: cpp, go or rust."""
-    tokens, out = _scan(source, _BRACED), Facts(chain=sibling_chaining)
+# Words of C++ that may stand before or around a type, types of one word, words before a type's name, words that begin no declaration.
+_QUALIFIERS = {"static", "const", "constexpr", "constinit", "consteval", "extern", "inline", "mutable", "register", "thread_local", "volatile", "virtual", "explicit"}
+_BUILT_IN = {"unsigned", "signed", "long", "short", "int", "char", "bool", "float", "double", "void", "auto", "wchar_t", "char8_t", "char16_t", "char32_t"}
+_ELABORATED = {"struct", "class", "union", "enum", "typename"}
+_NO_DECLARATION = {
+    "asm", "break", "case", "catch", "co_await", "co_return", "co_yield", "continue", "default", "delete", "do", "else", "for", "friend", "goto", "if", "namespace", "new", "not", "operator",
+    "private", "protected", "public", "return", "sizeof", "static_assert", "switch", "template", "this", "throw", "try", "typedef", "using", "while",
+}
+
+
+class Declarations:
+    """Variables and parameters among C++ tokens: specifiers, then declarators with their initialisers.
+
+    Without a symbol table, `a * b;` is a declaration, `a(b);` a call, and `T x(y);` a variable inside functions only.
+    """
+
+    def __init__(self, tokens: list[Token]):
+        self.tokens = tokens
+        self.pair, self.closed_angle = {}, {}
+        opened: list[int] = []
+        for k, t in enumerate(tokens):
+            kind = t.text
+            if kind in ("(", "[", "{"):
+                opened.append(k)
+            elif kind in (")", "]", "}"):
+                self._drop_angles(opened)
+                if opened:
+                    self.pair[opened.pop()] = k
+            elif kind == "<":
+                opened.append(k)
+                if k and tokens[k - 1].text == "<":  # a shift
+                    self._drop_angles(opened)
+            elif kind == ">" and opened and tokens[opened[-1]].text == "<":
+                self.closed_angle[opened.pop()] = k
+            elif kind in (";", "=", "->", "|", "?"):
+                self._drop_angles(opened)
+
+    def _drop_angles(self, opened: list[int]) -> None:
+        while opened and self.tokens[opened[-1]].text == "<":
+            opened.pop()
+
+    def text(self, k: int) -> str:
+        return self.tokens[k].text if k < len(self.tokens) else ""
+
+    def after(self, k: int) -> int:
+        """Index after the bracket that closes the one at k."""
+        return self.pair.get(k, len(self.tokens)) + 1
+
+    def word(self, k: int) -> bool:
+        return k < len(self.tokens) and _word(self.tokens[k]) and self.text(k)[0] != "~" and self.text(k) not in _NO_DECLARATION
+
+    def angle(self, k: int) -> int | None:
+        """Index after the template arguments that open at k, None if it is a comparison or shift."""
+        return self.closed_angle[k] + 1 if k in self.closed_angle else None
+
+    def named(self, k: int) -> tuple[int, int]:
+        """(index of the last word, index after) of a qualified name that begins at k."""
+        while True:
+            last, k = k, k + 1
+            if self.text(k) == "<":
+                k = self.angle(k) or k
+            if self.text(k) != "::" or not self.word(k + 1):
+                return last, k
+            k += 1
+
+    def specifiers(self, k: int) -> int | None:
+        """Index after the words that name a type, None without any."""
+        typed = False
+        while True:
+            t = self.text(k)
+            if t == "[" and self.text(k + 1) == "[":
+                k = self.after(k)
+            elif t in _QUALIFIERS:
+                k += 1
+            elif t in _BUILT_IN:
+                typed, k = True, k + 1
+            elif not typed and (t in _ELABORATED or t == "::") and self.word(k + 1):
+                k += 1
+            elif not typed and self.word(k):
+                typed, k = True, self.named(k)[1]
+            else:
+                return k if typed else None
+
+    def declarator(self, k: int, abstract: bool) -> tuple[int | None, int] | None:
+        """(index of the name, index after the declarator); the name may be missing if abstract."""
+        while self.text(k) in ("*", "&", "const", "volatile") or (abstract and self.text(k) == "."):
+            k += 1
+        if self.text(k) == "(" and (self.text(k + 1) in ("*", "&") or self.text(k + 2) == "::"):
+            inner = k + 1
+            while self.text(inner + 1) == "::":  # a pointer to a member
+                inner += 2
+            found = self.declarator(inner, abstract)
+            if found is None or self.text(found[1]) != ")" or self.text(found[1] + 1) not in ("(", "["):
+                return None
+            name, k = found[0], found[1] + 1
+        elif self.word(k) and self.text(k) not in _BUILT_IN:
+            name, k = self.named(k)
+            if self.text(k) == "(" and not abstract:
+                return name, k
+        elif abstract:
+            name = None
+        else:
+            return None
+        while self.text(k) in ("[", "("):
+            k = self.after(k)
+        return name, k
+
+    def expression(self, k: int) -> int:
+        """Index of the comma, semicolon or bracket that ends an initialiser."""
+        while k < len(self.tokens) and self.text(k) not in (",", ";", ")", "}", "]"):
+            t, skipped = self.text(k), None
+            if t == "<" and k and _word(self.tokens[k - 1]):
+                skipped = self.angle(k)
+                if self.text(skipped or k) not in ("(", "{", "::"):
+                    skipped = None
+            k = self.after(k) if t in ("(", "[", "{") else skipped or k + 1
+        return k
+
+    def variables(self, i: int, inside: bool, condition: str = "") -> tuple[list[tuple[int, int]], set[int]] | None:
+        """(name, last token) of each declarator of a declaration that begins at i, and the tokens that are no calls.
+
+        inside: in a function, where parentheses after a name hold its initialiser. condition: the word before the
+        parenthesis that the declaration opens.
+        """
+        k = self.specifiers(i)
+        if k is None:
+            return None
+        found, quiet = [], set(range(i, k))
+        if self.text(k) in ("[", "&") and self.text(k - 1) == "auto" and self.text(k + (self.text(k) == "&")) == "[":
+            k += self.text(k) == "&"
+            end = self.after(k)
+            names = [j for j in range(k + 1, end - 1) if self.word(j)]
+            stop = self.expression(end + 1) if self.text(end) == "=" else end
+            return ([(j, stop - 1) for j in names], quiet) if self.text(end) in ("=", ":", "{") else None
+        while True:
+            declared = self.declarator(k, abstract=False)
+            if declared is None:
+                return None
+            name, k = declared
+            quiet |= set(range(name, k))
+            t, given = self.text(k), False
+            if t == "(" and inside:
+                k, given = self.after(k), True
+            elif t == "{":
+                k, given = self.after(k), True
+            elif t == "=":
+                k, given = self.expression(k + 1), True
+            elif t == "(":
+                return None
+            found.append((name, k - 1))
+            t = self.text(k)
+            if t == ";" or (t == ")" and condition):
+                return (found, quiet) if given or condition in ("", "for") else None
+            if t == ":" and condition == "for":
+                return found, quiet
+            if t != ",":
+                return None
+            k += 1
+
+    def parameters(self, k: int) -> Iterator[tuple[int | None, int, int]]:
+        """(name, first token, last token) of the parameters in the parentheses that open at k."""
+        end, a = self.after(k) - 1, k + 1
+        while a < end:
+            b, j = a, a
+            while j < end and self.text(j) != ",":
+                if self.text(j) == "<" and _word(self.tokens[j - 1]):
+                    j = self.angle(j) or j + 1
+                else:
+                    j = self.after(j) if self.text(j) in ("(", "[", "{") else j + 1
+            b, first = min(j, end), a
+            a = b + 1
+            if first == b or (b == first + 1 and self.text(first) == "void") or all(self.text(x) == "." for x in range(first, b)):
+                continue
+            after = self.specifiers(first)
+            declared = self.declarator(after, abstract=True) if after is not None and after < b else None
+            yield (declared[0] if declared and declared[1] <= b else None), first, b - 1
+
+
+def parse_braced(source: str, language: str, sibling_chaining: bool = False, body_extent: bool = False) -> list[Fact]:
+    """Functions, classes and calls of a C-like language: cpp, go or rust; for cpp variables and parameters too.
+
+    A variable is each declarator outside classes, from where its declaration begins to the end of its initialiser,
+    with the identifier as name; a parameter is unnamed ('') if it has none. Calls in initialisers are kept. With
+    body_extent a function's place is that of its braces, as C++ front ends give it.
+    """
+    tokens, out = _scan(source, _CPP if language == "cpp" else _BRACED), Facts(chain=sibling_chaining)
+    declarations = Declarations(tokens) if language == "cpp" else None
     stack: list[tuple[int, int]] = []
     depth, waiting, i, functions = 0, None, 0, 0  # functions: those that are open
+    control = _CPP_CONTROL if language == "cpp" else CONTROL
+    begin, quiet = 0, set()  # where the statement began; tokens of declarators
+    end_of = lambda k: (tokens[k].line, tokens[k].col + len(tokens[k].text))
     while i < len(tokens):
         t = tokens[i]
         parent = stack[-1][0] if stack else None
+        if declarations is not None and waiting is None:
+            before = tokens[i - 1].text if i else ";"
+            labelled = before == ":" and i > 1 and (tokens[i - 2].text in ("public", "private", "protected", "default") or i > 2 and tokens[i - 3].text == "case")
+            condition = tokens[i - 2].text if before == "(" and i > 1 and tokens[i - 2].text in ("for", "if", "while", "switch") else ""
+            if before in (";", "{", "}") or labelled:
+                begin = i
+            if (begin == i or condition) and _word(t) and not (parent is not None and out.rows[parent][1] == "Class"):
+                declared = declarations.variables(i, functions > 0, condition)
+                for name, last in declared[0] if declared else ():
+                    out.add("Variable", tokens[name].text, (t.line, t.col), end_of(last), parent)
+                quiet = declared[1] if declared else set()
         if t.text == "{":
             depth += 1
             if waiting is not None:
+                if body_extent and out.rows[waiting][1] == "Function":
+                    out.rows[waiting][4:6] = t.line, t.col
                 stack.append((waiting, depth))
                 functions += out.rows[waiting][1] == "Function"
                 waiting = None
@@ -177,12 +386,17 @@ def parse_braced(source: str, language: str, sibling_chaining: bool = False) ->
             depth = max(0, depth - 1)
         elif t.text == ";" and waiting is not None:
             waiting = None
+        elif i in quiet:
+            pass
         elif _word(t) and (found := _definition(tokens, i, language, functions > 0)):
-            kind, name, i = found
-            end = tokens[min(i, len(tokens)) - 1]
-            waiting = out.add(kind, name, (t.line, t.col), (end.line, end.col + len(end.text)), parent)
+            kind, name, after = found
+            first = tokens[begin] if declarations is not None and kind == "Function" else t
+            waiting = out.add(kind, name, (first.line, first.col), end_of(min(after, len(tokens)) - 1), parent)
+            for k, a, b in declarations.parameters(i + 1) if declarations is not None and kind == "Function" else ():
+                out.add("Parameter", "" if k is None else tokens[k].text, (tokens[a].line, tokens[a].col), end_of(b), waiting)
+            i = after
             continue
-        elif _word(t) and t.text not in CONTROL and i + 1 < len(tokens) and waiting is None:
+        elif _word(t) and t.text not in control and i + 1 < len(tokens) and waiting is None:
             macro = language == "rust" and tokens[i + 1].text == "!" and i + 2 < len(tokens) and tokens[i + 2].text in "([{"
             if tokens[i + 1].text == "(" or macro:
                 close = _close(tokens, i + 2, {"(": "()", "[": "[]", "{": "{}"}[tokens[i + 2].text]) if macro else _close(tokens, i + 1)
@@ -238,10 +452,15 @@ def parse_ruby(source: str, sibling_chaining: bool = False) -> list[Fact]:
     return [tuple(r) for r in out.rows]
 
 
+def parse_clang(source: str) -> list[Fact]:
+    """C++ facts as a compiler front end gives them: symbols for functions and classes, functions at their bodies."""
+    return list(with_symbols(iter(parse_braced(source, "cpp", body_extent=True))))
+
+
 Parser = Callable[[str], list[Fact]]
 _registry: dict[str, Parser] = {
     "Python": parse_python,
-    "Cpp": lambda s: parse_braced(s, "cpp"),
+    "Cpp": lambda s: parse_clang(s),
     "CppTreeSitter": lambda s: parse_braced(s, "cpp"),
     "Go": lambda s: parse_braced(s, "go"),
     "Rust": lambda s: parse_braced(s, "rust"),

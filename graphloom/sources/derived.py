@@ -38,7 +38,7 @@ def derived_facts(spark: SparkSession, sf_dir: str, flag: str = "R") -> DataFram
 #: A file for each brand in several languages: how a class, a function and a call are written.
 TEMPLATES = {
     "Python": ("class {c}:\n    x = 1\n{body}", "    def {f}(self):\n        pass\n{calls}", "        {t}()\n"),
-    "CppTreeSitter": ("namespace demo {{\nclass {c} {{ public:\n{body}\n}};\n}}\n", "  int {f}(int a) {{\n{calls}    return 0;\n  }}\n", "    {t}(1);\n"),
+    "CppTreeSitter": ("namespace demo {{\nclass {c} {{ public:\n{body}\n}};\n}}\n", "  int {f}(int a, const std::vector<int> &v = {{}}) {{\n    int n = 0, *p = &n;\n{calls}    return n;\n  }}\n", "    {t}(1);\n"),
     "Go": ("package demo\n\ntype {c} struct {{\n  a int\n}}\n{body}", "func {f}(a int) int {{\n{calls}  return 0\n}}\n", "  {t}(1)\n"),
     "Rust": ("struct {c} {{\n  a: i32,\n}}\n{body}", "fn {f}(a: i32) -> i32 {{\n{calls}  0\n}}\n", "  {t}(1);\n"),
     "Ruby": ("class {c}\n{body}end\n", "  def {f}\n{calls}  end\n", "    {t}(1)\n"),

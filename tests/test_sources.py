@@ -1,4 +1,5 @@
 import json
+import time
 import zipfile
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom import cli
 from graphloom.engine import Engine
 from graphloom.functions import languages as L
-from graphloom.functions.parsers import parse_braced, parse_python, parse_ruby, parsed, register_parser, registered, with_symbols
+from graphloom.functions.parsers import parse_braced, parse_clang, parse_python, parse_ruby, parsed, register_parser, registered, with_symbols
 from graphloom.operators.heuristic import heuristic_facts
 from graphloom.operators.parse import parse_files, register_udtf
 from graphloom.schemas import FILES, UnsupportedLanguage, conform
@@ -43,8 +44,9 @@ def test_braced_languages():
     assert short(rust) == [("Class", "MyStruct"), ("Class", "MyStruct"), ("Function", "bar"), ("CallSite", "foo"), ("CallSite", "println"), ("Function", "foo")]
     assert [f[8] for f in rust] == [None, None, 1, 2, 2, None]
     cpp = parse_braced("#include <x>\nint foo(int a) { return bar(a); } // baz()\nclass MyClass { void m(); };\ntemplate <typename T> class Container { T t; };", "cpp")
-    assert short(cpp) == [("Function", "foo"), ("CallSite", "bar"), ("Class", "MyClass"), ("Function", "m"), ("Class", "Container")]
-    assert [f[3] for f in with_symbols(iter(cpp))][:3] == ["c:@F@foo#", None, "c:@S@MyClass"]
+    assert short(cpp) == [("Function", "foo"), ("Parameter", "a"), ("CallSite", "bar"), ("Class", "MyClass"), ("Function", "m"), ("Class", "Container")]
+    assert short(parse_braced("void foo() {}", "cpp")) == [("Function", "foo")]
+    assert [f[3] for f in with_symbols(iter(cpp))][:4] == ["c:@F@foo#", None, None, "c:@S@MyClass"]
     assert parse_braced("", "go") == [] and short(parse_braced("func f() {", "go")) == [("Function", "f")]
 
 
@@ -111,6 +113,47 @@ def test_engine_on_a_tree(spark, tmp_path):
     assert everything.count() == 4
 
 
+def declared(source):
+    facts = parse_braced(source, "cpp")
+    return [(f[1][0], f[2], facts[f[8]][2] if f[8] is not None else None) for f in facts if f[1] in ("Variable", "Parameter")]
+
+
+def test_cpp_declarators():
+    assert declared("int x = g(a), *p, **q = &p, arr[3] = {1, 2}, (*fp)(int) = f, (&r)[3] = arr;") == [("V", n, None) for n in ("x", "p", "q", "arr", "fp", "r")]
+    assert declared("static const std::map<int, std::vector<T>> m{}; unsigned long long big; struct stat st; enum Color c = RED; A::B<C>::D e;") == [("V", n, None) for n in ("m", "big", "st", "c", "e")]
+    assert declared("auto [a, b] = f(); auto &[c] = g();") == [("V", "a", None), ("V", "b", None), ("V", "c", None)]
+    # parameters: defaults, function pointers, arrays, packs, unnamed ones, void
+    parameters = "int f(int a, const std::map<int, int> &m = {}, void (*cb)(int, char), char *argv[], Args &&...rest, int, unsigned long, ...) {}"
+    assert declared(parameters) == [("P", n, "f") for n in ("a", "m", "cb", "argv", "rest", "", "")]
+    assert declared("int f(void) {} int g() { T y(5, h(1)); }") == [("V", "y", "g")]
+    # members are no variables, parameters of methods are parameters
+    assert declared("class A { int m; static int c; void go(int z); }; A a;") == [("P", "z", "go"), ("V", "a", None)]
+    loops = "void f() { for (int i = 0, j; i < n; ++i) {} for (auto &e : v) {} if (T *t = get()) {} while (int k = next()) {} if (a * b) {} switch (x) { case 1: int y = 2; default: int z; } }"
+    assert declared(loops) == [("V", n, "f") for n in ("i", "j", "e", "t", "k", "y", "z")]
+    # statements that declare nothing
+    assert declared("void f() { a = b; a < b; foo(bar); x.y(z); std::cout << x; return q; delete p; goto l; l: i++; a->b(c); using T = int; typedef int I; foo(*x); }") == []
+    # what is called in an initialiser is called by the function
+    facts = parse_braced("void f() { int x = g(h); auto l = [&](int a) { int z = 1; return q(z); }; T y(k(1)); }", "cpp")
+    assert [(f[1][0], f[2], f[8]) for f in facts] == [("F", "f", None), ("V", "x", 0), ("C", "g", 0), ("V", "l", 0), ("V", "z", 0), ("C", "q", 0), ("V", "y", 0), ("C", "k", 0)]
+    # macros are not read, literals end declarations, raw places
+    facts = parse_braced("#define M(x) \\\n  g(x)\nconst char *s = \"a;b\",\n  c = ';';", "cpp")
+    assert [(f[2], f[4:8]) for f in facts] == [("s", (3, 0, 3, 21)), ("c", (3, 0, 4, 9))]
+
+
+def test_cpp_front_end_places():
+    facts = parse_clang("int f(int a)\n{\n  return 0;\n}\nint g();\nclass C {};")
+    assert [(f[1], f[2], f[3], f[4:8]) for f in facts] == [
+        ("Function", "f", "c:@F@f#", (2, 0, 4, 1)), ("Parameter", "a", None, (1, 6, 1, 11)), ("Function", "g", "c:@F@g#", (5, 0, 5, 7)), ("Class", "C", "c:@S@C", (6, 0, 6, 10)),
+    ]
+
+
+@pytest.mark.parametrize("piece", ["(", "a < ", "f(a<", "int x = [&]{", "a<b,", "int a = b<c, ", "int (*", "T<U> "])
+def test_cpp_takes_time_in_proportion(piece):
+    began = time.perf_counter()
+    parse_braced("int y = " + piece * 20_000, "cpp")
+    assert time.perf_counter() - began < 10
+
+
 def test_walk_depth_and_cpp(spark, tmp_path):
     write(tmp_path, {"a.cpp": "int f() { return 0; }", "d/b.H": "int g();", "d/e/c.cc": "", "x.txt": "x"})
     assert sorted(r.path for r in S.read_cpp_directory(spark, str(tmp_path)).collect()) == ["a.cpp", "d/b.H", "d/e/c.cc"]
