@@ -27,8 +27,8 @@ from graphloom.plans.ship import ship
 
 #: Bytes of the longest context, at most 6: a run of bytes and a flag must fit a long.
 ORDER = 5
-#: Bytes of text of a chunk.
-CHUNK = 16 << 20
+#: Bytes of text of a chunk, and of a part whose runs are sorted at once.
+CHUNK, _PART = 12 << 20, 3 << 20
 _SPACE, _END = 32, 10
 _SYMBOLS = 256
 
@@ -117,9 +117,9 @@ def _gather(order: int, chunk: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of three kinds for each chunk: its coded texts part by part, its distinct runs, its distinct words, with their counts in texts to learn from."""
         for number, table in T.runs(batches, 2, chunk):
-            runs, parts, ends = [], [], [np.zeros(1, np.int64)]
+            runs, words = [], []
             here = lambda size: pa.array(np.full(size, number))  # noqa: E731, B023
-            for i, j in T.chunks(T.buffers(table["t"])[1]):
+            for i, j in T.chunks(T.buffers(table["t"])[1], _PART):
                 part = table.slice(i, j - i)
                 learn = part["learn"].to_numpy()
                 coded, at = coded_bytes(part["t"])
@@ -128,38 +128,37 @@ def _gather(order: int, chunk: int, schema: pa.Schema):
                 yield batch(1, chunk=here(1), keys=one(keys), learn=one(flags), sizes=one(pa.array(np.diff(at))), coded=pa.array([pa.compress(coded, "zstd", asbytes=True)], pa.large_binary()))
                 own = np.sort(byte_runs(coded, at, order) << np.uint64(1) | np.repeat(learn, np.diff(at)).astype(np.uint64))
                 first, sizes = _distinct(own)
-                runs.append((own[first] >> np.uint64(1), sizes * (own[first] & np.uint64(1)).astype(np.int64)))
-                parts.append(coded)
-                ends.append(at[1:] + ends[-1][-1])
+                runs.append((own[first] >> np.uint64(1), (sizes * (own[first] & np.uint64(1)).astype(np.int64)).astype(np.int32)))
+                found, sizes = words_of(coded, at)
+                words.append((found.dictionary_encode(), sizes))
             own, counts = map(np.concatenate, zip(*runs))
             by = np.argsort(own, kind="stable")
-            own, counts = own[by].astype(np.int64), counts[by]
+            own, counts = own[by], counts[by]
             first, _ = _distinct(own)
-            own, counts = own[first], np.add.reduceat(counts, first)
+            own, counts = own[first].astype(np.int64), np.add.reduceat(counts, first).astype(np.int64)
             del runs, by
             for a in range(0, len(own), 1 << 16):
                 part = slice(a, a + (1 << 16))
                 yield batch(len(own[part]), chunk=here(len(own[part])), run=pa.array(own[part]), n=pa.array(counts[part]))
-            words, _, seen = _counted_words(parts, ends, table["learn"].to_numpy())
-            rows = pa.table({"word": _names(words), "n": seen})
-            del words, parts
+            names, _, _, seen = _counted_words(words, table["learn"].to_numpy())
+            rows = pa.table({"word": names, "n": seen})
+            del words, own, counts
             for part in rows.to_batches(1 << 16):
                 yield batch(len(part), chunk=here(len(part)), word=part["word"], n=part["n"])
 
     return run
 
 
-def _counted_words(parts: list[np.ndarray], ends: list[np.ndarray], learn: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
-    """The words of coded texts, the text of each, and how often each distinct one and, last, the end come in texts to learn from."""
-    words, sizes = words_of(np.concatenate(parts), np.concatenate(ends))
-    words, of = words.dictionary_encode(), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    seen = np.bincount(words.indices.to_numpy(), weights=learn[of], minlength=len(words.dictionary))
-    return words, of, np.append(seen, learn.sum()).astype(np.int64)
-
-
-def _names(words: pa.DictionaryArray) -> pa.Array:
-    """The distinct words and the end."""
-    return pa.concat_arrays([words.dictionary, pa.array([bytes([_END])], pa.large_binary())])
+def _counted_words(parts: list[tuple[pa.DictionaryArray, np.ndarray]], learn: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of parts of a chunk: the distinct ones and, last, the end; the number of each word; the text of each; and how
+    often each distinct one comes in texts to learn from."""
+    every = pa.chunked_array([words for words, _ in parts]).unify_dictionaries()
+    names = pa.concat_arrays([every.chunk(0).dictionary, pa.array([bytes([_END])], pa.large_binary())])
+    index = np.concatenate([c.indices.to_numpy() for c in every.chunks])
+    of = np.repeat(np.arange(len(learn), dtype=np.int32), np.concatenate([sizes for _, sizes in parts]))
+    seen = np.bincount(index[learn[of]], minlength=len(names))
+    seen[-1] = learn.sum()
+    return names, index, of, seen
 
 
 def _distinct(rising: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,18 +208,18 @@ def _score(order: int, tokens: int, distinct: int):
         is_run = given["run"].is_valid()
         runs, others = given.filter(is_run), given.filter(pc.invert(is_run))
         lookup = Lookup(runs["run"].to_numpy().astype(np.uint64), runs["value"].to_numpy())
-        score, parts, ends = [], [], [np.zeros(1, np.int64)]
+        score, parts = [], []
         for sizes, coded in zip(texts["sizes"], texts["coded"]):
             at = np.concatenate([[0], np.cumsum(sizes.values.to_numpy(), dtype=np.int64)])
             coded = np.frombuffer(pa.decompress(coded.as_buffer(), int(at[-1]), "zstd"), np.uint8)
-            score.append(np.add.reduceat(lookup.find(byte_runs(coded, at, order)), at[:-1]))
-            parts.append(coded)
-            ends.append(at[1:] + ends[-1][-1])
+            score += [np.add.reduceat(lookup.find(byte_runs(coded[at[i] : at[j]], at[i : j + 1] - at[i], order)), at[i:j] - at[i]) for i, j in T.chunks(at)]
+            found, sizes = words_of(coded, at)
+            parts.append((found.dictionary_encode(), sizes))
         learn = pc.list_flatten(texts["learn"]).to_numpy()
-        words, of, count = _counted_words(parts, ends, learn)
-        place = pc.index_in(_names(words), value_set=others["word"].combine_chunks().cast(pa.large_binary())).fill_null(-1).to_numpy()
+        names, index, of, count = _counted_words(parts, learn)
+        place = pc.index_in(names, value_set=others["word"].combine_chunks().cast(pa.large_binary())).fill_null(-1).to_numpy()
         count[place >= 0] = others["value"].to_numpy()[place[place >= 0]]
-        value, index, n = np.log10((count + 0.1) / (tokens + 0.1 * (distinct + 1))), words.indices.to_numpy(), len(learn)
+        value, n = np.log10((count + 0.1) / (tokens + 0.1 * (distinct + 1))), len(learn)
         base_score = np.bincount(of, weights=value[index], minlength=n) + value[-1]
         known = np.bincount(of, weights=(count > 0)[index], minlength=n).astype(np.int64) + (count[-1] > 0)
         return pa.table({"key": pc.list_flatten(texts["keys"]), "held_out": pc.invert(pc.list_flatten(texts["learn"])), "n_tokens": np.bincount(of, minlength=n) + 1, "n_known": known, "base_score": base_score, "score": np.concatenate(score)})
