@@ -32,7 +32,7 @@ from graphloom.plans.ship import ship
 FOLDER = "/opt/tokenizers"
 A, B = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
 #: Bytes of text of a chunk, and of those whose groups are written out at once; segments that are encoded at once.
-CHUNK, _PART, _SEGMENTS = 8 << 20, 1 << 20, 1 << 15
+CHUNK, _PART, _SEGMENTS = 4 << 20, 1 << 20, 1 << 13
 _MARK = "▁"
 
 
