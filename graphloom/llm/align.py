@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import text as T
+from graphloom.llm.bounded import small_batches
 from graphloom.llm.tokenpack import WORDS
 from graphloom.plans.scratch import Scratch
 from graphloom.plans.ship import ship
@@ -288,7 +289,8 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", a: str = A,
     kind = base.schema["key"].dataType.simpleString()
     empty = spark.createDataFrame([], _GATHERED.format(key=kind))
     gather = _gather((a, b), spark.sparkContext.broadcast(contents), chunk, groups, empty.toArrow().schema)
-    gathered = scratch.save(base.mapInArrow(gather, empty.schema), "gathered")
+    with small_batches(spark):
+        gathered = scratch.save(base.mapInArrow(gather, empty.schema), "gathered")
     found = gathered.where("pair IS NOT NULL").select("chunk", "pair", "n")
     counts = scratch.save(found.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("b_id", F.col("pair").bitwiseAND(F.lit(2**32 - 1))), "counts")
     most = counts.groupBy("b_id").agg(F.max("count").alias("most"))

@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.llm import text as T
+from graphloom.llm.bounded import small_batches
 from graphloom.plans.scratch import Scratch
 from graphloom.plans.ship import ship
 
 #: Bytes of the longest context, at most 6: a run of bytes and a flag must fit a long.
 ORDER = 5
 #: Bytes of text of a chunk, and of a part whose runs are sorted at once.
-CHUNK, _PART = 12 << 20, 3 << 20
+CHUNK, _PART = 12 << 20, 2 << 20
 _SPACE, _END = 32, 10
 _SYMBOLS = 256
 
@@ -37,12 +38,12 @@ def coded_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     """What is coded of texts that end in a line end, and where each begins: words, a space after each, an end instead of the last."""
     data, at = T.buffers(column)
     low = T.LOWER[data[int(at[0]) : int(at[-1])]]
-    at = at - at[0]
+    at, n_texts = at - at[0], len(at) - 1
     inside = T.NOT_SPACE[low]
     keep = inside.copy()
     keep[1:] |= inside[:-1]
     low[~inside] = _SPACE
-    sizes = np.diff(np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[at])
+    sizes = np.add.reduceat(keep, at[:-1], dtype=np.int64) if n_texts else np.zeros(0, np.int64)
     keep[at[1:][sizes == 0] - 1] = True
     out, to = low[keep], np.concatenate([[0], np.cumsum(np.maximum(sizes, 1))]).astype(np.int64)
     out[to[1:] - 1] = _END
@@ -67,7 +68,8 @@ def byte_runs(coded: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
     lowest. Ends stand before the first byte of a text."""
     n = len(coded)
     padded = np.concatenate([np.full(8, _END, np.uint8), coded])
-    run = np.ndarray((n,), "<u8", padded, 1, (1,)) >> np.uint64(8 * (7 - order))
+    run = np.ndarray((n,), "<u8", padded, 1, (1,)).copy()
+    run >>= np.uint64(8 * (7 - order))
     for p in range(order):
         rows = at[:-1][np.diff(at) > p] + p
         low = (1 << 8 * (order - p)) - 1
@@ -126,17 +128,21 @@ def _gather(order: int, chunk: int, schema: pa.Schema):
                 one = lambda values: pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), values)  # noqa: E731, B023
                 keys, flags = (part[c].combine_chunks() for c in ("key", "learn"))
                 yield batch(1, chunk=here(1), keys=one(keys), learn=one(flags), sizes=one(pa.array(np.diff(at))), coded=pa.array([pa.compress(coded, "zstd", asbytes=True)], pa.large_binary()))
-                own = np.sort(byte_runs(coded, at, order) << np.uint64(1) | np.repeat(learn, np.diff(at)).astype(np.uint64))
+                own = byte_runs(coded, at, order)
+                own <<= np.uint64(1)
+                own |= np.repeat(learn, np.diff(at)).view(np.uint8)
+                own.sort()
                 first, sizes = _distinct(own)
                 runs.append((own[first] >> np.uint64(1), (sizes * (own[first] & np.uint64(1)).astype(np.int64)).astype(np.int32)))
                 found, sizes = words_of(coded, at)
                 words.append((found.dictionary_encode(), sizes))
             own, counts = map(np.concatenate, zip(*runs))
-            by = np.argsort(own, kind="stable")
+            runs.clear()
+            by = np.argsort(own)
             own, counts = own[by], counts[by]
             first, _ = _distinct(own)
             own, counts = own[first].astype(np.int64), np.add.reduceat(counts, first).astype(np.int64)
-            del runs, by
+            del by
             for a in range(0, len(own), 1 << 16):
                 part = slice(a, a + (1 << 16))
                 yield batch(len(own[part]), chunk=here(len(own[part])), run=pa.array(own[part]), n=pa.array(counts[part]))
@@ -290,7 +296,8 @@ def lm_scores(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "
     base = _base(docs, key, text, learn)
     kind = base.schema["key"].dataType.simpleString()
     empty = docs.sparkSession.createDataFrame([], _GATHERED.format(key=kind))
-    gathered = scratch.save(base.mapInArrow(_gather(order, chunk, empty.toArrow().schema), empty.schema), "gathered", "zstd")
+    with small_batches(docs.sparkSession):
+        gathered = scratch.save(base.mapInArrow(_gather(order, chunk, empty.toArrow().schema), empty.schema), "gathered", "zstd")
     runs, words = (gathered.where(F.col(c).isNotNull()).select("chunk", c, "n") for c in ("run", "word"))
     counts = scratch.save(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
