@@ -29,7 +29,7 @@ from graphloom.plans.ship import ship
 #: Bytes of the longest context, at most 6: a run of bytes and a flag must fit a long.
 ORDER = 5
 #: Bytes of text of a chunk, and of a part whose runs are sorted at once.
-CHUNK, _PART = 12 << 20, 2 << 20
+CHUNK, _PART = 24 << 20, 2 << 20
 _SPACE, _END = 32, 10
 _SYMBOLS = 256
 
