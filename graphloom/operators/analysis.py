@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.graph import SYMBOLS
 from graphloom.plans.components import connected_components
-from graphloom.plans.fixpoint import SMALL_CORE, reach, strong_components
+from graphloom.plans.fixpoint import reach
+from graphloom.plans.forest import sizes_below
 from graphloom.plans.scratch import Scratch
+from graphloom.plans.strong import strong_components
 
 NODE_CAP = 100_000
 
@@ -20,12 +22,12 @@ def _among_symbols(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return calls.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
 
 
-def call_cycles(nodes: DataFrame, edges: DataFrame, members: bool = False, small: int = SMALL_CORE) -> DataFrame:
+def call_cycles(nodes: DataFrame, edges: DataFrame, members: bool = False) -> DataFrame:
     """(component, functions, length): every group of functions and classes that call each other, and self-callers.
 
     functions is the sorted list of names, ? for a missing one. members: (node_id, component) instead.
     """
-    label = strong_components(_among_symbols(nodes, edges), small)
+    label = strong_components(_among_symbols(nodes, edges))
     if members:
         return label.withColumnRenamed("node", "node_id")
     named = label.join(nodes.select(F.col("node_id").alias("node"), F.coalesce("name", F.lit("?")).alias("name")), "node")
@@ -35,12 +37,12 @@ def call_cycles(nodes: DataFrame, edges: DataFrame, members: bool = False, small
 def complexity(nodes: DataFrame, edges: DataFrame, cap: int = NODE_CAP, min_nodes: int = 0) -> DataFrame:
     """(node_id, function_name, ast_node_count, start_line, truncated) of every function: distinct nodes below it and itself.
 
-    Counts stop at cap. Functions of fewer than min_nodes nodes are left out.
+    Sizes of a forest are sums; only functions above nodes with several parents walk to what they share. Counts stop at cap. Functions of fewer than min_nodes nodes are left out.
     """
     functions = nodes.where("kind = 'Function'")
-    nested = edges.where("kind = 'AstChild' AND src <> dst").select("src", "dst").distinct()
-    below = reach(functions.select(F.col("node_id").alias("root"), F.col("node_id").alias("node")), nested, by=["root"])
-    sizes = below.groupBy(F.col("root").alias("node_id")).agg(F.count("*").alias("n"))
+    nested = edges.where("kind = 'AstChild'").select("src", "dst")
+    ids = lambda table: table.select(F.col("node_id").alias("node"))
+    sizes = sizes_below(ids(nodes), nested, ids(functions), lambda seeds, links: reach(seeds, links, by=["root"])).withColumnRenamed("node", "node_id")
     rows = functions.join(sizes, "node_id").select(
         "node_id", F.col("name").alias("function_name"), F.least("n", F.lit(cap).cast("long")).alias("ast_node_count"), "start_line", (F.col("n") >= cap).alias("truncated")
     )

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.analysis import dead_code, call_cycles
 from graphloom.operators.graph import SYMBOLS, enclosing
-from graphloom.plans.fixpoint import reach, sized
+from graphloom.plans.fixpoint import sized
+from graphloom.plans.forest import below
 from graphloom.plans.scratch import Scratch
 from graphloom.schemas import GraphError, NotFound
 
@@ -43,8 +44,8 @@ def first_named(nodes: DataFrame, name: str, kinds: list[str] | None = None) ->
 
 def subtree_calls(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node): the distinct call sites below the roots (node) along AstChild edges."""
-    below = reach(roots.select("node"), edges.where("kind = 'AstChild'"))
-    return below.join(nodes.where("kind = 'CallSite'").select(F.col("node_id").alias("node")), "node", "left_semi").select("node").distinct()
+    found = below(nodes.select(F.col("node_id").alias("node")), edges.where("kind = 'AstChild'"), roots)
+    return found.join(nodes.where("kind = 'CallSite'").select(F.col("node_id").alias("node")), "node", "left_semi").select("node").distinct()
 
 
 def callees(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Loops over edge tables: reachability, closure, strongly connected components, nearest ancestors.
+"""Loops over edge tables: reachability and nearest ancestors.
 
 Every loop keeps its state in tables below spark.checkpoint.dir, expands several hops in one job, remembers what it has
 visited and so ends on any graph. Only row counts come back to the driver.
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from graphloom.plans.scratch import Scratch
 
 HOPS = 4
-#: Vertices up to which the closure of a trimmed core is computed whole, by path doubling; larger cores are coloured.
-SMALL_CORE = 3000
 _BROADCAST = 200_000
 
 
@@ -53,79 +51,6 @@ def reach(seeds: DataFrame, edges: DataFrame, by: list[str] | None = None, depth
     return visited
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) for every path of one edge or more, by path doubling. Its size is that of the result."""
-    scratch = Scratch(edges.sparkSession)
-    paths = scratch.save(edges.select("src", "dst").distinct(), "paths")
-    count = paths.count()
-    while True:
-        joined = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        paths = scratch.save(paths.union(joined).distinct(), "paths")
-        after = paths.count()
-        if after == count:
-            return paths
-        count = after
-
-
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Edges whose source has an incoming and whose target an outgoing edge; others lie on no cycle."""
-    return edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
-        edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"
-    )
-
-
-def _least_label(vertices: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, label): the smallest vertex from which a node is reachable along edges (src, dst), itself included."""
-    labels = scratch.save(vertices.select("node", F.col("node").alias("label")), "labels")
-    while True:
-        now = labels
-        for _ in range(2):
-            sent = edges.join(now, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "label")
-            now = now.union(sent).groupBy("node").agg(F.min("label").alias("label"))
-        after = scratch.save(now, "labels")
-        changed = not after.join(labels, ["node", "label"], "left_anti").isEmpty()
-        labels = after
-        if not changed:
-            return labels
-
-
-def strong_components(edges: DataFrame, small: int = SMALL_CORE) -> DataFrame:
-    """(node, component) of the vertices on cycles of edges (src, dst); component is the smallest vertex.
-
-    A vertex alone is on a cycle only if it has a self-loop. Vertices without an incoming or outgoing edge are peeled
-    off until the core is small or nothing changes. A small core's closure is computed; in a larger one, vertices whose
-    smallest ancestor is their smallest descendant too form a component, which is taken out.
-    """
-    scratch = Scratch(edges.sparkSession)
-    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
-    core = scratch.save(edges.where("src <> dst").select("src", "dst").distinct(), "core")
-    size = core.count()
-    while size > small:
-        after = scratch.save(_trimmed(_trimmed(core)), "core")
-        n = after.count()
-        core, size, last = after, n, size
-        if n == last:
-            break
-    found = []
-    while size > small:
-        vertices = scratch.save(core.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "vertices")
-        down = _least_label(vertices, core, scratch)
-        up = _least_label(vertices, core.select(F.col("dst").alias("src"), F.col("src").alias("dst")), scratch)
-        same = scratch.save(down.join(up, ["node", "label"]).select("node", F.col("label").alias("component")), "component")
-        found.append(same)
-        left = core.join(down.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(down.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
-        left = left.select("src", "dst").join(same.select(F.col("node").alias("src")), "src", "left_anti").join(same.select(F.col("node").alias("dst")), "dst", "left_anti")
-        core = scratch.save(_trimmed(left), "core")
-        size = core.count()
-    if size:
-        paths = closure(core)
-        mutual = paths.join(paths.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-        found.append(mutual.groupBy("src").agg(F.min("dst").alias("least")).select(F.col("src").alias("node"), F.least("src", "least").alias("component")))
-    found.append(loops.select("node", F.col("node").alias("component")))
-    every = reduce(DataFrame.unionByName, found)
-    return every.groupBy("node").agg(F.min("component").alias("component"))
-
-
 def nearest(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     """(node, target) by pointer jumping: the first target on the way node, parent, parent's parent and so on.
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from graphloom.functions.names import clean_nodes, entry_list, plausible_identifier, readable_name
 from graphloom.operators import analysis, diff, graph, metrics, queries, subgraph, tables, trees
 from graphloom.plans.components import connected_components
-from graphloom.plans.fixpoint import closure, nearest, reach, strong_components
+from graphloom.plans.fixpoint import nearest, reach
+from graphloom.plans.forest import below, sizes_below
+from graphloom.plans.strong import strong_components
 from graphloom.schemas import FACTS, GraphError, NotFound, check_kinds
 from tests import graphs
 
@@ -99,10 +101,9 @@ def test_random_graphs_agree_with_search(spark):
             return seen
 
         down = {v: below(v) for v in range(n)}
-        assert {(r.src, r.dst) for r in closure(table).collect()} == {(v, x) for v in range(n) for x in down[v]}
         expected = {v: min(x for x in down[v] | {v} if x == v or v in down[x]) for v in range(n) if v in down[v]}
-        for small in (3000, 0):
-            assert {r.node: r.component for r in strong_components(table, small).collect()} == expected
+        for steps in (16, 0):  # without steps the graph is shortened until nothing is left
+            assert {r.node: r.component for r in strong_components(table, steps).collect()} == expected
         seeds = spark.createDataFrame([(0,), (1,)], "node long")
         found = reach(seeds, table)
         assert {r.node for r in found.collect()} == {0, 1} | down[0] | down[1]
@@ -116,6 +117,72 @@ def test_random_graphs_agree_with_search(spark):
         assert {r.node: r.component for r in connected_components(table).collect()} == {v: label[v] for e in edges for v in e}
 
 
+def many_graphs(rng):
+    """Edges of graphs side by side: random ones of all densities, rings with tails in and out, paths both ways, ladders."""
+    edges, at = [], 0
+    for n, m in ((3, 3), (5, 6), (8, 9), (12, 14), (12, 30), (20, 26), (30, 35)):
+        edges += [(at + rng.randrange(n), at + rng.randrange(n)) for _ in range(m)]
+        at += n
+    for n in (2, 20):
+        edges += [(at + i, at + (i + 1) % n) for i in range(n)]
+        edges += [(at, at + n)] + [(at + n + i, at + n + i + 1) for i in range(n)] + [(at + 2 * n + 1 + i, at + 2 * n + 2 + i) for i in range(n)] + [(at + 3 * n + 1, at + 1)]
+        at += 3 * n + 2
+    edges += [(at + i, at + i + 1) for i in range(20)] + [(at + i + 1, at + i) for i in range(20)]
+    at += 40
+    edges += [(at + i, at + i + d) for i in range(18) for d in (1, 2)] + [(at + 19, at + 3)]
+    at += 50
+    edges += [(at, at), (at + 1, at + 2), (None, at), (at, None)]
+    return edges
+
+
+def reachable(edges):
+    to = {}
+    for a, b in edges:
+        if a is not None and b is not None:
+            to.setdefault(a, set()).add(b)
+            to.setdefault(b, set())
+    down = {}
+    for v in to:
+        seen, todo = set(), list(to[v])
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += to[x]
+        down[v] = seen
+    return down
+
+
+@pytest.mark.parametrize("steps", [16, 0])
+def test_strong_components_of_many_graphs(spark, steps):
+    edges = many_graphs(random.Random(steps))
+    down = reachable(edges)
+    expected = {v: min([v, *(x for x in down[v] if v in down[x])]) for v in down if v in down[v]}
+    found = strong_components(spark.createDataFrame(edges, "src long, dst long"), steps).collect()
+    assert len(found) == len(expected) and {r.node: r.component for r in found} == expected
+
+
+def test_sizes_and_nodes_below(spark):
+    rng = random.Random(4)
+    trees = [(v, rng.randrange(max(0, v - 9), v)) for v in range(1, 60)]  # (node, parent)
+    chain = [(i + 1001, i + 1000) for i in range(60)]
+    plain = [(p, v) for v, p in trees + chain]
+    shared = [(rng.randrange(60), rng.randrange(1, 60)) for _ in range(6)] + [(1030, 1010), (1055, 50), (55, 1040)]
+    rings = [(2000, 2001), (2001, 2002), (2002, 2000), (2001, 2003), (2003, 2004), (3000, 3001), (3001, 3000), (2500, 2500)]
+    for edges in (plain, plain + shared + rings + plain[:5]):
+        table = spark.createDataFrame(edges, "src long, dst long")
+        down = reachable(edges)
+        nodes = spark.createDataFrame([(v,) for v in [*down, 5000]], "node long")
+        down[5000] = set()
+        roots = [v for v in down if v % 7 == 0 or v >= 1990]
+        walk = lambda seeds, links: reach(seeds, links, by=["root"])
+        got = sizes_below(nodes, table, spark.createDataFrame([(v,) for v in roots], "node long"), walk).collect()
+        assert len(got) == len(roots) and {r.node: r.n for r in got} == {v: len(down[v] | {v}) for v in roots}
+        for chosen in ([40, 2003, 1050],):
+            want = set().union(*(down.get(v, set()) | {v} for v in chosen))
+            assert {r.node for r in below(nodes, table, spark.createDataFrame([(v,) for v in chosen], "node long")).collect()} == want
+
+
 def test_long_path_ends(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(130)] + [(130, 0)], "src long, dst long")
     assert reach(spark.createDataFrame([(0,)], "node long"), path, hops=16).count() == 131
