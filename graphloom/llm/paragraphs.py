@@ -14,6 +14,7 @@ equal ones are linked.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import replace
 
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from graphloom.llm import text as T
 from graphloom.llm.bounded import counted
@@ -128,15 +129,15 @@ def bitmaps(value: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def _profiles(base: DataFrame, size: int, least: int, bands: int, percent: int) -> DataFrame:
-    """(key, th, s, e, h, bk) of base (key, th, t): bytes [s, e), digest and band keys of every paragraph and passage.
+    """(key, th, s, e, h, bk, passage) of base (key, th, t): bytes [s, e), digest and band keys of every paragraph and passage.
 
     Passages have no band keys, nor have sets so small that one element more or less takes their similarity below percent.
     """
-    names, lists = ["key", "th", "s", "e", "h", "bk"], pa.list_(pa.int64())
+    names, lists = ["key", "th", "s", "e", "h", "bk", "passage"], pa.list_(pa.int64())
 
-    def rows(batch: pa.RecordBatch, doc, s, e, h, bk: pa.Array) -> pa.RecordBatch:
-        doc = pa.array(doc)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(h), bk], names=names)
+    def rows(batch: pa.RecordBatch, doc, s, e, h, bk: pa.Array, passage: bool = False) -> pa.RecordBatch:
+        doc, flag = pa.array(doc), pa.array(np.full(len(doc), passage))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(h), bk, flag], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,9 +151,9 @@ def _profiles(base: DataFrame, size: int, least: int, bands: int, percent: int)
                     elif len(which):
                         yield rows(batch, doc[which], s[which], e[which], h[which], pa.nulls(len(which), lists))
             for doc, s, e, h in passages(data, at):
-                yield rows(batch, doc, s, e, h, pa.nulls(len(h), lists))
+                yield rows(batch, doc, s, e, h, pa.nulls(len(h), lists), True)
 
-    return base.mapInArrow(run, f"key {base.schema['key'].dataType.simpleString()}, th bigint, s bigint, e bigint, h bigint, bk array<bigint>")
+    return base.mapInArrow(run, f"key {base.schema['key'].dataType.simpleString()}, th bigint, s bigint, e bigint, h bigint, bk array<bigint>, passage boolean")
 
 
 def _sets(base: DataFrame, size: int, least: int) -> DataFrame:
@@ -194,9 +195,10 @@ def _similar(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def repeated_spans(base: DataFrame, size: int, percent: int, least: int, recall: float, scratch: Scratch) -> DataFrame:
-    """(key, th, spans): for documents (key, th, t) the bytes [s, e) of repeated paragraphs and passages, gone or not.
+    """(key, th, spans): for documents (key, th, t) the repeated paragraphs and passages: bytes [s, e), passage, gone, stays.
 
-    The first occurrence of each group, by key and position, stays, and what overlaps it in its document.
+    The first occurrence of each group, by key and position, stays; what overlaps it in its document is not gone by this
+    group. Passages inside a removed paragraph go with it, so the first one elsewhere is the one that stays.
     """
     every = scratch.save(_profiles(base, size, least, tuned(percent, recall), percent), "paragraphs")
     banded = every.where("bk IS NOT NULL")
@@ -214,13 +216,48 @@ def repeated_spans(base: DataFrame, size: int, percent: int, least: int, recall:
         return verify, sets.drop("value")
 
     label = linked(banded.select("h", F.explode("bk").alias("bk")), prepare, scratch, possible(percent))
-    groups = named(every.select("key", "th", "s", "e", "h"), "h", None if label is None else counted(label), "g").drop("h")
-    many = scratch.save(groups.groupBy("g").count().where("count > 1").select("g"), "many")
+    groups = named(every.select("key", "th", "s", "e", "h", "passage"), "h", None if label is None else counted(label), "g").drop("h")
+    place = F.xxhash64("key", "th", "s", "e")  # rows that are repeated have one place
+    many = scratch.save(groups.groupBy("g").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("g"), "many")
     near = scratch.save(groups.join(counted(many), "g"), "near")
+    lines = _judged(near.where("NOT passage"))
+    inside = _uncovered(lines.unionByName(near.where("passage"), allowMissingColumns=True))
+    inside = scratch.save(inside, "inside")
+    texts = _judged(inside.where("NOT covered")).unionByName(inside.where("covered").withColumns({"gone": F.lit(True), "stays": F.lit(False)}), allowMissingColumns=True)
+    spans = lines.unionByName(texts, allowMissingColumns=True).groupBy("key", "th").agg(F.collect_set(F.struct("s", "e", "passage", "gone", "stays")).alias("spans"))
+    return scratch.save(spans, "spans")
+
+
+def _judged(near: DataFrame) -> DataFrame:
+    """near (key, th, s, e, g, ...) with stays, the first of each g, and gone, what does not overlap the first."""
     first = near.groupBy("g").agg(F.min(F.struct("key", "th", "s", "e")).alias("first"))
-    stays = F.expr("key = first.key AND th = first.th AND s < first.e AND e > first.s")
-    spans = near.join(first, "g").select("key", "th", "s", "e", (~stays).alias("gone"))
-    return scratch.save(spans.groupBy("key", "th").agg(F.collect_set(F.struct("s", "e", "gone")).alias("spans")), "spans")
+    stays = F.expr("key = first.key AND th = first.th AND s = first.s AND e = first.e")
+    gone = F.expr("NOT (key = first.key AND th = first.th AND s < first.e AND e > first.s)")
+    return near.join(first, "g").withColumn("gone", gone).withColumn("stays", stays).drop("first")
+
+
+def _uncovered(spans: DataFrame) -> DataFrame:
+    """The passages of spans (key, th, s, e, g, passage, gone, stays), each once, with covered: within removed paragraphs."""
+    item = F.struct("s", "e", "g", "passage", "gone", "stays")
+    texts = spans.groupBy("key", "th").agg(F.collect_set(item).alias("spans"), F.max("passage").alias("any")).where("any").drop("any")
+    schema = StructType([*spans.select("key", "th", "s", "e", "g", "passage").schema, StructField("covered", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, rows = [], []
+            for i, found in enumerate(batch.column(2).to_pylist()):
+                gone = removed([x for x in found if not x["passage"]])
+                ends = [e for _, e in gone]
+                for x in found:
+                    if x["passage"]:
+                        k = bisect_left(ends, x["e"])
+                        of.append(i)
+                        rows.append((x["s"], x["e"], x["g"], True, k < len(gone) and gone[k][0] <= x["s"]))
+            home = pa.array(of, pa.int64())
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, [pa.int64()] * 3 + [pa.bool_()] * 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(home), batch.column(1).take(home), *columns], names=schema.names)
+
+    return texts.mapInArrow(run, schema)
 
 
 def united(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -234,6 +271,28 @@ def united(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def outside(spans: list[list[int]], kept: list[list[int]]) -> list[list[int]]:
+    """What of sorted ranges without overlaps lies in none of the others, which are so too."""
+    out = []
+    for s, e in spans:
+        for a, b in kept[bisect_right(kept, s, key=lambda x: x[1]) :]:
+            if a >= e:
+                break
+            if a > s:
+                out.append([s, a])
+            s = b
+        if s < e:
+            out.append([s, e])
+    return out
+
+
+def removed(spans: list[dict]) -> list[list[int]]:
+    """The bytes that go: removed paragraphs but for first ones, and removed passages but for first ones of either kind."""
+    ranges = lambda passages_, flag: united([(x["s"], x["e"]) for x in spans if x[flag] and (passages_ is None or x["passage"] == passages_)])
+    whole, some = outside(ranges(False, "gone"), ranges(False, "stays")), outside(ranges(True, "gone"), ranges(None, "stays"))
+    return united([(s, e) for s, e in whole + some])
+
+
 def _cut(hit: DataFrame) -> DataFrame:
     """(row, n_words, n_repeated, n_removed, clean_text) of hit (row, t, spans)."""
     schema = StructType([hit.schema["row"], *(StructField(c, LongType()) for c in ("n_words", "n_repeated", "n_removed")), StructField("clean_text", StringType())])
@@ -246,7 +305,7 @@ def _cut(hit: DataFrame) -> DataFrame:
                 raw = data[at[d] : at[d + 1]]
                 w = T.words(data, at[d : d + 2], T.NOT_SPACE)
                 inside = lambda ranges: sum(int(np.searchsorted(w.start, e) - np.searchsorted(w.start, s)) for s, e in ranges)  # noqa: E731,B023
-                gone = united([(x["s"], x["e"]) for x in found if x["gone"]])
+                gone = removed(found)
                 edges = [0, *(x for pair in gone for x in pair), len(raw)]
                 figures.append((len(w.start), inside(united([(x["s"], x["e"]) for x in found])), inside(gone)))
                 kept.append(b"".join(raw[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2])).decode())
@@ -263,7 +322,9 @@ def paragraph_dedup(
 
     Paragraphs with equal sets are one; others are linked if they share a band and their exact Jaccard similarity is
     percent or more; passages are linked if equal. Of each component the occurrence with the smallest (key, position)
-    stays, the others are removed from their texts. n_repeated counts the words of all occurrences, those that stay
+    stays, the others are removed from their texts. Where a removed paragraph overlaps the first one of another
+    component, the bytes of that one stay. Passages inside removed bytes of paragraphs do not count as first ones: the
+    first elsewhere stays, and where there is none they go with their paragraphs, of which similar ones stay. n_repeated counts the words of all occurrences, those that stay
     included. Lines and blocks (of several lines between blank ones) of fewer than `least` words are no paragraphs.
     Rows of one key and text are one document, so they lose the same. Rows with a null key or text keep their text;
     empty tables give empty results; extra columns stay in `row` under whatever name.

@@ -235,6 +235,54 @@ def test_paragraph_links_against_brute_force(spark):
     assert {i for i in label if label[i] != i} == {i for i in got if got[i].clean_text == ""}
 
 
+def test_first_occurrences_stay_within_near_copies(spark):
+    rng = random.Random(45)
+    lines, extra = [words(rng, 30, 10**6) for _ in range(12)], words(rng, 30, 10**6)
+    rows = [(0, "\n".join(lines)), (1, "\n".join([*lines[:11], extra])), (2, f"{extra}\n\n{words(rng, 30, 10**6)}")]
+    got = {r["row"].doc_id: r for r in paragraphs.paragraph_dedup(table(spark, rows)).collect()}
+    assert got[0].clean_text == rows[0][1] and got[1].clean_text.strip() == extra and got[2].n_removed == 30
+
+
+def test_no_component_loses_its_last_text(spark):
+    rng = random.Random(46)
+    pool, rows = [words(rng, rng.randint(20, 60), 10**6) for _ in range(30)], []
+    for i in range(120):
+        lines = [changed(rng, t, rng.choice([0, 0, 0, 1])) for t in rng.choices(pool, k=rng.randint(1, 9))]
+        if i % 3 and rows:
+            lines = [t for t in rows[rng.randrange(len(rows))][1].split("\n") if rng.random() < 0.9] + lines[:2]
+        rows.append((i, rng.choice(["\n", "\n\n"]).join(lines)))
+    base = spark.createDataFrame(rows, "key long, t string").withColumn("th", F.xxhash64("t"))
+    spans = paragraphs.repeated_spans(base.select("key", "th", "t"), 5, 80, 20, 0.999, Scratch(spark)).collect()
+    clean = {r["row"].doc_id: r.clean_text for r in paragraphs.paragraph_dedup(table(spark, rows)).collect()}
+    stays, gone, left = {}, {}, {i: set(zip(t.split(), t.split()[1:])) for i, t in clean.items()}
+    pairs = {p for x in left.values() for p in x}
+    for r in spans:
+        raw = dict(rows)[r.key]
+        areas = paragraphs.removed([x for x in r.spans if not x.passage])
+        for x in r.spans:
+            own = raw[x.s : x.e].split()
+            (stays if x.stays else gone if x.gone else {}).setdefault(x.passage, []).append(own)
+            if x.stays and not x.passage:  # the first of its component is there in full
+                assert set(zip(own, own[1:])) <= left[r.key], (r.key, x)
+            if x.gone and x.passage and not any(s <= x.s and x.e <= e for s, e in areas):  # so is every passage outside removed paragraphs, somewhere
+                lost = set(zip(own, own[1:])) - pairs
+                assert not lost or any(s < x.e and e > x.s for s, e in areas), (r.key, x)
+    assert len(stays[False]) > 20 and len(gone[False]) > 100 and len(gone[True]) > 100
+    firsts = [shingle_set(" ".join(t)) for t in stays[False]]
+    for own in map(shingle_set, map(" ".join, gone[False])):  # every removed paragraph has a first one that is like it, or like one that is like it
+        assert any(10 * len(own & y) >= 6 * len(own | y) for y in firsts)
+
+
+def test_ranges_outside_others():
+    rng = random.Random(47)
+    for _ in range(300):
+        some = lambda: paragraphs.united([(s, s + rng.randint(1, 9)) for s in rng.choices(range(60), k=rng.randint(0, 8))])  # noqa: E731,B023
+        spans, kept = some(), some()
+        inside = lambda ranges: {i for s, e in ranges for i in range(s, e)}
+        out = paragraphs.outside(spans, kept)
+        assert inside(out) == inside(spans) - inside(kept) and all(s < e for s, e in out)
+
+
 def test_bitmaps_never_exclude_similar_sets(spark):
     rng = np.random.default_rng(44)
     pool = rng.integers(0, 2**63, 12_000, dtype=np.uint64)
