@@ -2,8 +2,8 @@
 
 A paragraph is a line of MIN_WORDS words or more (white-space words, A to Z lower-cased), and also a block of several
 lines between blank ones, read as one text wherever it is wrapped. Its set holds the hashes of its runs of SHINGLE words.
-With 9 bands of 4 rows, paragraphs of similarity 0.8 miss each other with a probability of (1 - 0.8**4)**9, 0.9 %, those
-of similarity 0.85 with 0.13 %; `tuned` computes the bands for another recall. Members of one bucket that stars have not
+With 14 bands of 4 rows, paragraphs of similarity 0.8 miss each other with a probability of (1 - 0.8**4)**14, 0.06 %, those
+of similarity 0.85 with 0.003 %; `tuned` computes the bands for another recall. Members of one bucket that stars have not
 joined are compared with each other only if their bitmaps of 4,096 bits allow the similarity, which loses no pair.
 
 A text that is repeated inside longer paragraphs is found by its passages: PASSAGE words from an anchor on, a word where
@@ -33,7 +33,7 @@ from graphloom.plans.components import named
 from graphloom.plans.scratch import Scratch
 from graphloom.plans.ship import ship
 
-SHINGLE, PERCENT, MIN_WORDS, RECALL = 5, 80, 20, 0.99
+SHINGLE, PERCENT, MIN_WORDS, RECALL = 5, 80, 20, 0.999
 PASSAGE, AROUND = 25, 5
 #: Longs of a set's bitmap.
 LONGS = 64
