@@ -4,7 +4,8 @@ Every line is normalised to its lower-cased words. Equal normalised lines are on
 similarity of 0.8 in words, the longer one of n words, n // 5 words differ at most. So by the pigeonhole principle they
 have two of their three rarest words in common up to 9 words, and three of the five rarest up to 14 words; longer lines
 with a fifth of their words changed at random have two of the five in common with a probability of 98.7 %. Such pairs
-and triples are a line's blocks, at which lines meet. Frequent words are the least rare; else a longer word is rarer.
+and triples are a line's blocks, at which lines meet. A line that may be similar to one of a longer class has the blocks
+of both: triples from 8 words on (to meet lines of 10 and 11), pairs of the five from 12 on (lines of 15 to 17). Frequent words are the least rare; else a longer word is rarer.
 Each line that meets another has a 64-bit SimHash of its words; lines of 10 words or more that meet are compared by bits
 first, and all by edit distance of the whole lines: word by word, where in a line's code each word is one character that
 its hash chooses, or else letter by letter.
@@ -98,12 +99,14 @@ def meeting_keys(words: Column, frequent: list[int]) -> Column:
         return F.shiftleft(common.cast("long"), 62).bitwiseOR(F.shiftleft(lacking, 56)).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     n = F.size(words)
-    top = F.slice(F.sort_array(F.transform(words, lambda w: value(F.xxhash64(w), F.length(w)))), F.lit(1), F.when(n < 10, F.lit(3)).otherwise(F.lit(5)))
+    top = F.slice(F.sort_array(F.transform(words, lambda w: value(F.xxhash64(w), F.length(w)))), F.lit(1), F.when(n < 8, F.lit(3)).otherwise(F.lit(5)))
 
     def chosen(few: int, of: int) -> Column:
         return let(top, lambda v: F.array_distinct(F.array(*[F.xxhash64(*[F.get(v, F.lit(i)) for i in some]) for some in combinations(range(of), few)])))
 
-    return F.when(n < 2, F.array().cast("array<bigint>")).when(n == 2, chosen(2, 2)).when(n < 10, chosen(2, 3)).when(n < 15, chosen(3, 5)).otherwise(chosen(2, 5))
+    few = F.when(n < 2, F.array().cast("array<bigint>")).when(n == 2, chosen(2, 2)).when(n < 8, chosen(2, 3))
+    border = few.when(n < 10, F.array_union(chosen(2, 3), chosen(3, 5))).when(n < 12, chosen(3, 5))
+    return border.when(n < 15, F.array_union(chosen(3, 5), chosen(2, 5))).otherwise(chosen(2, 5))
 
 
 def _split(base: DataFrame) -> DataFrame:

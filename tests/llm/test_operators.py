@@ -186,6 +186,35 @@ def test_simhash_counts_bits(spark):
         assert got[i] & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * bits[:, b].sum() > len(bits)), i
 
 
+def test_lines_of_any_two_lengths_meet(spark):
+    """One to three words more, or other, at every length: similar lines share a block, also across the borders of classes."""
+    rng, rows = random.Random(48), []
+    for n in range(2, 41):
+        for more in range(4):
+            for other in range(4):
+                if more + other and 5 * (more + other) <= min(n + more, 19):
+                    for _ in range(6):
+                        line = words(rng, n, 10**6).split()
+                        like = changed(rng, " ".join(line), other).split()
+                        for _ in range(more):
+                            like.insert(rng.randrange(len(like) + 1), f"y{rng.randrange(10**6)}")
+                        rows.append((n, more, other, line, like))
+    frequent = [0] * (linededup.SLOTS // 64)
+    pairs = spark.createDataFrame(rows, "n int, more int, other int, x array<string>, y array<string>")
+    keys = lambda c: linededup.meeting_keys(F.col(c), frequent)
+    apart = pairs.where(F.size("y") < 20).where(~F.arrays_overlap(keys("x"), keys("y"))).select("n", "more", "other").collect()
+    assert len(rows) > 1000 and not apart
+
+
+def test_one_word_more_is_a_similar_line(spark):
+    rng, rows = random.Random(49), []
+    for n in range(4, 41):
+        line = words(rng, n, 10**6)
+        rows += [(2 * n, line), (2 * n + 1, f"{line} more")]
+    got = {r["row"].doc_id: r.n_removed for r in linededup.line_dedup(table(spark, rows)).collect()}
+    assert got == {i: i % 2 for i, _ in rows}
+
+
 def test_paragraph_dedup(spark):
     rng = random.Random(9)
     p, q = words(rng, 60), words(rng, 60)
