@@ -355,6 +355,40 @@ def cpg_resolve(spark, sf_dir):
     return both.select("source", "target", "weight")
 
 
+_CALLED = "SELECT name FROM fact WHERE kind = 'CallSite'"
+_DEFINED = "SELECT name FROM fact WHERE kind <> 'CallSite'"
+_STEPS = f"SELECT DISTINCT p.name AS caller, c.name AS callee FROM fact c JOIN fact p ON p.path = c.path AND p.fact_id = c.parent_id WHERE c.kind = 'CallSite' AND c.name IN ({_DEFINED})"
+
+
+@query("cpg_resolve_names", over(f"SELECT concat(path, '#', fact_id) AS node, name, 'Named' AS kind FROM fact WHERE kind = 'CallSite' AND name IN ({_DEFINED}) UNION ALL SELECT DISTINCT name, name, 'Defines' FROM fact WHERE kind <> 'CallSite' AND name IN ({_CALLED})", FACTS))
+def cpg_resolve_names(spark, sf_dir):
+    facts = derived.derived_facts(spark, sf_dir)
+    end = F.when(F.col("kind") == graph.NAMED, F.col("src")).otherwise(F.col("dst"))
+    edges = graph.named_calls(facts, collapse=False).select(end.alias("node_id"), "name", "kind")
+    return edges.join(graph.symbol_nodes(facts, collapse=False).select("node_id", F.col("usr").alias("node")), "node_id").select("node", "name", "kind")
+
+
+def by_name(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph of the derived facts with calls through names, written once as several steps read it."""
+    scratch = Scratch(spark)
+    return tuple(scratch.save(t, n) for t, n in zip(graph.build_graph(derived.derived_facts(spark, sf_dir), collapse=False, by_name=True), ("nodes", "edges")))
+
+
+@query("q_callers_names", over(f"SELECT caller, callee FROM ({_STEPS})", FACTS))
+def q_callers_names(spark, sf_dir):
+    return queries.callers(*by_name(spark, sf_dir), distinct=True).select("caller", "callee")
+
+
+@query(
+    "a_dead_names",
+    f"WITH RECURSIVE {FACTS}, step AS ({_STEPS}), seen(name) AS (SELECT name FROM fact WHERE kind = 'Function' AND name < 'b' UNION SELECT callee FROM step JOIN seen ON caller = seen.name) "
+    "SELECT DISTINCT name FROM fact WHERE kind = 'Function' AND name NOT IN (SELECT name FROM seen)",
+)
+def a_dead_names(spark, sf_dir):
+    nodes, edges = graph.as_graph(*by_name(spark, sf_dir))
+    return analysis.dead_code(nodes, edges, seeds=nodes.where("kind = 'Function' AND name < 'b'").select(F.col("node_id").alias("node"))).select("name")
+
+
 _TWO = FACTS + ", " + ", ".join(part for part in (A.replace("n AS (", "n2 AS (").replace("cs AS (", "cs2 AS (").replace("CROSS JOIN n)", "CROSS JOIN n2 AS n)").split("nodes AS (")[0].rstrip().rstrip(","),)) + ", " + derived.FACTS_SQL.replace("fact AS (", "fact2 AS (").replace("cs.", "cs2.").replace("FROM cs ", "FROM cs2 ")
 
 

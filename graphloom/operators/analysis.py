@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import SYMBOLS
+from graphloom.operators.graph import DEFINES, NAMED, SYMBOLS, call_steps
 from graphloom.plans.components import connected_components
 from graphloom.plans.fixpoint import reach
 from graphloom.plans.forest import sizes_below
@@ -16,18 +16,22 @@ NODE_CAP = 100_000
 
 
 def _among_symbols(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Call edges between functions and classes."""
+    """Call edges between functions and classes, or from them to names and from names to them."""
     ids = nodes.where(F.col("kind").isin(SYMBOLS)).select("node_id")
-    calls = edges.where("kind = 'Call'").select("src", "dst")
-    return calls.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    calls = lambda kind: edges.where(F.col("kind") == kind).select("src", "dst")
+    known = lambda table, end: table.join(ids.withColumnRenamed("node_id", end), end, "left_semi").select("src", "dst")
+    return known(known(calls("Call"), "src"), "dst").union(known(calls(NAMED), "src")).union(known(calls(DEFINES), "dst"))
 
 
 def call_cycles(nodes: DataFrame, edges: DataFrame, members: bool = False) -> DataFrame:
     """(component, functions, length): every group of functions and classes that call each other, and self-callers.
 
-    functions is the sorted list of names, ? for a missing one. members: (node_id, component) instead.
+    functions is the sorted list of names, ? for a missing one. members: (node_id, component) instead. component is the
+    smallest node of the group. Names that calls go through are no members; edges are lifted.
     """
     label = strong_components(_among_symbols(nodes, edges))
+    label = label.join(nodes.select(F.col("node_id").alias("node")), "node", "left_semi")
+    label = label.join(label.groupBy("component").agg(F.min("node").alias("least")), "component").select("node", F.col("least").alias("component"))
     if members:
         return label.withColumnRenamed("node", "node_id")
     named = label.join(nodes.select(F.col("node_id").alias("node"), F.coalesce("name", F.lit("?")).alias("name")), "node")
@@ -58,7 +62,7 @@ def entry_nodes(nodes: DataFrame, entries: list[str]) -> DataFrame:
 def dead_code(nodes: DataFrame, edges: DataFrame, entries: list[str] | None = None, seeds: DataFrame | None = None) -> DataFrame:
     """Functions that no entry reaches along Call edges; all functions if no entry matches. seeds (node) may replace entries."""
     start = entry_nodes(nodes, entries or ["main"]) if seeds is None else seeds
-    seen = reach(start, edges.where("kind = 'Call'")).select(F.col("node").alias("node_id"))
+    seen = reach(start, call_steps(edges)).select(F.col("node").alias("node_id"))
     return nodes.where("kind = 'Function'").join(seen, "node_id", "left_anti")
 
 

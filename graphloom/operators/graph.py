@@ -9,6 +9,8 @@ from graphloom.functions.names import fact_key
 from graphloom.plans.fixpoint import nearest
 
 SYMBOLS = ["Function", "Class"]
+#: Kinds of the edges of calls through names: from a call site to its name, and from a name to what it defines.
+NAMED, DEFINES = "Named", "Defines"
 
 
 def _key(collapse: bool) -> Column:
@@ -57,10 +59,42 @@ def resolve_calls(facts: DataFrame, weighted: bool = False, collapse: bool = Tru
     return pairs.select("src", "dst", F.lit("Call").alias("kind"), "weight")
 
 
-def build_graph(facts: DataFrame, collapse: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) with nesting and call edges. Building a union of facts is the same as merging their graphs."""
+def named_calls(facts: DataFrame, collapse: bool = True) -> DataFrame:
+    """(src, dst, kind, name): calls through names, k + m rows for k call sites and m definitions of a name.
+
+    A Named edge goes from a call site to the vertex of its name, a Defines edge from there to each function or class.
+    Name vertices are 64-bit hashes that no node has; names that are only called or only defined are left out. Whoever
+    walks along both kinds gets from sites to definitions as along Call edges. Null names make no edge.
+    """
+    keyed = _keyed(facts, collapse).where("name IS NOT NULL").select("name", "kind", "node_id")
+    sites = keyed.where("kind = 'CallSite'").select("name", "node_id").distinct()
+    defs = keyed.where(F.col("kind").isin(SYMBOLS)).select("name", "node_id").distinct()
+    hub, names = F.xxhash64(F.lit("name"), "name"), lambda t: t.select("name").distinct()
+    into = sites.join(names(defs), "name", "left_semi").select(F.col("node_id").alias("src"), hub.alias("dst"), F.lit(NAMED).alias("kind"), "name")
+    out = defs.join(names(sites), "name", "left_semi").select(hub.alias("src"), F.col("node_id").alias("dst"), F.lit(DEFINES).alias("kind"), "name")
+    return into.unionByName(out)
+
+
+def expanded(edges: DataFrame) -> DataFrame:
+    """edges with calls through names as distinct Call edges, k * m for each name."""
+    into, out = edges.where(F.col("kind") == NAMED), edges.where(F.col("kind") == DEFINES)
+    calls = into.select("src", F.col("dst").alias("hub")).join(out.select(F.col("src").alias("hub"), "dst"), "hub").select("src", "dst").distinct()
+    return edges.where(~F.col("kind").isin(NAMED, DEFINES)).select("src", "dst", "kind").unionByName(calls.withColumn("kind", F.lit("Call")))
+
+
+def call_steps(edges: DataFrame) -> DataFrame:
+    """Edges that a walk along calls takes: Call edges and both halves of calls through names."""
+    return edges.where(F.col("kind").isin("Call", NAMED, DEFINES))
+
+
+def build_graph(facts: DataFrame, collapse: bool = True, by_name: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with nesting and call edges. Building a union of facts is the same as merging their graphs.
+
+    by_name: calls go through names (named_calls), so edges grow with the facts whatever names are frequent. as_graph,
+    callers, unused, dead_code and call_cycles take such edges; expanded() makes Call edges of them for all else.
+    """
     nodes, nested = ingest(facts, collapse)
-    return nodes, nested.unionByName(resolve_calls(facts, collapse=collapse))
+    return nodes, nested.unionByName(named_calls(facts, collapse).drop("name") if by_name else resolve_calls(facts, collapse=collapse))
 
 
 def merge(first: tuple[DataFrame, DataFrame], second: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -106,12 +140,17 @@ def enclosing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def lift(nodes: DataFrame, edges: DataFrame, distinct: bool = True) -> DataFrame:
     """(src, dst): calls from the function that encloses the source to the definition. Sources outside functions are dropped."""
-    calls = edges.where("kind = 'Call'").select("src", "dst")
-    lifted = calls.join(enclosing(nodes, edges), F.col("src") == F.col("node_id")).select(F.col("function_id").alias("src"), "dst")
+    lifted = _lifted(nodes, edges, "Call").select("src", "dst")
     return lifted.distinct() if distinct else lifted
 
 
+def _lifted(nodes: DataFrame, edges: DataFrame, *kinds: str) -> DataFrame:
+    """(src, dst, kind) of edges of these kinds from the functions that enclose their sources."""
+    calls = edges.where(F.col("kind").isin(*kinds)).select("src", "dst", "kind")
+    return calls.join(enclosing(nodes, edges), F.col("src") == F.col("node_id")).select(F.col("function_id").alias("src"), "dst", "kind")
+
+
 def as_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The graph with its Call edges lifted to functions, each once; nesting edges stay."""
-    lifted = lift(nodes, edges).withColumn("kind", F.lit("Call"))
-    return nodes, edges.where("kind <> 'Call'").select("src", "dst", "kind").unionByName(lifted)
+    """The graph with its Call and Named edges lifted to functions, each once; nesting and Defines edges stay."""
+    lifted = _lifted(nodes, edges, "Call", NAMED).distinct()
+    return nodes, edges.where(~F.col("kind").isin("Call", NAMED)).select("src", "dst", "kind").unionByName(lifted)

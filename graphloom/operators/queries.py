@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.analysis import dead_code, call_cycles
-from graphloom.operators.graph import SYMBOLS, enclosing
+from graphloom.operators.graph import DEFINES, NAMED, SYMBOLS, enclosing
 from graphloom.plans.fixpoint import sized
 from graphloom.plans.forest import below
 from graphloom.plans.scratch import Scratch
@@ -26,11 +26,15 @@ def callers(nodes: DataFrame, edges: DataFrame, name: str | None = None, distinc
     """(caller_id, caller, callee_id, callee): a row for each Call edge into a function or class of that name.
 
     The caller is the function that encloses the edge's source; edges from outside functions are dropped. Without a
-    name, all definitions are targets.
+    name, all definitions are targets. Calls through names have a row for each calling function, name and definition.
     """
     targets = nodes.where(F.col("kind").isin(SYMBOLS) & (F.lit(True) if name is None else F.col("name") == name))
-    into = edges.where("kind = 'Call'").join(targets.select(F.col("node_id").alias("dst"), F.col("name").alias("callee")), "dst")
-    owned = into.join(enclosing(nodes, edges), F.col("src") == F.col("node_id")).drop("node_id")
+    into = edges.where(F.col("kind").isin("Call", DEFINES)).join(targets.select(F.col("node_id").alias("dst"), F.col("name").alias("callee")), "dst")
+    within = enclosing(nodes, edges)
+    owned = into.where("kind = 'Call'").select("src", "dst", "callee").join(within, F.col("src") == F.col("node_id")).drop("node_id", "src")
+    hubs = edges.where(F.col("kind") == NAMED).join(within, F.col("src") == F.col("node_id")).select("function_id", F.col("dst").alias("hub")).distinct()
+    through = into.where(F.col("kind") == DEFINES).select(F.col("src").alias("hub"), "dst", "callee").join(hubs, "hub").drop("hub")
+    owned = owned.unionByName(through)
     named = owned.join(nodes.select(F.col("node_id").alias("function_id"), F.col("name").alias("caller")), "function_id")
     rows = named.select(F.col("function_id").alias("caller_id"), "caller", F.col("dst").alias("callee_id"), "callee")
     return rows.distinct() if distinct else rows
@@ -60,7 +64,7 @@ def callees(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
 
 def unused(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Functions that no Call edge reaches; a self-loop counts as a call."""
-    called = edges.where("kind = 'Call'").select(F.col("dst").alias("node_id")).distinct()
+    called = edges.where(F.col("kind").isin("Call", DEFINES)).select(F.col("dst").alias("node_id")).distinct()
     return nodes.where("kind = 'Function'").join(called, "node_id", "left_anti")
 
 

@@ -8,6 +8,7 @@ from graphloom.operators import analysis, diff, graph, metrics, queries, subgrap
 from graphloom.plans.components import connected_components
 from graphloom.plans.fixpoint import nearest, reach
 from graphloom.plans.forest import below, sizes_below
+from graphloom.plans.scratch import Scratch
 from graphloom.plans.strong import strong_components
 from graphloom.schemas import FACTS, GraphError, NotFound, check_kinds
 from tests import graphs
@@ -275,3 +276,42 @@ def test_empty_graph(spark):
     nodes, edges = nodes.where("false"), edges.where("false")
     assert metrics.function_metrics(nodes, edges).count() == analysis.chains(edges).count() == analysis.call_cycles(nodes, edges).count() == 0
     assert metrics.report(nodes, edges).first().total_functions == 0
+
+
+def test_calls_through_names_answer_as_call_edges_do(spark):
+    rng = random.Random(51)
+    for collapse in (False, True):
+        rows = []
+        for i in range(60):
+            rows.append((f"p{i % 7}", 10 * i, rng.choice(["Function", "Function", "Class"]), f"f{rng.randrange(40)}"))
+            rows += [(f"p{i % 7}", 10 * i + k, "CallSite", f"f{rng.randrange(55)}", 10 * i) for k in range(1, 1 + rng.randrange(3))]
+        facts = Scratch(spark).save(fact_table(spark, *rows, ("q", 0, "CallSite", None), ("q", 1, "Function", None), ("q", 2, "CallSite", "f1")), "facts")
+        nodes, plain = graph.build_graph(facts, collapse)
+        named = graph.build_graph(facts, collapse, by_name=True)[1]
+        plain, named = (Scratch(spark).save(t, "edges") for t in (plain, named))
+        kinds = ("AstChild", "Call")
+        pairs = lambda t: {tuple(r) for r in t.select("src", "dst", "kind").collect()}
+        assert pairs(graph.expanded(named)) == {r for r in pairs(plain) if r[2] in kinds} and graph.expanded(plain).count() == plain.count()
+        both = [Scratch(spark).save(graph.as_graph(nodes, t)[1], "lifted") for t in (plain, named)]
+        assert pairs(graph.expanded(both[1])) == pairs(both[0])
+        same = lambda f, tables: len({frozenset(map(tuple, f(t).collect())) for t in tables}) == 1  # noqa: E731,B023
+        assert same(lambda t: analysis.call_cycles(nodes, t, members=True).select("node_id", "component"), both)  # noqa: B023
+        assert same(lambda t: analysis.dead_code(nodes, t, ["f1", "f2"]).select("node_id"), both)  # noqa: B023
+        assert same(lambda t: queries.unused(nodes, t).select("node_id"), (plain, named)) and same(lambda t: queries.callers(nodes, t, distinct=True), (plain, named))  # noqa: B023
+        assert same(lambda t: queries.callers(nodes, t, "f3", distinct=True), (plain, named))  # noqa: B023
+
+
+def test_a_frequent_name_costs_sites_and_definitions(spark):
+    """10^5 call sites and 10^4 definitions of one name are 1.1 * 10^5 edges, not 10^9; dead code and cycles walk through them."""
+    text = "CAST(NULL AS STRING)"
+    defs = f"SELECT concat('p', id) AS path, 0L AS fact_id, 'Function' AS kind, 'go' AS name, concat('u', id) AS usr, CAST(NULL AS BIGINT) AS parent_id FROM range(10000)"
+    sites = f"SELECT concat('p', id % 10000), id + 1, 'CallSite', 'go', {text}, 0L FROM range(100000)"
+    facts = spark.sql(f"{defs} UNION ALL {sites} UNION ALL SELECT 'x', 0L, 'Function', 'main', {text}, NULL UNION ALL SELECT 'x', 1L, 'CallSite', 'go', {text}, 0L UNION ALL SELECT 'x', 2L, 'Function', 'alone', {text}, NULL")
+    facts = Scratch(spark).save(facts.selectExpr("*", "1L AS start_line", "1L AS end_line"), "facts")
+    nodes, edges = (Scratch(spark).save(t, "hub") for t in graph.build_graph(facts, collapse=False, by_name=True))
+    assert edges.where("kind <> 'AstChild'").count() == 100_001 + 10_000
+    lifted = Scratch(spark).save(graph.as_graph(nodes, edges)[1], "lifted")
+    assert lifted.where("kind <> 'AstChild'").count() == 10_001 + 10_000
+    assert [r.name for r in analysis.dead_code(nodes, lifted, ["main"]).collect()] == ["alone"]
+    members = analysis.call_cycles(nodes, lifted, members=True)
+    assert [tuple(r) for r in members.groupBy("component").count().select("count").collect()] == [(10_000,)]
