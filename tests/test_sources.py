@@ -9,7 +9,7 @@ from graphloom import cli
 from graphloom.engine import Engine
 from graphloom.functions import languages as L
 from graphloom.functions.parsers import parse_braced, parse_clang, parse_python, parse_ruby, parsed, register_parser, registered, with_symbols
-from graphloom.operators.heuristic import heuristic_facts
+from graphloom.operators.heuristic import calls, heuristic_facts, structures, tokens
 from graphloom.operators.parse import parse_files, register_udtf
 from graphloom.schemas import FILES, UnsupportedLanguage, conform
 from graphloom.sources import files as S
@@ -72,6 +72,43 @@ def test_heuristic_scan(spark):
     assert scan("class") == [] and scan("") == []
 
 
+@pytest.mark.parametrize("text, kinds", [("class A " * 30_000, {("Class", "A")}), ("<" * 40_000 + " fn f " + "> x " * 40_000, {("Function", "f")}), ("a." * 40_000 + "b()", {("CallSite", "." * 40_000)})])
+def test_heuristic_scan_takes_time_in_proportion(spark, text, kinds):
+    began = time.perf_counter()
+    rows = heuristic_facts(spark.createDataFrame([("f", text)], "path string, content string")).collect()
+    short_name = lambda r: "." * r.name.count(".") or r.name
+    assert {(r.kind, short_name(r)) for r in rows} == kinds and time.perf_counter() - began < 20
+
+
+def test_noise_words_are_calls_if_asked_for(spark):
+    scanned = tokens(spark.createDataFrame([("f", "for (x) a.for (y) b\n .c\n (z)")], "path string, content string"))
+    assert sorted(r.name for r in calls(scanned, noise=[]).collect()) == ["a.for", "b.c", "for"]
+    assert sorted(r.name for r in calls(scanned).collect()) == ["a.for", "b.c"]
+
+
+def test_next_names_by_depth(spark):
+    """Against a scan of all later tokens: the first name at the word's depth of angle brackets or one less."""
+    import random
+
+    rng, texts = random.Random(5), []
+    for _ in range(60):
+        texts.append(" ".join(rng.choice(["<", ">", "class", "fn", "if", "x", "y", "const", ",", "\n"]) for _ in range(rng.randint(1, 40))))
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, content string")
+    found = {(r.path, r.n): r.name for r in structures(tokens(files)).collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        row, depth, deep = text.split(), 0, []
+        for t in row:
+            depth += (t == "<") - (t == ">")
+            deep.append(depth)
+        for n, t in enumerate(row):
+            if t in ("class", "fn"):
+                later = [k for k in range(n + 1, len(row)) if row[k] in ("class", "fn", "x", "y") and deep[k] in (deep[n], deep[n] - 1)]
+                if later:
+                    want[str(i), n] = row[later[0]]
+    assert found == want
+
+
 def test_languages(spark):
     assert L.parse_language("cpp") == "CppTreeSitter" and L.parse_language("cpp", "cli") == "Cpp"
     with pytest.raises(UnsupportedLanguage):
