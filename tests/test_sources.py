@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom import cli
 from graphloom.engine import Engine
 from graphloom.functions import languages as L
-from graphloom.functions.parsers import parse_braced, parse_clang, parse_python, parse_ruby, parsed, register_parser, registered, with_symbols
+from graphloom.functions.parsers import braced_facts, parse_braced, parse_clang, parse_python, parse_ruby, parsed, register_parser, registered, with_symbols
 from graphloom.operators.heuristic import calls, heuristic_facts, structures, tokens
 from graphloom.operators.parse import parse_files, register_udtf
 from graphloom.schemas import FILES, UnsupportedLanguage, conform
@@ -283,3 +283,42 @@ def test_compilation_database_chooses_the_files(spark, tmp_path):
     write(tmp_path, {"p/a.cpp": "int f() { return g(); }", "p/b.cpp": "int h() { return 0; }", "c.json": '[{"file": "a.cpp", "command": "cc -c a.cpp"}]'})
     engine = Engine.from_commands(spark, str(tmp_path / "c.json"), str(tmp_path / "p"))
     assert {r.name for r in engine.nodes.where("kind = 'Function'").collect()} >= {"f"} and engine.nodes.where("name = 'h'").count() == 0
+
+
+def test_python_in_pieces(monkeypatch):
+    import graphloom.functions.parsers as P
+
+    methods = "".join(f"    @d(1)\n    def m{k}(self, é='{k}'):\n        '''long'''\n        é.call{k}(x)\n        if x:\n            pass\n    # c\n    else_ = (1,\n    2)\n" for k in range(40))
+    tail = "try:\n    a()\nexcept E:\n    b.c\\\n.d()\nelse:\n    pass\n@dec\nclass Z:\n    y = 1\nw = '''\nclass Q:\n    z()\n'''\n"
+    inner = "".join("  " + line + "\n" for line in ["class I:", "    v = f()", "    def g(self): return h()  # end"])
+    texts = [
+        "import x\n\nclass A(B, k=c()):\n\n" + methods + "\n# end\n" + tail, "class O:\n" + inner * 30 + "\nlast()\n", tail * 20, "class A:\n" + methods + "    x = 1  # end\n\n\n",
+        "class A:\n    def f(self):\n        pass\n   x = 1\n" * 9, "def f(:\n" * 50, methods, "class A:\r\n    def f(self):\r\n        g(\r\n1)\r\n" * 9, "class A:\n    '''\n    def f(self):\n    '''\n    h()\n" * 9,
+    ]
+    for text in texts:
+        whole = [parsed(lambda s: parse_python(s, d, d), text) for d in (False, True)]
+        monkeypatch.setattr(P, "PIECE", 40)
+        assert [parsed(lambda s: parse_python(s, d, d), text) for d in (False, True)] == whole
+        monkeypatch.undo()
+
+
+def test_python_takes_time_in_proportion():
+    began = time.perf_counter()
+    assert len(parse_python("class A:\n" + "".join(f"    def f{k}(self):\n        g{k}.h(1)\n" for k in range(40_000)))) == 80_001
+    assert time.perf_counter() - began < 15
+
+
+@pytest.mark.parametrize("language, unit", [("cpp", "  int f(int a, const std::vector<int> &v = {{}}) {{ int n = 0, *p = &n; g{k}(1); return n; }}\n"), ("go", "func f(a int) int {{\n  g{k}(1)\n}}\n"), ("rust", "fn f(a: i32) -> i32 {{ g{k}(1); 0 }}\n")])
+def test_braced_memory_does_not_grow_with_the_source(language, unit):
+    import tracemalloc
+
+    def peak(n):
+        source = ("class C { public:\n" if language == "cpp" else "") + "".join(unit.format(k=k) for k in range(n))
+        tracemalloc.start()
+        count = sum(1 for _ in braced_facts(source, language))
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return count, top
+
+    (few, low), (many, high) = peak(1000), peak(5000)
+    assert many > 4.9 * few and high < 1.5 * low
