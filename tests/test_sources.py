@@ -80,6 +80,23 @@ def test_heuristic_scan_takes_time_in_proportion(spark, text, kinds):
     assert {(r.kind, short_name(r)) for r in rows} == kinds and time.perf_counter() - began < 20
 
 
+def test_files_without_facts_are_not_scanned(spark, monkeypatch):
+    from graphloom.operators import heuristic
+
+    texts = {"prose": "Some words, and more. " * 50, "ident": "classes x_class subclass", "digit": "9class A", "word": "a\nfn b", "call": "f\n (", "empty": "", "none": None}
+    files = spark.createDataFrame(list(texts.items()), "path string, content string")
+    every = {(r.path, r.kind, r.name) for t in (structures(tokens(files)), calls(tokens(files))) for r in t.collect()}
+    seen = []
+
+    def scan(source):
+        seen.extend(r.path for r in source.collect())
+        return tokens(source)
+
+    monkeypatch.setattr(heuristic, "tokens", scan)
+    assert {(r.path, r.kind, r.name) for r in heuristic.heuristic_facts(files).collect()} == every
+    assert sorted(seen) == ["call", "digit", "word"] and {path for path, *_ in every} == set(seen)
+
+
 def test_noise_words_are_calls_if_asked_for(spark):
     scanned = tokens(spark.createDataFrame([("f", "for (x) a.for (y) b\n .c\n (z)")], "path string, content string"))
     assert sorted(r.name for r in calls(scanned, noise=[]).collect()) == ["a.for", "b.c", "for"]
