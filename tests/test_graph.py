@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.names import clean_nodes, entry_list, plausible_identifier, readable_name
 from graphloom.operators import analysis, diff, graph, metrics, queries, subgraph, tables, trees
 from graphloom.plans.components import connected_components
-from graphloom.plans.fixpoint import nearest, reach
+from graphloom.plans.fixpoint import nearest, reach, reached
 from graphloom.plans.forest import below, sizes_below
 from graphloom.plans.scratch import Scratch
 from graphloom.plans.strong import strong_components
@@ -315,3 +315,28 @@ def test_a_frequent_name_costs_sites_and_definitions(spark):
     assert [r.name for r in analysis.dead_code(nodes, lifted, ["main"]).collect()] == ["alone"]
     members = analysis.call_cycles(nodes, lifted, members=True)
     assert [tuple(r) for r in members.groupBy("component").count().select("count").collect()] == [(10_000,)]
+
+
+def test_dead_code_of_long_chains_takes_few_jobs(spark, monkeypatch):
+    """Chains of rising ids, with a fork and its join, a ring on the way and one without a way in."""
+    n, calls = 600, [(i, i + 1) for i in range(299)] + [(i, i + 1) for i in range(300, 599)] + [(10, 12), (40, 30), (599, 300), (100, 0), (None, 300), (5, None)]
+    nodes, edges = graphs.graph(spark, [(i, "Function", f"f{i}", 1, 1) for i in range(n)], calls)
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, codec=None: saved.append(name) or save(self, df, name, codec))
+    dead = analysis.dead_code(nodes, edges, seeds=spark.createDataFrame([(3,), (None,)], "node long"))
+    assert {r.node_id for r in dead.collect()} == set(range(300, n))
+    assert len(saved) < 60
+
+
+def test_reached_nodes_like_a_search(spark):
+    rng = random.Random(11)
+    for _ in range(4):
+        edges = [(rng.randrange(50), rng.randrange(50)) for _ in range(rng.randint(20, 90))]
+        starts, seen = [rng.randrange(52) for _ in range(3)], set()
+        todo = list(starts)
+        while todo:
+            if (node := todo.pop()) not in seen:
+                seen.add(node)
+                todo += [b for a, b in edges if a == node]
+        found = reached(spark.createDataFrame([(x,) for x in starts], "node long"), spark.createDataFrame(edges, "src long, dst long"))
+        assert sorted(r.node for r in found.collect()) == sorted(seen)
