@@ -89,17 +89,25 @@ def frequent_words(words: DataFrame, scratch: Scratch) -> list[int]:
     return np.packbits(bits, bitorder="little").view(np.int64).tolist()
 
 
-def meeting_keys(words: Column, frequent: list[int]) -> Column:
-    """Where a line meets those that are similar to it: some of its rarest words (see the module's head)."""
-    slots = F.lit(frequent).cast("array<bigint>")
+def rarest(words: Column, frequent: list[int]) -> Column:
+    """Values that tell a line's rarest words: three of a line of fewer than 8 words, else five."""
+    slots = F.split(F.lit(",".join(map(str, frequent))), ",").cast("array<bigint>")  # one constant for all numbers
 
     def value(h: Column, size: Column) -> Column:
         common = F.getbit(F.get(slots, F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(SLOTS // 64 - 1)).cast("int")), h.bitwiseAND(F.lit(63)).cast("int"))
         lacking = F.lit(63).cast("long") - F.least(size, F.lit(63))
         return F.shiftleft(common.cast("long"), 62).bitwiseOR(F.shiftleft(lacking, 56)).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    n = F.size(words)
-    top = F.slice(F.sort_array(F.transform(words, lambda w: value(F.xxhash64(w), F.length(w)))), F.lit(1), F.when(n < 8, F.lit(3)).otherwise(F.lit(5)))
+    return F.slice(F.sort_array(F.transform(words, lambda w: value(F.xxhash64(w), F.length(w)))), F.lit(1), F.when(F.size(words) < 8, F.lit(3)).otherwise(F.lit(5)))
+
+
+def meeting_keys(words: Column, frequent: list[int]) -> Column:
+    """Where a line meets those that are similar to it: some of its rarest words (see the module's head)."""
+    return _keys(F.size(words), rarest(words, frequent))
+
+
+def _keys(n: Column, top: Column) -> Column:
+    """meeting_keys of a line of n words from its rarest ones."""
 
     def chosen(few: int, of: int) -> Column:
         return let(top, lambda v: F.array_distinct(F.array(*[F.xxhash64(*[F.get(v, F.lit(i)) for i in some]) for some in combinations(range(of), few)])))
@@ -164,8 +172,9 @@ def line_groups(docs: DataFrame, key: str, text: str, similarity: float, scratch
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).where(F.col("key").isNotNull() & F.col("t").isNotNull())
     split = _split(base).select("key", "pos", tokens(F.col("line")).alias("w"))
     words = scratch.save(split.select("key", "pos", "w", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("h2")), "words")
-    keyed = meeting_keys(F.col("w"), frequent_words(words, scratch))
-    lines = scratch.save(words.select("key", "pos", "h", "h2", keyed.alias("keys")), "lines")
+    # The rarest words are a column of their own: put into every choice of them, the plan would hold all frequent words as often.
+    ranked = words.select("key", "pos", "h", "h2", F.size("w").alias("n"), rarest(F.col("w"), frequent_words(words, scratch)).alias("top"))
+    lines = scratch.save(ranked.select("key", "pos", "h", "h2", _keys(F.col("n"), F.col("top")).alias("keys")), "lines")
 
     def prepare(items: DataFrame):
         side = _profiles(items, lines, words, scratch)

@@ -601,3 +601,13 @@ def test_frequent_words_count_all_documents(spark, monkeypatch):
         hashes = [r.h for r in spark.createDataFrame([(w,) for w in often], "w string").select(F.xxhash64("w").alias("h")).collect()]
         assert set(np.flatnonzero(bits)) == {h & (linededup.SLOTS - 1) for h in hashes}
     assert not any(linededup.frequent_words(words.limit(0), Scratch(spark)))
+
+
+def test_frequent_words_are_one_constant_of_the_plan(spark, monkeypatch):
+    """The plan of the meeting keys holds the numbers once, not once for each choice of words."""
+    frequent, plans, save = [1 << 40] * (linededup.SLOTS // 64), [], Scratch.save
+    monkeypatch.setattr(linededup, "frequent_words", lambda words, scratch: frequent)
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, codec=None: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or save(self, df, name, codec))
+    linededup.line_dedup(spark.createDataFrame([(1, "one two three four five"), (2, "one two three four six")], "doc_id long, text string"))
+    size = len(dict(plans)["lines"])
+    assert size < 1.5 * len(str(1 << 40)) * len(frequent)
