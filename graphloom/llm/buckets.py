@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.bounded import counted
@@ -15,33 +15,75 @@ from graphloom.plans.scratch import Scratch
 
 #: Rounds of stars before the members that are left meet all others, and members of one bucket that meet in one cell.
 ROUNDS, CELL = 3, 512
+#: Rounds in which what is outside the largest component of a bucket meets so many members of it, if it has four times as many.
+WIDE_ROUNDS, WIDE = 2, 8
 
 Verify = Callable[[DataFrame], DataFrame]
 
 
+def touched(side: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows (h, ...) of side that the written pairs (a, b) name, so that a few pairs do not shuffle all of it."""
+    ends = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "ends")
+    return side.join(counted(ends), "h", "left_semi")
+
+
+def _wide_stars(members: DataFrame, label: DataFrame | None, turn: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of WIDE members of each bucket's largest component, others in each turn, and the members outside of it."""
+    every = named(members, "h", label, "comp")
+    sizes = every.groupBy("bk", "comp").count().groupBy("bk").agg(F.max(F.struct("count", "comp")).alias("top"), F.count("*").alias("comps"))
+    top = scratch.save(sizes.where(f"comps > 1 AND top.count > {4 * WIDE}").select("bk", F.col("top.comp").alias("pcomp")), "tops")
+    both = scratch.save(every.join(counted(top), "bk"), "wide")
+    order = Window.partitionBy("bk").orderBy(F.xxhash64("h", F.lit(turn)), "h")
+    pivots = both.where("comp = pcomp").select("bk", "h", F.row_number().over(order).alias("k")).where(F.col("k") <= WIDE)
+    stars = both.where("comp <> pcomp").select("bk", F.col("h").alias("o")).join(pivots.select("bk", "h"), "bk")
+    stars = scratch.save(stars.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct(), "stars")
+    scratch.drop(top, both)
+    return stars
+
+
 def linked(keyed: DataFrame, prepare: Callable[[DataFrame], tuple[Verify, DataFrame]], scratch: Scratch, near: str = "true", rounds: int = ROUNDS) -> DataFrame | None:
     """(node, component) of the verified links between items h that share a bucket bk of keyed (bk, h); None without any.
 
-    In each round every open member of a bucket is compared with the smallest one; those that are now in its component
-    are closed. Pairs grow with the members, not with their squares. What is still in different components of one
-    bucket then meets all others, in cells of CELL by CELL members, so no link between components is lost.
+    In each round every open member of a bucket is compared with the smallest one, in the first round with one such
+    partner only (so there are two rounds at least); those that are now in its component are closed. Then the members outside a bucket's largest component
+    are compared with a few of it. Pairs grow with the members, not with their squares. What is still in different
+    components of one bucket then meets all others, in cells of CELL by CELL members, so no link between components is lost.
     prepare(items) is called once with all items (h) that share a bucket. It gives verify, which keeps the pairs (a, b)
-    that are links, and a table (h, ...) of the columns that near, SQL over x.* and y.*, asks of a pair.
+    of a written table that are links, and a table (h, ...) of the columns that near, SQL over x.* and y.*, asks of a pair.
     """
-    met = scratch.save(keyed.groupBy("bk").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("bk"), "met")
-    members = scratch.save(keyed.join(counted(met), "bk").distinct(), "members")
+    bucket = Window.partitionBy("bk")  # one shuffle of all keys; joined with the keys of several items they would be shuffled twice
+    shared = keyed.select("bk", "h", F.min("h").over(bucket).alias("low"), F.max("h").over(bucket).alias("high")).where("low <> high")
+    members = scratch.save(shared.select("bk", "h").distinct(), "members")
+    scratch.forget()
     verify, side = prepare(scratch.save(members.select("h").distinct(), "items"))
+    scratch.forget()
+
+    def joined(label: DataFrame | None, stars: DataFrame) -> tuple[DataFrame | None, bool]:
+        found = scratch.save(verify(stars), "links")
+        new = not found.isEmpty()
+        label = counted(merged(label, found, "a", "b")) if new else label
+        scratch.drop(stars, found)
+        scratch.forget()
+        return label, new
+
     label, rest = None, members.withColumn("comp", F.col("h"))
-    for _ in range(rounds):
+    for turn in range(max(2, rounds)):
         pivots = rest.groupBy("bk").agg(F.min(F.struct("h", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         pivots = scratch.save(pivots.where("low <> high").select("bk", F.col("p.h").alias("a"), F.col("p.comp").alias("pcomp")), "pivots")
-        stars = rest.join(counted(pivots), "bk").where("comp <> pcomp").select("a", F.col("h").alias("b")).distinct()
-        found = scratch.save(verify(stars), "links")
-        if found.isEmpty():
+        stars = rest.join(counted(pivots), "bk").where("comp <> pcomp").select("a", F.col("h").alias("b"))
+        stars = stars.distinct() if turn else stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        label, new = joined(label, scratch.save(stars, "stars"))
+        if turn and not new:
             break
-        label = merged(label, found, "a", "b")
         now = named(rest.select("bk", "h").join(counted(pivots.select("bk", "a")), "bk"), "h", label, "comp")
-        rest = scratch.save(named(now, "a", label, "pcomp").where("comp <> pcomp").select("bk", "h", "comp"), "rest")
+        # After the first round the smallest ones stay, as not all of their buckets' members have met them.
+        open_ = named(now, "a", label, "pcomp").where("comp <> pcomp" if turn else "comp <> pcomp OR h = a")
+        rest = scratch.save(open_.select("bk", "h", "comp"), "rest")
+    for turn in range(WIDE_ROUNDS if label is not None else 0):
+        stars = _wide_stars(members, label, turn, scratch)
+        if stars.isEmpty():
+            break
+        label, _ = joined(label, stars)
     every = named(members, "h", label, "comp")
     mixed = every.groupBy("bk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).where("low <> high AND c > 2")
     rest = scratch.save(every.join(mixed.select("bk", "c"), "bk"), "mixed")
@@ -52,10 +94,8 @@ def linked(keyed: DataFrame, prepare: Callable[[DataFrame], tuple[Verify, DataFr
     crossed = x.join(y, F.expr(f"{same_cell} AND x.h < y.h AND x.comp <> y.comp AND {near}")).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
     crossed = scratch.save(crossed.distinct(), "crossed")
     if not crossed.isEmpty():
-        found = scratch.save(verify(crossed), "links")
-        if not found.isEmpty():
-            label = merged(label, found, "a", "b")
-    scratch.drop(met, members, rest, crossed)
+        label, _ = joined(label, crossed)
+    scratch.drop(members, rest)
     return label
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.bounded import counted
-from graphloom.llm.buckets import linked, repeated_positions, without_lines
+from graphloom.llm.buckets import linked, repeated_positions, touched, without_lines
 from graphloom.llm.quality import let
 from graphloom.plans.scratch import Scratch
 
@@ -141,12 +141,14 @@ def _distance(x: str, y: str, longer: str, similarity: float) -> str:
     return f"levenshtein({x}, {y}, cast(floor({longer} * {1 - similarity:.6f} + 1e-9) as int))"
 
 
-def _profiles(items: DataFrame, lines: DataFrame, words: DataFrame, scratch: Scratch) -> DataFrame:
-    """(h, n, size, sim, code, line) of the wanted lines (h), read again from one occurrence each."""
-    first = lines.join(counted(items), "h", "left_semi").groupBy("h").agg(F.min(F.struct("key", "pos")).alias("at"))
-    wanted = counted(scratch.save(first.select("at.key", "at.pos"), "wanted"))
-    met = words.select("key", "pos", "h", "w").join(wanted, ["key", "pos"], "left_semi")
-    found = met.join(counted(items), "h", "left_semi").dropDuplicates(["h"])  # rows of one key may have unlike lines at one position
+def _profiles(items: DataFrame, lines: DataFrame, base: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, n, size, sim, code, line) of the wanted lines (h), cut again from one occurrence each in base (key, t)."""
+    items = counted(items)
+    first = lines.join(items, "h", "left_semi").groupBy("h").agg(F.min(F.struct("key", "pos")).alias("at"))
+    wanted = counted(scratch.save(first.select("at.key", "at.pos").distinct(), "wanted"))
+    homes = base.join(wanted.select("key"), "key", "left_semi")
+    met = _split(homes).join(wanted, ["key", "pos"], "left_semi").select(tokens(F.col("line")).alias("w"))
+    found = met.select(F.xxhash64("w").alias("h"), "w").join(items, "h", "left_semi").dropDuplicates(["h"])  # rows of one key may have unlike lines at one position
     hashed = found.select("h", F.array_join("w", " ").alias("line"), F.transform("w", lambda w: F.xxhash64(w)).alias("hs"))
     sided = hashed.select("h", F.size("hs").alias("n"), F.length("line").alias("size"), simhash(F.col("hs")).alias("sim"), code(F.col("hs")).alias("code"), "line")
     return scratch.save(sided, "side")
@@ -156,7 +158,8 @@ def _alike(pairs: DataFrame, side: DataFrame, scratch: Scratch, similarity: floa
     """Pairs (a, b) of line identities whose lines are similar in words or, where not in words, in letters."""
 
     def joined(some: DataFrame, *names: str) -> DataFrame:
-        x, y = side.select("h", *names).alias("x"), side.select("h", *names).alias("y")
+        ends = touched(side.select("h", *names), some, scratch)
+        x, y = ends.alias("x"), ends.alias("y")
         return some.join(x, F.expr("a = x.h")).join(y, F.expr("b = y.h"))
 
     both = joined(pairs, "n", "size", "sim", "code").where(F.expr(_near(similarity)))
@@ -175,10 +178,11 @@ def line_groups(docs: DataFrame, key: str, text: str, similarity: float, scratch
     # The rarest words are a column of their own: put into every choice of them, the plan would hold all frequent words as often.
     ranked = words.select("key", "pos", "h", "h2", F.size("w").alias("n"), rarest(F.col("w"), frequent_words(words, scratch)).alias("top"))
     lines = scratch.save(ranked.select("key", "pos", "h", "h2", _keys(F.col("n"), F.col("top")).alias("keys")), "lines")
+    scratch.drop(words)
+    scratch.forget()
 
     def prepare(items: DataFrame):
-        side = _profiles(items, lines, words, scratch)
-        scratch.drop(words)
+        side = _profiles(items, lines, base, scratch)
         return lambda pairs: _alike(pairs, side, scratch, similarity), side.select("h", "sim", "n", "size")
 
     label = linked(lines.select("h", F.explode("keys").alias("bk")), prepare, scratch, _near(similarity))
@@ -200,9 +204,12 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     null key or text keep their text (null stays null) and remove nothing elsewhere; empty tables give empty results;
     extra columns stay in `row`.
     """
-    scratch = Scratch(docs.sparkSession)
-    groups = scratch.save(line_groups(docs, key, text, similarity, scratch), "groups")
-    return without_lines(docs, repeated_positions(groups, scratch), key, text)
+    scratch, work = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    groups = work.save(line_groups(docs, key, text, similarity, work), "groups")
+    removed = repeated_positions(groups, scratch)
+    work.clear()
+    scratch.forget()
+    return without_lines(docs, removed, key, text)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

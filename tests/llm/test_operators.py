@@ -1,6 +1,7 @@
 """The operators against brute force, on small tables with nulls, empty, repeated and clashing values."""
 
 import hashlib
+import os
 import random
 import re
 import textwrap
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, jaccard, licenses, linededup, packing, paragraphs, quality, substrings, tokenpack, toxicity
+from graphloom.llm import buckets, decontam, jaccard, licenses, linededup, packing, paragraphs, quality, substrings, tokenpack, toxicity
 from graphloom.llm import text as T
 from graphloom.plans.scratch import Scratch
 
@@ -611,3 +612,37 @@ def test_frequent_words_are_one_constant_of_the_plan(spark, monkeypatch):
     linededup.line_dedup(spark.createDataFrame([(1, "one two three four five"), (2, "one two three four six")], "doc_id long, text string"))
     size = len(dict(plans)["lines"])
     assert size < 1.5 * len(str(1 << 40)) * len(frequent)
+
+
+def test_odd_members_of_large_buckets_meet_a_few_of_the_others_first(spark):
+    members, asked = 400, []
+    keyed = spark.range(members).selectExpr("1L AS bk", "id AS h").union(spark.createDataFrame([(2, 1000), (2, 1001), (3, 1000), (3, 1002)], "bk long, h long"))
+
+    def prepare(items):
+        def verify(pairs):
+            asked.append(pairs.count())
+            return pairs.where("(least(a, b) > 0 OR greatest(a, b) % 10 < 9) AND greatest(a, b) <> 1002")  # the smallest is not like every tenth
+
+        return verify, items
+
+    label = {r.node: r.component for r in buckets.linked(keyed, prepare, Scratch(spark)).collect()}
+    assert label == {**dict.fromkeys(range(members), 0), 1000: 1000, 1001: 1000}
+    assert sum(asked) < 5 * members
+
+
+def _written(spark, before):
+    root = spark.conf.get("spark.checkpoint.dir")
+    return {re.sub(r"-[0-9a-f]{8}$", "", t) for d in set(os.listdir(root)) - before for t in os.listdir(f"{root}/{d}")}
+
+
+@pytest.mark.parametrize(
+    "name, gone", [("line_dedup", {"words", "lines", "members", "side", "groups", "counts"}), ("paragraph_dedup", {"paragraphs", "members", "homes", "near", "inside"})]
+)
+def test_large_scratch_tables_go_when_their_work_is_done(spark, name, gone):
+    line = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{line} {i}\nline of its own {i * 7919}") for i in range(6)]
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    run = linededup.line_dedup if name == "line_dedup" else paragraphs.paragraph_dedup
+    result = run(table(spark, rows))
+    assert not _written(spark, before) & gone
+    assert result.where("n_removed > 0").count() == 5
