@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import text as T
+from graphloom.llm.bounded import counted
 from graphloom.plans.components import merged, named
 from graphloom.plans.scratch import Scratch
 from graphloom.plans.ship import ship
@@ -325,9 +326,10 @@ def _starred(shared: DataFrame, links: Callable[[DataFrame], DataFrame], scratch
         found = scratch.save(links(stars), "found")
         if found.isEmpty():
             break
-        label = merged(label, found, "a", "b")
+        label = counted(merged(label, found, "a", "b"))
         again = named(rest.join(pivots.select("tok", "a"), "tok"), "key", label, "comp")
         rest = scratch.save(named(again, "a", label, "pcomp").where("comp <> pcomp").select("tok", "key"), "rest")
+        scratch.forget()
     return label
 
 
@@ -349,19 +351,22 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     tokens = reps.select("key", F.explode("prefix").alias("tok"))
     met = tokens.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
     shared = scratch.save(tokens.join(met, "tok").select("tok", "key", "c"), "shared")
+    scratch.forget()
 
     label = _starred(shared, lambda pairs: verify(_attach(pairs, light, percent), base, size, percent), scratch)
     comp = named(shared, "key", label, "comp")
     ends = comp.groupBy("tok", "c").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    ends = scratch.save(ends.select("tok", "c", "a", "b"), "mixed")
-    twos = ends.where("c = 2").select("a", "b").distinct()
-    members = comp.join(ends.where("c > 2").select("tok"), "tok", "left_semi").select("tok", "c", "key", "comp").join(light, "key")
+    mixed = scratch.save(ends.select("tok", "c", "a", "b"), "mixed")
+    twos = mixed.where("c = 2").select("a", "b").distinct()
+    members = comp.join(mixed.where("c > 2").select("tok"), "tok", "left_semi").select("tok", "c", "key", "comp").join(light, "key")
     rest = scratch.save(_attach(twos, light, percent).union(_tree_pairs(members, percent)).distinct(), "rest")
     second = verify(rest, base, size, percent)
     ends = profile.where("n > 0").groupBy("key").agg(F.min("d1").alias("low"), F.max("d1").alias("high"))
     split = profile.join(ends.where("low <> high").select("key"), "key", "left_semi").join(classes, ["d1", "d2", "n"])
     links = scratch.save(second.union(split.select(F.col("rep").alias("a"), F.col("key").alias("b"))), "links")
     label = merged(label, links, "a", "b")
+    scratch.drop(shared, mixed, rest, links)
+    scratch.forget()
     rows = profile.select("key", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
     rows = rows.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     return rows.select(
