@@ -26,7 +26,7 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 
 from graphloom.llm import text as T
 from graphloom.llm.bounded import counted
-from graphloom.llm.buckets import linked
+from graphloom.llm.buckets import linked, touched
 from graphloom.llm.packing import word_count
 from graphloom.llm.substrings import at_home
 from graphloom.plans.components import named
@@ -201,6 +201,7 @@ def repeated_spans(base: DataFrame, size: int, percent: int, least: int, recall:
     group. Passages inside a removed paragraph go with it, so the first one elsewhere is the one that stays.
     """
     every = scratch.save(_profiles(base, size, least, tuned(percent, recall), percent), "paragraphs")
+    scratch.forget()
     banded = every.where("bk IS NOT NULL")
 
     def prepare(items: DataFrame):
@@ -208,9 +209,11 @@ def repeated_spans(base: DataFrame, size: int, percent: int, least: int, recall:
         homes = scratch.save(homes.select("at.key", "at.th").distinct(), "homes")
         sets = _sets(base.join(counted(homes), ["key", "th"], "left_semi").select("t"), size, least)
         sets = scratch.save(sets.join(counted(items), "h", "left_semi").dropDuplicates(["h"]), "sets")
+        scratch.drop(homes)
 
         def verify(pairs: DataFrame) -> DataFrame:
-            both = pairs.join(sets.select(F.col("h").alias("a"), F.col("value").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("value").alias("y")), "b")
+            ends = touched(sets.select("h", "value"), pairs, scratch)
+            both = pairs.join(ends.select(F.col("h").alias("a"), F.col("value").alias("x")), "a").join(ends.select(F.col("h").alias("b"), F.col("value").alias("y")), "b")
             return _similar(both.select("a", "b", "x", "y"), percent)
 
         return verify, sets.drop("value")
@@ -220,12 +223,17 @@ def repeated_spans(base: DataFrame, size: int, percent: int, least: int, recall:
     place = F.xxhash64("key", "th", "s", "e")  # rows that are repeated have one place
     many = scratch.save(groups.groupBy("g").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("g"), "many")
     near = scratch.save(groups.join(counted(many), "g"), "near")
+    scratch.drop(every, many)
+    scratch.forget()
     lines = _judged(near.where("NOT passage"))
     inside = _uncovered(lines.unionByName(near.where("passage"), allowMissingColumns=True))
     inside = scratch.save(inside, "inside")
     texts = _judged(inside.where("NOT covered")).unionByName(inside.where("covered").withColumns({"gone": F.lit(True), "stays": F.lit(False)}), allowMissingColumns=True)
     spans = lines.unionByName(texts, allowMissingColumns=True).groupBy("key", "th").agg(F.collect_set(F.struct("s", "e", "passage", "gone", "stays")).alias("spans"))
-    return scratch.save(spans, "spans")
+    spans = scratch.save(spans, "spans")
+    scratch.drop(near, inside)
+    scratch.forget()
+    return spans
 
 
 def _judged(near: DataFrame) -> DataFrame:
