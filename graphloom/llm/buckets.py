@@ -13,6 +13,10 @@ from graphloom.plans.components import merged, named
 from graphloom.plans.scratch import Scratch
 
 
+#: Members of a bucket up to which all meet all at once.
+SMALL = 16
+#: Pairs for each member of all buckets that are verified without rounds of stars, and for each of them pairs that may be listed.
+PAIRS, LISTED = 1, 32
 #: Rounds of stars before the members that are left meet all others, and members of one bucket that meet in one cell.
 ROUNDS, CELL = 3, 512
 #: Rounds in which what is outside the largest component of a bucket meets so many members of it, if it has four times as many.
@@ -41,19 +45,23 @@ def _wide_stars(members: DataFrame, label: DataFrame | None, turn: int, scratch:
     return stars
 
 
-def linked(keyed: DataFrame, prepare: Callable[[DataFrame], tuple[Verify, DataFrame]], scratch: Scratch, near: str = "true", rounds: int = ROUNDS) -> DataFrame | None:
+def linked(keyed: DataFrame, prepare: Callable[[DataFrame], tuple[Verify, DataFrame]], scratch: Scratch, near: str = "true", rounds: int = ROUNDS, small: int = SMALL, outline: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
     """(node, component) of the verified links between items h that share a bucket bk of keyed (bk, h); None without any.
 
-    In each round every open member of a bucket is compared with the smallest one, in the first round with one such
-    partner only (so there are two rounds at least); those that are now in its component are closed. Then the members outside a bucket's largest component
-    are compared with a few of it. Pairs grow with the members, not with their squares. What is still in different
-    components of one bucket then meets all others, in cells of CELL by CELL members, so no link between components is lost.
+    Members of a bucket of `small` or fewer meet all others at once. In larger ones all meet the
+    smallest one; what is still in different components of one bucket then meets all others, in cells of CELL by CELL members,
+    so no link between components is lost. Where that were more than PAIRS pairs for each member, rounds of stars come
+    before: every open member is compared with the smallest one in each round, and those that are now in its component are
+    closed. Then the members outside a bucket's largest component are compared with a few of it.
     prepare(items) is called once with all items (h) that share a bucket. It gives verify, which keeps the pairs (a, b)
     of a written table that are links, and a table (h, ...) of the columns that near, SQL over x.* and y.*, asks of a pair.
+    The first pairs are judged by near where they meet; but with outline, which derives these columns from the rows of
+    that table and is used for few of them, by verify alone.
     """
     bucket = Window.partitionBy("bk")  # one shuffle of all keys; joined with the keys of several items they would be shuffled twice
     shared = keyed.select("bk", "h", F.min("h").over(bucket).alias("low"), F.max("h").over(bucket).alias("high")).where("low <> high")
-    members = scratch.save(shared.select("bk", "h").distinct(), "members")
+    sized = shared.select("bk", "h", "low").distinct().withColumn("c", F.count("*").over(bucket))
+    members = scratch.save(sized, "members")
     scratch.forget()
     verify, side = prepare(scratch.save(members.select("h").distinct(), "items"))
     scratch.forget()
@@ -66,39 +74,58 @@ def linked(keyed: DataFrame, prepare: Callable[[DataFrame], tuple[Verify, DataFr
         scratch.forget()
         return label, new
 
-    label, rest = None, members.withColumn("comp", F.col("h"))
-    for turn in range(max(2, rounds)):
-        pivots = rest.groupBy("bk").agg(F.min(F.struct("h", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        pivots = scratch.save(pivots.where("low <> high").select("bk", F.col("p.h").alias("a"), F.col("p.comp").alias("pcomp")), "pivots")
-        stars = rest.join(counted(pivots), "bk").where("comp <> pcomp").select("a", F.col("h").alias("b"))
-        stars = stars.distinct() if turn else stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        label, new = joined(label, scratch.save(stars, "stars"))
-        if turn and not new:
-            break
-        now = named(rest.select("bk", "h").join(counted(pivots.select("bk", "a")), "bk"), "h", label, "comp")
-        # After the first round the smallest ones stay, as not all of their buckets' members have met them.
-        open_ = named(now, "a", label, "pcomp").where("comp <> pcomp" if turn else "comp <> pcomp OR h = a")
-        rest = scratch.save(open_.select("bk", "h", "comp"), "rest")
-    for turn in range(WIDE_ROUNDS if label is not None else 0):
-        stars = _wide_stars(members, label, turn, scratch)
-        if stars.isEmpty():
-            break
-        label, _ = joined(label, stars)
-    every = named(members, "h", label, "comp")
-    mixed = every.groupBy("bk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).where("low <> high AND c > 2")
-    rest = scratch.save(every.join(mixed.select("bk", "c"), "bk"), "mixed")
-    dealt = rest.join(side, "h").withColumn("cells", F.ceil(F.col("c") / CELL).cast("int")).withColumn("own", F.expr("pmod(hash(h), cells)"))
-    every_cell = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-    x, y = dealt.withColumn("other", every_cell).alias("x"), dealt.withColumn("other", every_cell).alias("y")
-    same_cell = "x.bk = y.bk AND x.own = y.other AND x.other = y.own"
-    crossed = x.join(y, F.expr(f"{same_cell} AND x.h < y.h AND x.comp <> y.comp AND {near}")).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
-    crossed = scratch.save(crossed.distinct(), "crossed")
-    if not crossed.isEmpty():
-        label, _ = joined(label, crossed)
-    scratch.drop(members, rest)
+    met = members if outline else members.join(side, "h")
+    x, y = met.where(f"c <= {small} OR h = low").alias("x"), met.alias("y")
+    first = x.join(y, F.expr(f"x.bk = y.bk AND x.h < y.h AND {'true' if outline else near}")).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
+    label, new = joined(None, scratch.save(first.distinct(), "first"))
+    limit, members = PAIRS * members.count(), members.where(f"c > {small}").select("bk", "h")
+
+    def crossed() -> DataFrame | None:
+        """The near pairs of all members of one bucket that are in different components; None if there are too many to list."""
+        rest = scratch.save(_open(members, label), "rest")
+        if (rest.agg(F.sum("c")).first()[0] or 0) > LISTED * limit and not last:
+            return None
+        ends = touched(side, rest.select(F.col("h").alias("a"), F.col("h").alias("b")), scratch)
+        dealt = rest.join(outline(ends) if outline else ends, "h").withColumn("cells", F.ceil(F.col("c") / CELL).cast("int")).withColumn("own", F.expr("pmod(hash(h), cells)"))
+        every_cell = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+        x, y = dealt.withColumn("other", every_cell).alias("x"), dealt.withColumn("other", every_cell).alias("y")
+        same_cell = "x.bk = y.bk AND x.own = y.other AND x.other = y.own"
+        pairs = x.join(y, F.expr(f"{same_cell} AND x.h < y.h AND x.comp <> y.comp AND {near}")).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
+        pairs = scratch.save(pairs.distinct(), "crossed")
+        return pairs if last or pairs.count() <= limit else None
+
+    last = False
+    pairs = crossed() if not members.isEmpty() else members
+    if pairs is None:
+        last, rest = True, _open(members, label).select("bk", "h", "comp")
+        for _ in range(rounds):
+            pivots = rest.groupBy("bk").agg(F.min(F.struct("h", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+            pivots = scratch.save(pivots.where("low <> high").select("bk", F.col("p.h").alias("a"), F.col("p.comp").alias("pcomp")), "pivots")
+            stars = rest.join(counted(pivots), "bk").where("comp <> pcomp").select("a", F.col("h").alias("b")).distinct()
+            label, new = joined(label, scratch.save(stars, "stars"))
+            if not new:
+                break
+            now = named(rest.select("bk", "h").join(counted(pivots.select("bk", "a")), "bk"), "h", label, "comp")
+            rest = scratch.save(named(now, "a", label, "pcomp").where("comp <> pcomp").select("bk", "h", "comp"), "rest")
+        for turn in range(WIDE_ROUNDS if label is not None else 0):
+            stars = _wide_stars(members, label, turn, scratch)
+            if stars.isEmpty():
+                break
+            label, _ = joined(label, stars)
+        pairs = crossed()
+    if not pairs.isEmpty():
+        label, _ = joined(label, pairs)
+    scratch.drop(members)
     return label
 
 
+def _open(members: DataFrame, label: DataFrame | None) -> DataFrame:
+    """(bk, h, comp, c) of the c members (bk, h) of the buckets that hold several components."""
+    every = named(members, "h", label, "comp")
+    mixed = every.groupBy("bk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).where("low <> high")
+    return every.join(mixed.select("bk", "c"), "bk")
+
+
 def repeated_positions(groups: DataFrame, scratch: Scratch) -> DataFrame:
     """(removed_key, removed): for each document the sorted positions of lines of a group (g, g2) that is seen before.
 

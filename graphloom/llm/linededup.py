@@ -31,6 +31,8 @@ SIMILARITY = 0.8
 MAX_BITS = 22
 #: Share of the words that lines similar in letters have in common.
 SOME_WORDS = 0.5
+#: Pairs of lines that one task compares by letters.
+DEALT = 4_000
 #: Lines of fewer words are compared without regard to bits.
 LEAST_BITS = 10
 #: A word that makes up one of FREQUENT words of all documents, or more, is frequent; so there are FREQUENT such words at
@@ -42,8 +44,18 @@ PLANES = "123456789ABCDEF"
 
 
 def tokens(line: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
+    """Lower-cased runs of letters and digits. Splitting at single spaces is much cheaper than at a pattern."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(line), r"[^a-z \p{L}\p{N}]+", " "), " "), "")
+
+
+def values(words: Column) -> Column:
+    """A number for each word that is less for a longer word: 6 bits of its length before the last 56 of its hash."""
+
+    def value(w: Column) -> Column:
+        lacking = F.lit(63) - F.least(F.length(w), F.lit(63))
+        return F.shiftleft(lacking.cast("long"), 56).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 56) - 1)))
+
+    return F.transform(words, value)
 
 
 def _ones(lane: int) -> int:
@@ -79,8 +91,9 @@ def simhash(hashes: Column) -> Column:
 
 
 def frequent_words(words: DataFrame, scratch: Scratch) -> list[int]:
-    """SLOTS bits, 64 in each number: those of the hashes of the words (w) that are frequent among all."""
-    counts = scratch.save(words.select(F.explode("w").alias("word")).groupBy(F.xxhash64("word").alias("h")).count(), "counts")
+    """SLOTS bits, 64 in each number: those of the hashes of the words (w, or v, their values) that are frequent among all."""
+    found = F.col("v") if "v" in words.columns else values(F.col("w"))
+    counts = scratch.save(words.select(F.explode(found).alias("h")).groupBy("h").count(), "counts")
     total = counts.agg(F.sum("count")).first()[0] or 0
     bits = np.zeros(SLOTS, bool)
     often = counts.where(F.col("count") * FREQUENT >= total).select("h").collect()  # FREQUENT rows at most
@@ -89,21 +102,20 @@ def frequent_words(words: DataFrame, scratch: Scratch) -> list[int]:
     return np.packbits(bits, bitorder="little").view(np.int64).tolist()
 
 
-def rarest(words: Column, frequent: list[int]) -> Column:
-    """Values that tell a line's rarest words: three of a line of fewer than 8 words, else five."""
+def rarest(values: Column, frequent: list[int]) -> Column:
+    """The values of a line's rarest words, bit 62 telling frequent ones: three of a line of fewer than 8 words, else five."""
     slots = F.split(F.lit(",".join(map(str, frequent))), ",").cast("array<bigint>")  # one constant for all numbers
 
-    def value(h: Column, size: Column) -> Column:
-        common = F.getbit(F.get(slots, F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(SLOTS // 64 - 1)).cast("int")), h.bitwiseAND(F.lit(63)).cast("int"))
-        lacking = F.lit(63).cast("long") - F.least(size, F.lit(63))
-        return F.shiftleft(common.cast("long"), 62).bitwiseOR(F.shiftleft(lacking, 56)).bitwiseOR(F.shiftrightunsigned(h, 8))
+    def ranked(v: Column) -> Column:
+        common = F.getbit(F.get(slots, F.shiftrightunsigned(v, 6).bitwiseAND(F.lit(SLOTS // 64 - 1)).cast("int")), v.bitwiseAND(F.lit(63)).cast("int"))
+        return F.shiftleft(common.cast("long"), 62).bitwiseOR(v)
 
-    return F.slice(F.sort_array(F.transform(words, lambda w: value(F.xxhash64(w), F.length(w)))), F.lit(1), F.when(F.size(words) < 8, F.lit(3)).otherwise(F.lit(5)))
+    return F.slice(F.sort_array(F.transform(values, ranked)), F.lit(1), F.when(F.size(values) < 8, F.lit(3)).otherwise(F.lit(5)))
 
 
 def meeting_keys(words: Column, frequent: list[int]) -> Column:
     """Where a line meets those that are similar to it: some of its rarest words (see the module's head)."""
-    return _keys(F.size(words), rarest(words, frequent))
+    return _keys(F.size(words), rarest(values(words), frequent))
 
 
 def _keys(n: Column, top: Column) -> Column:
@@ -142,41 +154,44 @@ def _distance(x: str, y: str, longer: str, similarity: float) -> str:
 
 
 def _profiles(items: DataFrame, lines: DataFrame, base: DataFrame, scratch: Scratch) -> DataFrame:
-    """(h, n, size, sim, code, line) of the wanted lines (h), cut again from one occurrence each in base (key, t)."""
+    """(h, n, size, sim, line) of the wanted lines (h), cut again from one occurrence each in base (key, t)."""
     items = counted(items)
     first = lines.join(items, "h", "left_semi").groupBy("h").agg(F.min(F.struct("key", "pos")).alias("at"))
     wanted = counted(scratch.save(first.select("at.key", "at.pos").distinct(), "wanted"))
     homes = base.join(wanted.select("key"), "key", "left_semi")
     met = _split(homes).join(wanted, ["key", "pos"], "left_semi").select(tokens(F.col("line")).alias("w"))
-    found = met.select(F.xxhash64("w").alias("h"), "w").join(items, "h", "left_semi").dropDuplicates(["h"])  # rows of one key may have unlike lines at one position
+    found = met.select(F.xxhash64(values(F.col("w"))).alias("h"), "w").join(items, "h", "left_semi").dropDuplicates(["h"])  # rows of one key may have unlike lines at one position
     hashed = found.select("h", F.array_join("w", " ").alias("line"), F.transform("w", lambda w: F.xxhash64(w)).alias("hs"))
-    sided = hashed.select("h", F.size("hs").alias("n"), F.length("line").alias("size"), simhash(F.col("hs")).alias("sim"), code(F.col("hs")).alias("code"), "line")
-    return scratch.save(sided, "side")
+    return scratch.save(hashed.select("h", F.size("hs").alias("n"), F.length("line").alias("size"), simhash(F.col("hs")).alias("sim"), "line"), "side")
 
 
 def _alike(pairs: DataFrame, side: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
     """Pairs (a, b) of line identities whose lines are similar in words or, where not in words, in letters."""
+    coded = touched(side, pairs, scratch).withColumn("code", code(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))))
+    coded = scratch.save(coded, "coded")
 
     def joined(some: DataFrame, *names: str) -> DataFrame:
-        ends = touched(side.select("h", *names), some, scratch)
-        x, y = ends.alias("x"), ends.alias("y")
+        x, y = coded.select("h", *names).alias("x"), coded.select("h", *names).alias("y")
         return some.join(x, F.expr("a = x.h")).join(y, F.expr("b = y.h"))
 
     both = joined(pairs, "n", "size", "sim", "code").where(F.expr(_near(similarity)))
     apart = F.expr(_distance("x.code", "y.code", "greatest(x.n, y.n)", SOME_WORDS))
     judged = both.select("a", "b", apart.alias("d"), F.expr("greatest(x.n, y.n)").alias("n"), F.expr(f"least(x.size, y.size) >= {similarity} * greatest(x.size, y.size)").alias("sized"))
     judged = scratch.save(judged.where("d >= 0").select("a", "b", "sized", (F.col("d") <= F.floor(F.col("n") * (1 - similarity) + 1e-9)).alias("alike")), "judged")
-    letters = joined(judged.where("sized AND NOT alike"), "line", "size").where(_distance("x.line", "y.line", "greatest(x.size, y.size)", similarity) + " >= 0")
-    return judged.where("alike").select("a", "b").union(letters.select("a", "b"))
+    lettered = judged.where("sized AND NOT alike").select("a", "b")
+    # Letters are dear to compare and some lines have many such pairs, so they are dealt out evenly once they have met.
+    met = joined(lettered, "line", "size").repartition(1 + lettered.count() // DEALT)
+    letters = scratch.save(met.select("a", "b", F.expr(_distance("x.line", "y.line", "greatest(x.size, y.size)", similarity)).alias("d")), "letters")
+    return judged.where("alike").select("a", "b").union(letters.where("d >= 0").select("a", "b"))
 
 
 def line_groups(docs: DataFrame, key: str, text: str, similarity: float, scratch: Scratch) -> DataFrame:
     """(key, pos, g, g2): every line with words and the connected group it belongs to."""
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).where(F.col("key").isNotNull() & F.col("t").isNotNull())
-    split = _split(base).select("key", "pos", tokens(F.col("line")).alias("w"))
-    words = scratch.save(split.select("key", "pos", "w", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("h2")), "words")
+    split = _split(base).select("key", "pos", values(tokens(F.col("line"))).alias("v"))
+    words = scratch.save(split.select("key", "pos", "v", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("h2")), "words")
     # The rarest words are a column of their own: put into every choice of them, the plan would hold all frequent words as often.
-    ranked = words.select("key", "pos", "h", "h2", F.size("w").alias("n"), rarest(F.col("w"), frequent_words(words, scratch)).alias("top"))
+    ranked = words.select("key", "pos", "h", "h2", F.size("v").alias("n"), rarest(F.col("v"), frequent_words(words, scratch)).alias("top"))
     lines = scratch.save(ranked.select("key", "pos", "h", "h2", _keys(F.col("n"), F.col("top")).alias("keys")), "lines")
     scratch.drop(words)
     scratch.forget()

@@ -646,3 +646,47 @@ def test_large_scratch_tables_go_when_their_work_is_done(spark, name, gone):
     result = run(table(spark, rows))
     assert not _written(spark, before) & gone
     assert result.where("n_removed > 0").count() == 5
+
+
+def test_pairs_of_small_buckets_are_verified_in_one_round(spark):
+    """Members of small buckets meet all others at once: one call of verify, where stars took three rounds and cells a fourth."""
+    asked = []
+    keyed = spark.range(40).selectExpr("id DIV 4 AS bk", "id AS h")
+
+    def prepare(items):
+        def verify(pairs):
+            asked.append(pairs.count())
+            return pairs.where("a % 4 <> 0")  # the smallest of each bucket is like no other
+
+        return verify, items
+
+    label = {r.node: r.component for r in buckets.linked(keyed, prepare, Scratch(spark)).collect()}
+    assert label == {h: h - h % 4 + 1 for h in range(40) if h % 4} and asked == [60]
+
+
+def test_members_apart_in_buckets_beyond_the_small_ones_meet_without_rounds(spark):
+    """A star, and then the pairs that are left, if they are few: two calls of verify."""
+    asked = []
+    keyed = spark.range(30).selectExpr("1L AS bk", "id AS h")
+
+    def prepare(items):
+        def verify(pairs):
+            asked.append(pairs.count())
+            return pairs.where("a <> 29 AND b <> 29 AND (a % 2 = b % 2)")
+
+        return verify, items.withColumn("even", F.col("h") % 2)
+
+    label = {r.node: r.component for r in buckets.linked(keyed, prepare, Scratch(spark), "x.even = y.even OR x.h = 29 AND y.h < 2").collect()}
+    assert label == {h: h % 2 for h in range(29)}
+
+
+def test_lines_are_compared_by_letters_in_even_shares(spark, monkeypatch):
+    """One line that meets many others by letters: the pairs are dealt over tasks whatever line they have in common."""
+    monkeypatch.setattr(linededup, "DEALT", 10)
+    parts, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, codec=None: parts.setdefault(name, []).append(len(save(self, df, name, codec).inputFiles())) or save(self, df, name, codec))
+    side = [(h, 5, 30, 0, f"aaaaaa bbbbbb cccccc d{h:05d} e{h:05d}") for h in range(60)]
+    side = spark.createDataFrame(side, "h long, n int, size int, sim long, line string")
+    pairs = Scratch(spark).save(spark.range(1, 60).selectExpr("0L AS a", "id AS b"), "pairs")
+    found = linededup._alike(pairs, side, Scratch(spark), 0.8).collect()
+    assert len(found) == 59 and parts["letters"][-1] >= 5
