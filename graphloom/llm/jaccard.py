@@ -16,11 +16,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import text as T
 from graphloom.llm.bounded import counted
+from graphloom.llm.buckets import touched
 from graphloom.plans.components import merged, named
 from graphloom.plans.scratch import Scratch
 from graphloom.plans.ship import ship
@@ -211,7 +212,10 @@ def group_pairs(n: np.ndarray, bits: list[bytes], group: np.ndarray, percent: in
 
 
 def _attach(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and bitmaps allow the similarity."""
+    """Pairs (a, b) whose sizes and bitmaps allow the similarity. Of reps only the rows that the pairs name are shuffled."""
+    scratch = Scratch(reps.sparkSession)
+    pairs = scratch.save(pairs, "pairs")
+    reps = touched(reps.withColumnRenamed("key", "h"), pairs, scratch).withColumnRenamed("h", "key")
     sides = [reps.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
 
@@ -347,10 +351,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     profile = scratch.save(profiles(base, size, percent), "profile")
     classes = scratch.save(profile.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("key").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = profile.join(classes.select(F.col("rep").alias("key"), "d1", "d2"), ["key", "d1", "d2"], "left_semi").select("key", "n", "prefix", "bits")
+    reps = scratch.save(reps, "reps")
+    scratch.forget()
     light = reps.select("key", "n", "bits")
     tokens = reps.select("key", F.explode("prefix").alias("tok"))
-    met = tokens.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
-    shared = scratch.save(tokens.join(met, "tok").select("tok", "key", "c"), "shared")
+    met = tokens.select("tok", "key", F.count("*").over(Window.partitionBy("tok")).alias("c"))  # one shuffle of all tokens, not a second one of their counts
+    shared = scratch.save(met.where("c > 1"), "shared")
     scratch.forget()
 
     label = _starred(shared, lambda pairs: verify(_attach(pairs, light, percent), base, size, percent), scratch)

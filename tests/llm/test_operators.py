@@ -690,3 +690,12 @@ def test_lines_are_compared_by_letters_in_even_shares(spark, monkeypatch):
     pairs = Scratch(spark).save(spark.range(1, 60).selectExpr("0L AS a", "id AS b"), "pairs")
     found = linededup._alike(pairs, side, Scratch(spark), 0.8).collect()
     assert len(found) == 59 and parts["letters"][-1] >= 5
+
+
+def test_jaccard_tokens_are_shuffled_once(spark, monkeypatch):
+    plans, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, codec=None: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and save(self, df, name, codec))
+    rows = [(i, " ".join(f"w{k}" for k in range(30)) + f" x{i}") for i in range(4)] + [(9, None)]
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_components(table(spark, rows)).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
+    assert plans["shared"].count("Exchange hashpartitioning") == 1
