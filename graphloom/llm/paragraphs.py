@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from graphloom.llm import text as T
-from graphloom.llm.bounded import counted
+from graphloom.llm.bounded import counted, small_batches
 from graphloom.llm.buckets import linked, touched
 from graphloom.llm.packing import word_count
 from graphloom.llm.substrings import at_home
@@ -37,6 +37,10 @@ SHINGLE, PERCENT, MIN_WORDS, RECALL = 5, 80, 20, 0.999
 PASSAGE, AROUND = 25, 5
 #: Longs of a set's bitmap.
 LONGS = 64
+#: Rows whose sets or spans a task turns into Python objects at a time.
+ROWS = 500
+#: Members of a bucket up to which all meet all at once; the sets of pairs are shuffled, so they are few.
+SMALL = 4
 
 
 def tuned(percent: int, recall: float, rows: int = 4) -> int:
@@ -157,18 +161,31 @@ def _profiles(base: DataFrame, size: int, least: int, bands: int, percent: int)
 
 
 def _sets(base: DataFrame, size: int, least: int) -> DataFrame:
-    """(h, value, n, more, b0, b1, ...): digest, set, its size, what of it has no bit of its own, and bitmap of every paragraph."""
-    longs = [f"b{k}" for k in range(LONGS)]
+    """(h, value): digest and set of every paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for *_, value, cut in paragraphs(*T.buffers(batch.column(0)), size, least):
                 sets = [value[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                bits, n = bitmaps(value, cut), np.diff(cut)
+                yield pa.RecordBatch.from_arrays([pa.array(digest(value, cut)), pa.array(sets, pa.binary())], names=["h", "value"])
+
+    return base.mapInArrow(run, "h bigint, value binary")
+
+
+def _outlines(sets: DataFrame) -> DataFrame:
+    """(h, n, more, b0, b1, ...): the sizes of sets (h, value), what of them has no bit of its own, and their bitmaps."""
+    longs = [f"b{k}" for k in range(LONGS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                h, sets = batch.column(0).slice(i, ROWS), [np.frombuffer(x, np.uint64) for x in batch.column(1).slice(i, ROWS).to_pylist()]
+                cut = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+                bits, n = bitmaps(np.concatenate(sets), cut), np.diff(cut)
                 more = n - np.bitwise_count(bits.view(np.uint64)).sum(axis=0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(digest(value, cut)), pa.array(sets, pa.binary()), pa.array(n, pa.int64()), pa.array(more), *map(pa.array, bits)], names=["h", "value", "n", "more", *longs])
+                yield pa.RecordBatch.from_arrays([h, pa.array(n, pa.int64()), pa.array(more), *map(pa.array, bits)], names=["h", "n", "more", *longs])
 
-    return base.mapInArrow(run, f"h bigint, value binary, n bigint, more bigint, {', '.join(f'{c} bigint' for c in longs)}")
+    return sets.mapInArrow(run, f"h bigint, n bigint, more bigint, {', '.join(f'{c} bigint' for c in longs)}")
 
 
 def possible(percent: int) -> str:
@@ -184,8 +201,8 @@ def _similar(pairs: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 place = np.searchsorted(x, y)
                 common = int((x[np.minimum(place, len(x) - 1)] == y).sum())
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
@@ -216,9 +233,9 @@ def repeated_spans(base: DataFrame, size: int, percent: int, least: int, recall:
             both = pairs.join(ends.select(F.col("h").alias("a"), F.col("value").alias("x")), "a").join(ends.select(F.col("h").alias("b"), F.col("value").alias("y")), "b")
             return _similar(both.select("a", "b", "x", "y"), percent)
 
-        return verify, sets.drop("value")
+        return verify, sets
 
-    label = linked(banded.select("h", F.explode("bk").alias("bk")), prepare, scratch, possible(percent))
+    label = linked(banded.select("h", F.explode("bk").alias("bk")), prepare, scratch, possible(percent), small=SMALL, outline=_outlines)
     groups = named(every.select("key", "th", "s", "e", "h", "passage"), "h", None if label is None else counted(label), "g").drop("h")
     place = F.xxhash64("key", "th", "s", "e")  # rows that are repeated have one place
     many = scratch.save(groups.groupBy("g").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("g"), "many")
@@ -251,7 +268,7 @@ def _uncovered(spans: DataFrame) -> DataFrame:
     schema = StructType([*spans.select("key", "th", "s", "e", "g", "passage").schema, StructField("covered", BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             of, rows = [], []
             for i, found in enumerate(batch.column(2).to_pylist()):
                 gone = removed([x for x in found if not x["passage"]])
@@ -306,7 +323,7 @@ def _cut(hit: DataFrame) -> DataFrame:
     schema = StructType([hit.schema["row"], *(StructField(c, LongType()) for c in ("n_words", "n_repeated", "n_removed")), StructField("clean_text", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             data, at = T.buffers(batch.column(1))
             figures, kept = [], []
             for d, found in enumerate(batch.column(2).to_pylist()):
@@ -340,7 +357,8 @@ def paragraph_dedup(
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     base = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
-    spans = repeated_spans(base.select("key", "th", "t").where("key IS NOT NULL AND t IS NOT NULL"), size, percent, least, recall, scratch)
+    with small_batches(docs.sparkSession):
+        spans = repeated_spans(base.select("key", "th", "t").where("key IS NOT NULL AND t IS NOT NULL"), size, percent, least, recall, scratch)
     names = counted(spans.select(F.col("key").alias("k"), F.col("th").alias("h")))
     whole = base.join(names, F.col("key").eqNullSafe(F.col("k")) & F.col("th").eqNullSafe(F.col("h")), "left_anti")
     zero = F.lit(0).cast("long")

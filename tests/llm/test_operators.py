@@ -692,6 +692,18 @@ def test_lines_are_compared_by_letters_in_even_shares(spark, monkeypatch):
     assert len(found) == 59 and parts["letters"][-1] >= 5
 
 
+def test_sets_are_shuffled_without_bitmaps_and_spans_come_in_small_batches(spark, monkeypatch):
+    """Bitmaps are made for members that are still apart only; spans become Python objects a few rows at a time."""
+    saved, save = {}, Scratch.save
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, codec=None: saved.setdefault(name, (df.columns, int(spark.conf.get(limit)))) and save(self, df, name, codec))
+    monkeypatch.setattr(paragraphs, "ROWS", 2)
+    line = " ".join(f"word{i}" for i in range(60))
+    result = paragraphs.paragraph_dedup(table(spark, [(i, f"{line} {i}\nline of its own {i * 7919}") for i in range(6)]))
+    assert result.where("n_removed > 0").count() == 5
+    assert saved["sets"][0] == ["h", "value"] and saved["inside"][1] <= 1000
+
+
 def test_jaccard_tokens_are_shuffled_once(spark, monkeypatch):
     plans, save = {}, Scratch.save
     monkeypatch.setattr(Scratch, "save", lambda self, df, name, codec=None: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and save(self, df, name, codec))
