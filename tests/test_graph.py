@@ -1,8 +1,10 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.catalog import ORACLES, QUERIES
 from graphloom.functions.names import clean_nodes, entry_list, plausible_identifier, readable_name
 from graphloom.operators import analysis, diff, graph, metrics, queries, subgraph, tables, trees
 from graphloom.plans.components import connected_components
@@ -11,6 +13,8 @@ from graphloom.plans.forest import below, sizes_below
 from graphloom.plans.scratch import Scratch
 from graphloom.plans.strong import strong_components
 from graphloom.schemas import FACTS, GraphError, NotFound, check_kinds
+from graphloom.sources.derived import derived_facts
+from graphloom.sources.warehouse import warehouse_graph
 from tests import graphs
 
 
@@ -340,3 +344,20 @@ def test_reached_nodes_like_a_search(spark):
                 todo += [b for a, b in edges if a == node]
         found = reached(spark.createDataFrame([(x,) for x in starts], "node long"), spark.createDataFrame(edges, "src long, dst long"))
         assert sorted(r.node for r in found.collect()) == sorted(seen)
+
+
+def test_keys_whose_product_is_beyond_64_bits(spark, tmp_path):
+    """Call sites of far keys have distinct numbers in the order of the SQL's, and cycles are those of the SQL; two sites of one order differ."""
+    rows = [(10**15 + i // 2, i % 5, 10**5 - i % 3, 1 + i % 2, 50.0, "R") for i in range(12)] + [(2**61, 4, 1, 1, 1.0, "R"), (10**15 + 40, 7, 7, 1, 50.0, "A")]
+    rows += [rows[3]]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, f"n{i % 3}", f"Brand#{i % 2}", i) for i in range(5)], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert sorted(map(tuple, QUERIES["a_cycles"](spark, str(tmp_path)).collect())) == sorted(con.execute(ORACLES["a_cycles"]).fetchall()) != []
+    nodes, edges = (t.collect() for t in warehouse_graph(spark, str(tmp_path)))
+    exact = sorted((((o * 5 + p) * (10**5 + 1) + s) * 8 + n, p) for o, p, s, n, q, flag in set(rows) if q > 46 and flag == "R")
+    sites = sorted(r.node_id for r in nodes if r.kind == "CallSite")
+    assert len(set(sites)) == 12 and [e.src for e in sorted((e for e in edges if e.dst in sites), key=lambda e: e.dst)] == [p for _, p in exact]
+    assert {e.src for e in edges if e.kind == "Call"} == set(sites) and derived_facts(spark, str(tmp_path)).where("kind = 'CallSite'").select("fact_id").distinct().count() == 12
