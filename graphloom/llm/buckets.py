@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ ROUNDS, CELL = 3, 512
 #: Rounds in which what is outside the largest component of a bucket meets so many members of it, if it has four times as many.
 WIDE_ROUNDS, WIDE = 2, 8
 
-Verify = Callable[[DataFrame], DataFrame]
+Apart = Callable[[DataFrame, DataFrame], DataFrame]
+Verify = Callable[[DataFrame], DataFrame] | Callable[[DataFrame, Apart], DataFrame]
 
 
 def touched(side: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -45,7 +47,7 @@ def _wide_stars(members: DataFrame, label: DataFrame | None, turn: int, scratch:
     return stars
 
 
-def linked(keyed: DataFrame, prepare: Callable[[DataFrame], tuple[Verify, DataFrame]], scratch: Scratch, near: str = "true", rounds: int = ROUNDS, small: int = SMALL, outline: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
+def linked(keyed: DataFrame, prepare: Callable[[DataFrame], tuple[Verify, DataFrame]], scratch: Scratch, near: str = "true", rounds: int = ROUNDS, small: int = SMALL, outline: Callable[[DataFrame], DataFrame] | None = None, steps: bool = False) -> DataFrame | None:
     """(node, component) of the verified links between items h that share a bucket bk of keyed (bk, h); None without any.
 
     Members of a bucket of `small` or fewer meet all others at once. In larger ones all meet the
@@ -56,7 +58,9 @@ def linked(keyed: DataFrame, prepare: Callable[[DataFrame], tuple[Verify, DataFr
     prepare(items) is called once with all items (h) that share a bucket. It gives verify, which keeps the pairs (a, b)
     of a written table that are links, and a table (h, ...) of the columns that near, SQL over x.* and y.*, asks of a pair.
     The first pairs are judged by near where they meet; but with outline, which derives these columns from the rows of
-    that table and is used for few of them, by verify alone.
+    that table and is used for few of them, by verify alone. With steps, verify has a second argument apart(links, pairs),
+    which joins links at once and gives the rows of pairs whose ends are still in different components, ca and cb.
+    The last pairs are none that was verified before.
     """
     bucket = Window.partitionBy("bk")  # one shuffle of all keys; joined with the keys of several items they would be shuffled twice
     shared = keyed.select("bk", "h", F.min("h").over(bucket).alias("low"), F.max("h").over(bucket).alias("high")).where("low <> high")
@@ -67,16 +71,28 @@ def linked(keyed: DataFrame, prepare: Callable[[DataFrame], tuple[Verify, DataFr
     scratch.forget()
 
     def joined(label: DataFrame | None, stars: DataFrame) -> tuple[DataFrame | None, bool]:
-        found = scratch.save(verify(stars), "links")
-        new = not found.isEmpty()
-        label = counted(merged(label, found, "a", "b")) if new else label
-        scratch.drop(stars, found)
+        new = False
+
+        def join(links: DataFrame) -> None:
+            nonlocal label, new
+            if not links.isEmpty():
+                label, new = counted(merged(label, links, "a", "b")), True
+
+        def apart(links: DataFrame, pairs: DataFrame) -> DataFrame:
+            join(links)
+            return named(named(pairs, "a", label, "ca"), "b", label, "cb").where("ca <> cb")
+
+        found = scratch.save(verify(stars, apart) if steps else verify(stars), "links")
+        join(found)
+        scratch.drop(found)
+        done.append(stars)
         scratch.forget()
         return label, new
 
     met = members if outline else members.join(side, "h")
     x, y = met.where(f"c <= {small} OR h = low").alias("x"), met.alias("y")
     first = x.join(y, F.expr(f"x.bk = y.bk AND x.h < y.h AND {'true' if outline else near}")).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
+    done: list[DataFrame] = []  # tables of the pairs that were verified
     label, new = joined(None, scratch.save(first.distinct(), "first"))
     limit, members = PAIRS * members.count(), members.where(f"c > {small}").select("bk", "h")
 
@@ -91,7 +107,7 @@ def linked(keyed: DataFrame, prepare: Callable[[DataFrame], tuple[Verify, DataFr
         x, y = dealt.withColumn("other", every_cell).alias("x"), dealt.withColumn("other", every_cell).alias("y")
         same_cell = "x.bk = y.bk AND x.own = y.other AND x.other = y.own"
         pairs = x.join(y, F.expr(f"{same_cell} AND x.h < y.h AND x.comp <> y.comp AND {near}")).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
-        pairs = scratch.save(pairs.distinct(), "crossed")
+        pairs = scratch.save(pairs.distinct().join(reduce(DataFrame.union, done), ["a", "b"], "left_anti"), "crossed")
         return pairs if last or pairs.count() <= limit else None
 
     last = False
@@ -115,7 +131,7 @@ def linked(keyed: DataFrame, prepare: Callable[[DataFrame], tuple[Verify, DataFr
         pairs = crossed()
     if not pairs.isEmpty():
         label, _ = joined(label, pairs)
-    scratch.drop(members)
+    scratch.drop(members, *done)
     return label
 
 

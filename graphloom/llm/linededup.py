@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.bounded import counted
-from graphloom.llm.buckets import linked, repeated_positions, touched, without_lines
+from graphloom.llm.buckets import Apart, linked, repeated_positions, touched, without_lines
 from graphloom.llm.quality import let
 from graphloom.plans.scratch import Scratch
 
@@ -31,8 +31,10 @@ SIMILARITY = 0.8
 MAX_BITS = 22
 #: Share of the words that lines similar in letters have in common.
 SOME_WORDS = 0.5
-#: Pairs of lines that one task compares by letters.
-DEALT = 4_000
+#: Pairs of lines that one task compares by letters: no more than DEALT, and so few as SHARE if there are cores for them.
+DEALT, SHARE = 4_000, 250
+#: Pairs that are compared by letters although links by words may have joined their components, as that costs some jobs.
+FEW = 8_000
 #: Lines of fewer words are compared without regard to bits.
 LEAST_BITS = 10
 #: A word that makes up one of FREQUENT words of all documents, or more, is frequent; so there are FREQUENT such words at
@@ -165,8 +167,13 @@ def _profiles(items: DataFrame, lines: DataFrame, base: DataFrame, scratch: Scra
     return scratch.save(hashed.select("h", F.size("hs").alias("n"), F.length("line").alias("size"), simhash(F.col("hs")).alias("sim"), "line"), "side")
 
 
-def _alike(pairs: DataFrame, side: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """Pairs (a, b) of line identities whose lines are similar in words or, where not in words, in letters."""
+def _alike(pairs: DataFrame, side: DataFrame, scratch: Scratch, similarity: float, apart: Apart | None = None) -> DataFrame:
+    """Pairs (a, b) of line identities whose lines are similar in words or, where not in words, in letters.
+
+    Letters are dear to compare. With apart (see buckets.linked) the links by words are joined first, and only pairs in
+    different components are compared by letters; where these are many, first the closest one of every two components.
+    The links that apart has joined are not returned again.
+    """
     coded = touched(side, pairs, scratch).withColumn("code", code(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))))
     coded = scratch.save(coded, "coded")
 
@@ -174,15 +181,28 @@ def _alike(pairs: DataFrame, side: DataFrame, scratch: Scratch, similarity: floa
         x, y = coded.select("h", *names).alias("x"), coded.select("h", *names).alias("y")
         return some.join(x, F.expr("a = x.h")).join(y, F.expr("b = y.h"))
 
+    def lettered(some: DataFrame) -> DataFrame:
+        # Some lines have many such pairs, so they are dealt out evenly once they have met.
+        n, tasks = some.count(), 4 * scratch.spark.sparkContext.defaultParallelism
+        met = joined(some, "line", "size").repartition(1 + max(n // DEALT, min(n // SHARE, tasks)))
+        letters = scratch.save(met.select("a", "b", F.expr(_distance("x.line", "y.line", "greatest(x.size, y.size)", similarity)).alias("d")), "letters")
+        return letters.where("d >= 0").select("a", "b")
+
     both = joined(pairs, "n", "size", "sim", "code").where(F.expr(_near(similarity)))
-    apart = F.expr(_distance("x.code", "y.code", "greatest(x.n, y.n)", SOME_WORDS))
-    judged = both.select("a", "b", apart.alias("d"), F.expr("greatest(x.n, y.n)").alias("n"), F.expr(f"least(x.size, y.size) >= {similarity} * greatest(x.size, y.size)").alias("sized"))
-    judged = scratch.save(judged.where("d >= 0").select("a", "b", "sized", (F.col("d") <= F.floor(F.col("n") * (1 - similarity) + 1e-9)).alias("alike")), "judged")
-    lettered = judged.where("sized AND NOT alike").select("a", "b")
-    # Letters are dear to compare and some lines have many such pairs, so they are dealt out evenly once they have met.
-    met = joined(lettered, "line", "size").repartition(1 + lettered.count() // DEALT)
-    letters = scratch.save(met.select("a", "b", F.expr(_distance("x.line", "y.line", "greatest(x.size, y.size)", similarity)).alias("d")), "letters")
-    return judged.where("alike").select("a", "b").union(letters.where("d >= 0").select("a", "b"))
+    apart_by = F.expr(_distance("x.code", "y.code", "greatest(x.n, y.n)", SOME_WORDS))
+    judged = both.select("a", "b", apart_by.alias("d"), F.expr("greatest(x.n, y.n)").alias("n"), F.expr(f"least(x.size, y.size) >= {similarity} * greatest(x.size, y.size)").alias("sized"))
+    judged = judged.where("d >= 0").select("a", "b", "sized", (F.col("d") / F.col("n")).alias("share"), (F.col("d") <= F.floor(F.col("n") * (1 - similarity) + 1e-9)).alias("alike"))
+    judged = scratch.save(judged, "judged")
+    alike, open_ = judged.where("alike").select("a", "b"), judged.where("sized AND NOT alike").select("a", "b", "share")
+    if apart is None or open_.count() <= FEW:
+        return alike.union(lettered(open_.select("a", "b")))
+    open_ = scratch.save(apart(alike, open_), "open")
+    if open_.count() > FEW:
+        closest = open_.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("p"))
+        closest = scratch.save(closest.select("p.a", "p.b"), "closest")
+        others = open_.select("a", "b").join(counted(closest), ["a", "b"], "left_anti")
+        open_ = scratch.save(apart(lettered(closest), others), "open")
+    return lettered(open_.select("a", "b"))
 
 
 def line_groups(docs: DataFrame, key: str, text: str, similarity: float, scratch: Scratch) -> DataFrame:
@@ -198,9 +218,9 @@ def line_groups(docs: DataFrame, key: str, text: str, similarity: float, scratch
 
     def prepare(items: DataFrame):
         side = _profiles(items, lines, base, scratch)
-        return lambda pairs: _alike(pairs, side, scratch, similarity), side.select("h", "sim", "n", "size")
+        return lambda pairs, apart: _alike(pairs, side, scratch, similarity, apart), side.select("h", "sim", "n", "size")
 
-    label = linked(lines.select("h", F.explode("keys").alias("bk")), prepare, scratch, _near(similarity))
+    label = linked(lines.select("h", F.explode("keys").alias("bk")), prepare, scratch, _near(similarity), steps=True)
     plain = lines.select("key", "pos", "h", "h2")
     if label is None:
         return plain.select("key", "pos", F.col("h").alias("g"), F.col("h2").alias("g2"))

@@ -711,3 +711,42 @@ def test_jaccard_tokens_are_shuffled_once(spark, monkeypatch):
     found = {r.doc_id: r.component_id for r in jaccard.jaccard_components(table(spark, rows)).collect()}
     assert found == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
     assert plans["shared"].count("Exchange hashpartitioning") == 1
+
+
+def test_lines_joined_by_words_are_not_compared_by_letters(spark, monkeypatch):
+    """A chain of lines, three words further each: only neighbours are similar in words, and no ends of it are compared by letters."""
+    monkeypatch.setattr(linededup, "FEW", 0)
+    compared, save = [], Scratch.save
+
+    def saved(self, df, name, codec=None):
+        out = save(self, df, name, codec)
+        compared.extend([out.count()] if name == "letters" else [])
+        return out
+
+    monkeypatch.setattr(Scratch, "save", saved)
+    common = [f"considerablylongword{k}" for k in range(11)]
+    chain = [" ".join([*(f"{'new' if k < 3 * i else 'old'}{k * 7919}" for k in range(9)), *common]) for i in range(4)]
+    long = [f"otherword{k}" for k in range(24)]
+    wrong = [w.replace("w", "x", 1) if k % 4 == 0 else w for k, w in enumerate(long)]
+    got = {r["row"].doc_id: r.n_removed for r in linededup.line_dedup(table(spark, list(enumerate([*chain, " ".join(long), " ".join(wrong)])))).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0, 5: 1}
+    assert sum(compared) == 1
+
+
+def test_last_pairs_are_new_and_links_joined_on_the_way_count(spark):
+    """What was compared in small buckets, with the smallest of a large one or in a round of stars is not compared in the end; apart() leaves out what is joined."""
+    asked = []
+    keyed = spark.sql("SELECT 1L AS bk, id AS h FROM range(30) UNION ALL SELECT 2L, id FROM range(20, 30)")
+
+    def prepare(items):
+        def verify(pairs, apart):
+            asked.append({(r.a, r.b) for r in pairs.collect()})
+            left = Scratch(spark).save(apart(pairs.where("a % 5 = b % 5"), pairs.where("a % 5 + 1 = b % 5")), "left")
+            assert left.where("ca = cb").isEmpty()
+            return left.where("a % 5 = 0").select("a", "b")
+
+        return verify, items
+
+    label = {r.node: r.component for r in buckets.linked(keyed, prepare, Scratch(spark), steps=True).collect()}
+    assert {label[h] for h in range(30) if h % 5 < 2} == {0} and {label[h] for h in range(30) if h % 5 > 1} == {2, 3, 4}
+    assert len(asked) > 1 and not asked[-1] & set().union(*asked[:-1])
